@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import chat, warc
+from vicinity.llm import chat, quality, warc
 from vicinity.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": lambda spark, at: quality.op3(table(spark, at, "documents"), table(spark, at, "labels")),
     "op6_warc_revisits": lambda spark, at: warc.op6(spark, table(spark, at, "pages")),
     "op7_chat_format": lambda spark, at: chat.op7(spark, table(spark, at, "conversations")),
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality.OP3_SQL,
     "op6_warc_revisits": warc.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
 }

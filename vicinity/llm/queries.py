@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import chat, pii, quality, warc
+from vicinity.llm import bpe, chat, langid, pii, quality, token_counts, warc
 from vicinity.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": lambda spark, at: quality.op3(table(spark, at, "documents"), table(spark, at, "labels")),
+    "op5_token_counts": lambda spark, at: token_counts.op5(table(spark, at, "documents")),
     "op6_warc_revisits": lambda spark, at: warc.op6(spark, table(spark, at, "pages")),
     "op8_pii_spans": lambda spark, at: pii.op8(table(spark, at, "documents")),
     "op7_chat_format": lambda spark, at: chat.op7(spark, table(spark, at, "conversations")),

@@ -13,8 +13,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": lambda spark, at: quality.op3(table(spark, at, "documents"), table(spark, at, "labels")),
     "op5_token_counts": lambda spark, at: token_counts.op5(table(spark, at, "documents")),
     "op6_warc_revisits": lambda spark, at: warc.op6(spark, table(spark, at, "pages")),
-    "op8_pii_spans": lambda spark, at: pii.op8(table(spark, at, "documents")),
     "op7_chat_format": lambda spark, at: chat.op7(spark, table(spark, at, "conversations")),
+    "op8_pii_spans": lambda spark, at: pii.op8(table(spark, at, "documents")),
+    "op9_language_id": lambda spark, at: langid.op9(table(spark, at, "documents")),
+    "op10_bpe_codec": lambda spark, at: bpe.digests(table(spark, at, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, IntegerType
+
 from vicinity.llm.common import in_slices
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
@@ -157,7 +159,7 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFra
     """The columns `keep` and `ids`, the token ids of every whole `text`; null is empty and has none."""
     path = path or default_path()
     asked = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    schema = asked.drop("_text").schema.add("ids", "array<int>")
+    schema = asked.drop("_text").schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)

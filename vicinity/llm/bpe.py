@@ -20,7 +20,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import ArrayType, IntegerType
 
 from vicinity.llm.common import in_slices

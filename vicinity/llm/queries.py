@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import bpe, chat, langid, pii, quality, token_counts, warc
+from vicinity.llm import bpe, chat, decontaminate, langid, near_dedup, pii, quality, token_counts, warc
 from vicinity.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": lambda spark, at: decontaminate.op2(table(spark, at, "documents"), table(spark, at, "benchmark")),
     "op3_quality_rules": lambda spark, at: quality.op3(table(spark, at, "documents"), table(spark, at, "labels")),
+    "op4_near_duplicates": lambda spark, at: near_dedup.op4(table(spark, at, "documents")),
     "op5_token_counts": lambda spark, at: token_counts.op5(table(spark, at, "documents")),
     "op6_warc_revisits": lambda spark, at: warc.op6(spark, table(spark, at, "pages")),
     "op7_chat_format": lambda spark, at: chat.op7(spark, table(spark, at, "conversations")),

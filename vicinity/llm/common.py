@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,14 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Folders this process has written and not yet deleted; release() empties it.
-_written: list[str] = []
+#: Folders this process has written and not yet deleted, by their owner.
+_written: dict[str, list[str]] = {"": []}
+_owner = ""
+
+
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Tables written meanwhile belong to `owner`, who can release() them."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared folder."""
     path = f"{shared_dir(spark)}/vicinity/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.setdefault(_owner, []).append(path)
     return path
 
 
@@ -49,16 +62,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> int:
-    """Delete the tables of written() made so far, but for the newest `keep`; returns how many went.
-
-    Call it only when every result that reads them has been stored.
-    """
-    jvm, hadoop = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    gone = _written[: len(_written) - keep]
-    del _written[: len(gone)]
+def release(spark: SparkSession, owner: str) -> int:
+    """Delete the tables of an owner; returns how many. Call it when every result that reads them has been stored."""
+    gone = _written.pop(owner, [])
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
     for path in gone:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
     return len(gone)
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import bpe, chat, decontaminate, langid, near_dedup, pii, quality, token_counts, warc
+from vicinity.llm import bpe, chat, decontaminate, langid, near_dedup, pii, quality, substring_dedup, token_counts, warc
 from vicinity.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": lambda spark, at: substring_dedup.op1(table(spark, at, "documents")),
     "op2_decontaminate": lambda spark, at: decontaminate.op2(table(spark, at, "documents"), table(spark, at, "benchmark")),
     "op3_quality_rules": lambda spark, at: quality.op3(table(spark, at, "documents"), table(spark, at, "labels")),
     "op4_near_duplicates": lambda spark, at: near_dedup.op4(table(spark, at, "documents")),

@@ -271,7 +271,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     out = find(docs, docs.columns)
     by_start = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
-    pick = lambda a, x: F.when(x["start"] >= F.coalesce(-F.element_at(a, -1)["back"], F.lit(0)), F.concat(a, F.array(x))).otherwise(a)
+    pick = lambda a, x: F.when(x["start"] >= F.coalesce(-F.try_element_at(a, F.lit(-1))["back"], F.lit(0)), F.concat(a, F.array(x))).otherwise(a)
     apart = F.when(F.size("spans") > 1, F.aggregate(by_start, F.array().cast("array<struct<start:int,back:int,kind:string>>"), pick)).otherwise(by_start)
     out = out.withColumn("_apart", apart).withColumn("_m", F.size("_apart"))
     gap_from = lambda i: F.when(i == 0, F.lit(0)).otherwise(-F.get(F.col("_apart"), i - 1)["back"])

@@ -172,14 +172,15 @@ def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(F.broadcast(twice), F.lit(True)).join(F.broadcast(lost), F.lit(True)).join(F.broadcast(unreached), F.lit(True))
 
 
-def nn_descent(nodes: DataFrame, k: int, rounds: int = 4, seed: int = 7, store=lambda df, _: df) -> DataFrame:
+def nn_descent(nodes: DataFrame, k: int, rounds: int = 3, width: int = 16, seed: int = 7, store=lambda df, _: df) -> DataFrame:
     """An approximate k-nearest graph (src, pos, dst, d2) by local joins, for inputs too large for exact ones.
 
     Starts from chance neighbours within hash buckets; in each round neighbours
-    of a node are joined with each other, and each node keeps its k best. `store`
+    of a node are joined with each other, and each node keeps its `width` best, of
+    which k are returned: short lists get stuck. `store`
     may write a round's table and read it again, to end the lineage.
     """
-    n = max(1, nodes.count())
+    n, keep = max(1, nodes.count()), max(k, width)
     pairs = None
     for draw in range(3):  # buckets drawn anew cross each other, so neighbours of neighbours lead everywhere
         bucket = F.pmod(F.xxhash64("id", F.lit(seed + draw)), F.lit(max(1, n // k)))
@@ -190,16 +191,16 @@ def nn_descent(nodes: DataFrame, k: int, rounds: int = 4, seed: int = 7, store=l
     edges = None
     for turn in range(rounds + 1):
         if edges is not None:
-            # both directions, at most k each, so that a node many point to does not meet them all
+            # both directions, at most as many each, so that a node many point to does not meet them all
             back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2")
-            some = back.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("d2", "dst"))).where(F.col("r") <= k).select("src", "dst")
+            some = back.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("d2", "dst"))).where(F.col("r") <= keep).select("src", "dst")
             near = edges.select("src", "dst").unionByName(some).distinct()
             met = near.select(F.col("dst").alias("a"), "src").join(near.select(F.col("dst").alias("b"), "src"), "src").where("a != b")
             pairs = met.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select("src", "dst")).distinct()
         left, right = nodes.select(F.col("id").alias("src"), "vec"), nodes.select(F.col("id").alias("dst"), F.col("vec").alias("_v"))
         scored = pairs.join(left, "src").join(right, "dst").select(F.col("src").alias("qid"), F.col("dst").alias("id"), l2sq(F.col("vec"), F.col("_v")).alias("d2"))
-        edges = store(top(scored, k).select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "d2"), f"nn{turn}")
-    return edges
+        edges = store(top(scored, keep).select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "d2"), f"nn{turn}")
+    return edges.where(F.col("pos") <= k)
 
 
 def search_shard(ids: np.ndarray, vec: np.ndarray, t: np.ndarray, links: dict[int, list[list[int]]], query: np.ndarray, ef: int, low: float | None = None, high: float | None = None, two_hop: int = 32, entries: int = 10) -> list[tuple[int, float]]:

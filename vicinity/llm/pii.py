@@ -80,7 +80,7 @@ def base_valid(kind: str, span: Column) -> Column:
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
-        part = "0*+(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+        part = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
         return span.rlike(rf"^{part}(\.{part}){{3}}$")
     digits = F.regexp_replace(span, r"[^0-9]", "")
     if kind == "card":
@@ -269,7 +269,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     The columns stay; n_chars, if there is one, is counted anew.
     """
-    out = find(docs, docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    out = find(held, ["_row", "text"])
     by_start = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     pick = lambda a, x: F.when(x["start"] >= F.coalesce(-F.try_element_at(a, F.lit(-1))["back"], F.lit(0)), F.concat(a, F.array(x))).otherwise(a)
     apart = F.when(F.size("spans") > 1, F.aggregate(by_start, F.array().cast("array<struct<start:int,back:int,kind:string>>"), pick)).otherwise(by_start)
@@ -280,7 +281,6 @@ def redact(docs: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("<"), F.upper(F.get(F.col("_apart"), i)["kind"]), F.lit(">")), F.lit("")),
     )
     clean = F.when(F.col("_m") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("_m")), piece), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = out.withColumn("_clean", clean)
+    new = {"text": F.col("_clean"), "n_chars": F.char_length("_clean")}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])

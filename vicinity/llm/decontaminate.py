@@ -186,7 +186,7 @@ def blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[list
         yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-_LEAK = "item_id long, n_words int, covered int, n_tiles int, longest int"
+_LEAK = "item_id long, n_words integer, covered integer, n_tiles integer, longest integer"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,26 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.sources.shared import shared_dir
+
 #: The characters that separate words: space and \x09-\x0D. Python's bytes.split() splits at the same six.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Only where it is unset, as in local tests, a temporary folder is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    own = getattr(spark.sparkContext, "_vicinity_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="vicinity-")
-        spark.sparkContext.setCheckpointDir(own)
-        spark.sparkContext._vicinity_dir = own
-    return own
-
-
 #: Folders this process has written and not yet deleted, by their owner.
 _written: dict[str, list[str]] = {"": []}
 _owner = ""

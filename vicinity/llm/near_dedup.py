@@ -258,6 +258,7 @@ def op4(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, with its columns; of rows that share the staying doc_id one, and all rows without doc_id."""
     stay = classes(docs).where("doc_id = class_id").select(F.col("class_id").alias("_stay")).distinct()
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(stay, docs["doc_id"] == F.col("_stay")).drop("_stay").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    rank = F.row_number().over(W.partitionBy("_id").orderBy("_hash"))
+    kept = rows.join(stay, F.col("_id") == F.col("_stay")).withColumn("_rank", rank).where("_rank = 1")
+    return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))

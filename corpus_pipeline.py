@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinity.llm import bpe, decontaminate, near_dedup, pii, quality
-from vicinity.llm.common import owned_by, release, shared_dir
+from vicinity.llm.common import owned_by, release
+from vicinity.sources.shared import shared_dir
 from vicinity.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

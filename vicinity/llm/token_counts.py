@@ -41,7 +41,7 @@ class PrefixCounter:
         #: token: the rank that makes it, and the two it is made of
         self.made = {product: (rank, a, b) for (a, b), (rank, product) in vocab.merge.items()}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self.memo: dict[str, tuple[bytes, int]] = {}
+        self.memo: dict[str, bytes] = {}
         self.space_run = regex.compile(r"\s\s").search
         self.all_space = regex.compile(r"\s+").fullmatch
         #: left token << 32 | right token: whether they stay apart
@@ -110,7 +110,7 @@ class PrefixCounter:
             yield count
 
     def learn(self, pieces: set[str]) -> None:
-        """Put pieces into the memo: differences of the counts from one code point to the next, as int16, and the whole count."""
+        """Put pieces into the memo: differences of the counts from one code point to the next, as int16."""
         if len(self.known_apart) > PAIRS:
             self.known_apart.clear()
         if len(self.memo) + len(pieces) > MEMO_PIECES:
@@ -123,12 +123,16 @@ class PrefixCounter:
                 shown = counts[1:]
             if text in _SPLIT:
                 shown[1] = 2
-            self.memo[text] = (array("h", map(sub, shown, [0, *shown])).tobytes(), shown[-1])
+            self.memo[text] = array("h", map(sub, shown, [0, *shown])).tobytes()
 
-    def piece(self, text: str) -> tuple[bytes, int]:
+    def piece(self, text: str) -> np.ndarray:
         if text not in self.memo:
             self.learn({text})
-        return self.memo[text]
+        return np.frombuffer(self.memo[text], np.int16)
+
+    def count(self, text: str) -> int:
+        """The tokens of a whole piece."""
+        return int(self.piece(text).sum())
 
     def deltas_batch(self, texts: list[str]) -> list[np.ndarray]:
         """deltas() of every text; the new pieces of all of them are learned together."""
@@ -136,7 +140,7 @@ class PrefixCounter:
         cut = [self.vocab.pieces(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         self.learn({p for pieces in cut for p in pieces})
         memo = self.memo
-        quick = [np.frombuffer(b"".join([memo[p][0] for p in pieces]), np.int16) for pieces in cut]
+        quick = [np.frombuffer(b"".join([memo[p] for p in pieces]), np.int16) for pieces in cut]
         return [d if ok else self.deltas(t) for t, ok, d in zip(texts, plain, quick, strict=True)]
 
     def deltas(self, text: str) -> np.ndarray:
@@ -151,13 +155,13 @@ class PrefixCounter:
                 continue
             previous, total_before = "", 0
             for p in self.vocab.pieces(part):
-                raw, total = self.piece(p)
-                d = np.frombuffer(raw, np.int16).copy()
+                d = self.piece(p).copy()
+                total = int(d.sum())
                 d[0] += carry
                 carry = 0
                 if self.all_space(previous) and self.all_space(p[0]):
                     # a text that ends with this character has one piece of white space here
-                    shown = self.piece(previous + p[0])[1] - total_before
+                    shown = self.count(previous + p[0]) - total_before
                     real = int(d[0])
                     d[0] = shown
                     if len(d) > 1:
@@ -171,10 +175,10 @@ class PrefixCounter:
     def special(self, before: str, string: str, carry: int) -> np.ndarray:
         """Differences over a special string: until it is whole it is ordinary text, then one token."""
         tail = self.vocab.pieces(before)[-1:]
-        base = sum(self.piece(p)[1] for p in tail)
+        base = sum(self.count(p) for p in tail)
         counts = [0]
         for j in range(1, len(string)):
-            counts.append(sum(self.piece(p)[1] for p in self.vocab.pieces("".join(tail) + string[:j])) - base)
+            counts.append(sum(self.count(p) for p in self.vocab.pieces("".join(tail) + string[:j])) - base)
         counts.append(1)
         d = np.diff(counts).astype(np.int16)
         d[0] += carry
@@ -194,7 +198,7 @@ def store(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, pack = counter(path), zstandard.ZstdCompressor(level=1)
-        for part in in_slices(batches, "_text"):
+        for part in in_slices(batches, "_text", 1 << 20):
             texts = part.column("_text").to_pylist()
             sizes = pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64())
             packed = pa.array([pack.compress(d.tobytes()) for d in counts.deltas_batch(texts)], pa.binary())

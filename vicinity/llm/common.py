@@ -17,6 +17,7 @@ from vicinity.sources.shared import shared_dir
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders this process has written and not yet deleted, by their owner.
 _written: dict[str, list[str]] = {"": []}
 _owner = ""
@@ -41,9 +42,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: the lineage ends there, so a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """The same rows from a table in the shared folder: the lineage ends there, so a lost executor costs no recomputation.
+
+    The shuffle files that made the table go as soon as it is written.
+    """
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ from vicinity.llm.hashing import batch_words, runs
 
 WINDOW = 35
 ANCHOR = 8
-#: Bits of the table of repeated anchors: 16 for each of them, up to the most.
+#: Bits of the table of repeated anchors: 64 or more for each of them, up to the most.
 LEAST_BITS, MOST_BITS = 16, 28
 _BATCH = 1 << 20
 
@@ -97,7 +97,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(seen.anchor[seen.first_of_run()].view(np.int64))], names=["anchor"])
 
     twice = written(_keyed(docs).select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * twice.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * twice.count()).bit_length()))
     slot = F.shiftrightunsigned("anchor", 64 - bits)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot.bitwiseAND(F.lit(63))).cast("int"))
     # at most 2 ** (MOST_BITS - 6) rows, whatever the corpus
@@ -129,16 +129,16 @@ def reference_windows(docs: DataFrame, sent, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(k[some]), pa.array(packed[some])], names=["h", "k", "p"])
 
     rows = _keyed(docs).mapInArrow(candidates, "h long, k long, p long")
-    # sums and extremes of longs are merged before the shuffle
-    known = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "p")).alias("first")).where("n > 1")
-    return known.select("first.k", F.shiftright("first.p", 6).cast("int").alias("pos"), (F.shiftright("first.p", 6) - F.col("first.p").bitwiseAND(F.lit(63))).cast("int").alias("run"))
+    # sums and extremes of longs: hash aggregation, merged before the shuffle
+    known = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min_by("p", "k").alias("p")).where("n > 1")
+    return known.select("k", F.shiftright("p", 6).cast("int").alias("pos"), (F.shiftright("p", 6) - F.col("p").bitwiseAND(F.lit(63))).cast("int").alias("run"))
 
 
-_REGION = "k long, lo int, n int, words string, runs array<int>, anchors array<long>"
+_REGION = "k long, lo int, n int, words string, runs array<int>, ends array<int>, anchors array<long>"
 
 
 def candidate_regions(docs: DataFrame, sent, window: int) -> DataFrame:
-    """(k, lo, n, words, runs, anchors): maximal stretches of n neighbouring candidate windows, their words, and their runs' first windows and anchors."""
+    """(k, lo, n, words, runs, ends, anchors): maximal stretches of n neighbouring candidate windows, their words, and of their runs the first window, the end and the anchor."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -165,9 +165,10 @@ def candidate_regions(docs: DataFrame, sent, window: int) -> DataFrame:
                 base = int(seen.at[d])
                 lo, hi = int(seen.start[a]) - base, int(seen.start[b]) - base
                 r = run_first[np.searchsorted(run_first, a, "right") - 1 : np.searchsorted(run_first, b, "right")]
-                rows.append((ids[d], lo, hi - lo + 1, b" ".join(own[lo : hi + window]).decode("utf-8", "replace"), (seen.start[r] - base).tolist(), seen.anchor[r].view(np.int64).tolist()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "lo", "n", "words", "runs", "anchors"])
+                begin = (seen.start[r] - base).tolist()
+                rows.append((ids[d], lo, hi - lo + 1, b" ".join(own[lo : hi + window]).decode("utf-8", "replace"), begin, [*begin[1:], hi + 1], seen.anchor[r].view(np.int64).tolist()))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "lo", "n", "words", "runs", "ends", "anchors"])
 
     return _keyed(docs).mapInArrow(regions, _REGION)
 
@@ -241,12 +242,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, ob
     islands = W.partitionBy("k", "_island")
     passages = written(places.withColumn("_island", island).select("k", "run", F.min("pos").over(islands).alias("p"), F.max("pos").over(islands).alias("q")).distinct(), "passages")
     regions = written(candidate_regions(docs, sent, window), "regions")
-    runs_of = regions.select("k", "lo", F.explode(F.arrays_zip("runs", "anchors")).alias("r")).select("k", "lo", F.col("r.runs").alias("run"), F.col("r.anchors").alias("anchor"))
+    runs_of = regions.select("k", "lo", F.explode(F.arrays_zip("runs", "ends", "anchors")).alias("r")).select("k", "lo", F.col("r.runs").alias("run"), F.col("r.ends").alias("end"), F.col("r.anchors").alias("anchor"))
     # a shard is a passage (c, p); it holds the anchors of its windows
-    route = passages.join(runs_of.select("k", "run", "anchor").distinct(), ["k", "run"]).select("anchor", F.col("k").alias("c"), "p", "q").distinct()
-    met = runs_of.select("k", "lo", "anchor").join(route, "anchor").select("k", "lo", "c", "p", "q").distinct()
-    asked = written(met.join(regions.select("k", "lo", "n", "words"), ["k", "lo"]), "asked")
-    holds = (F.col("k") == F.col("c")) & (F.col("lo") <= F.col("p")) & (F.col("p") < F.col("lo") + F.col("n"))
+    route = written(passages.join(runs_of.select("k", "run", "anchor").distinct(), ["k", "run"]).select("anchor", F.col("k").alias("c"), "p", "q").distinct(), "route")
+    # of a region only the stretch whose anchors the shard has goes there
+    met = runs_of.join(route, "anchor").groupBy("k", "lo", "c", "p", "q").agg(F.min("run").alias("s"), F.max("end").alias("e"))
+    stretch = F.array_join(F.slice(F.split("words", " "), F.col("s") - F.col("lo") + 1, F.col("e") - F.col("s") + window - 1), " ")
+    asked = written(met.join(regions.select("k", "lo", "words"), ["k", "lo"]).select("c", "p", "q", "k", F.col("s").alias("lo"), F.col("e").alias("hi"), stretch.alias("words")), "asked")
+    holds = (F.col("k") == F.col("c")) & (F.col("lo") <= F.col("p")) & (F.col("q") < F.col("hi"))
     cut = F.array_join(F.slice(F.split("words", " "), F.col("p") - F.col("lo") + 1, F.col("q") - F.col("p") + window), " ")
     shards = asked.where(holds).groupBy("c", "p").agg(F.min(cut).alias("passage"))
     streams = asked.select("c", "p", "k", "lo", "words").join(shards, ["c", "p"])
@@ -267,7 +270,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, ob
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["k", "s", "e"])
 
     found = streams.select("c", "p", "k", "lo", "words", "passage").mapInArrow(match, "k long, s int, e int")
-    return found.distinct().groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), sent
+    return written(found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans"), sent
 
 
 def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool = False) -> DataFrame:

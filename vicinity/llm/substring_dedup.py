@@ -12,8 +12,8 @@ only to the shards that can hold something of theirs:
 2. Candidate windows are counted by hash; of each that occurs twice or more, one
    place is its reference. Neighbouring references of one document form a
    passage, and each passage is a reference shard.
-3. The documents' candidate regions are joined, by anchor, with the shards. A
-   shard's suffix automaton reads the region's words and gives at each word the
+3. The documents' candidate regions are joined, by anchor, with the shards, or by
+   window where an anchor has many shards. A shard's suffix automaton reads the region's words and gives at each word the
    length of the longest match that ends there; matches of WINDOW words or more
    are removed.
 
@@ -40,6 +40,8 @@ WINDOW = 35
 ANCHOR = 8
 #: Bits of the table of repeated anchors: 64 or more for each of them, up to the most.
 LEAST_BITS, MOST_BITS = 16, 28
+#: Anchors of more shards than this lead to them window by window.
+SHARDS = 4
 _BATCH = 1 << 20
 
 
@@ -108,7 +110,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
 
 
 def reference_windows(docs: DataFrame, sent, window: int) -> DataFrame:
-    """(k, pos, run): one place of each window that occurs twice or more, and where the run of windows with its anchor begins."""
+    """(h, k, pos, run): one place of each window that occurs twice or more, and where the run of windows with its anchor begins."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -131,7 +133,7 @@ def reference_windows(docs: DataFrame, sent, window: int) -> DataFrame:
     rows = _keyed(docs).mapInArrow(candidates, "h long, k long, p long")
     # sums and extremes of longs: hash aggregation, merged before the shuffle
     known = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min_by("p", "k").alias("p")).where("n > 1")
-    return known.select("k", F.shiftright("p", 6).cast("int").alias("pos"), (F.shiftright("p", 6) - F.col("p").bitwiseAND(F.lit(63))).cast("int").alias("run"))
+    return known.select("h", "k", F.shiftright("p", 6).cast("int").alias("pos"), (F.shiftright("p", 6) - F.col("p").bitwiseAND(F.lit(63))).cast("int").alias("run"))
 
 
 _REGION = "k long, lo int, n int, words string, runs array<int>, ends array<int>, anchors array<long>"
@@ -173,6 +175,26 @@ def candidate_regions(docs: DataFrame, sent, window: int) -> DataFrame:
     return _keyed(docs).mapInArrow(regions, _REGION)
 
 
+def _windows_of(window: int):
+    """The hash and place of each window of the open runs (start, end) of regions (k, lo, open, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches, "words", _BATCH):
+            hs, ks, los, places = [], [], [], []
+            words, at = batch_words([t.encode("utf-8", "replace") for t in part.column("words").to_pylist()])
+            for i, (k, lo, spans) in enumerate(zip(part.column("k").to_pylist(), part.column("lo").to_pylist(), part.column("open").to_pylist(), strict=True)):
+                hashes = runs(words[at[i] : at[i + 1]], window)
+                place = np.unique(np.concatenate([np.arange(x["run"], x["end"]) for x in spans]))
+                hs.append(hashes[place - lo])
+                places.append(place)
+                ks.append(np.full(len(place), k))
+                los.append(np.full(len(place), lo))
+            columns = [np.concatenate([*x, np.empty(0, np.int64)]) if x is not hs else np.concatenate([*x, np.empty(0, np.uint64)]).view(np.int64) for x in (hs, ks, los, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "k", "lo", "pos"])
+
+    return run
+
+
 class SuffixAutomaton:
     """Of a list of words: the smallest automaton of all their runs."""
 
@@ -240,19 +262,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, ob
     places = reference_windows(docs, sent, window)
     island = F.col("pos") - F.row_number().over(W.partitionBy("k").orderBy("pos"))
     islands = W.partitionBy("k", "_island")
-    passages = written(places.withColumn("_island", island).select("k", "run", F.min("pos").over(islands).alias("p"), F.max("pos").over(islands).alias("q")).distinct(), "passages")
+    refs = written(places.withColumn("_island", island).select("h", "k", "run", F.min("pos").over(islands).alias("p"), F.max("pos").over(islands).alias("q")), "references")
     regions = written(candidate_regions(docs, sent, window), "regions")
     runs_of = regions.select("k", "lo", F.explode(F.arrays_zip("runs", "ends", "anchors")).alias("r")).select("k", "lo", F.col("r.runs").alias("run"), F.col("r.ends").alias("end"), F.col("r.anchors").alias("anchor"))
     # a shard is a passage (c, p); it holds the anchors of its windows
-    route = written(passages.join(runs_of.select("k", "run", "anchor").distinct(), ["k", "run"]).select("anchor", F.col("k").alias("c"), "p", "q").distinct(), "route")
-    # of a region only the stretch whose anchors the shard has goes there
-    met = runs_of.join(route, "anchor").groupBy("k", "lo", "c", "p", "q").agg(F.min("run").alias("s"), F.max("end").alias("e"))
+    located = written(refs.select("k", "run", "p", "q").distinct().join(runs_of.select("k", "lo", "run", "anchor").distinct(), ["k", "run"]), "located")
+    route = located.select("anchor", F.col("k").alias("c"), "p").distinct()
+    many = written(route.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARDS).select("anchor"), "many")
+    # few shards: the stretch of the region whose anchors a shard has goes there
+    few = runs_of.join(route.join(many, "anchor", "left_anti"), "anchor").groupBy("k", "lo", "c", "p").agg(F.min("run").alias("s"), F.max("end").alias("e"))
+    # many, as of a passage that stands in many contexts: a window has one reference, and goes to its shard
+    held = located.join(many, "anchor").select("k", "run", "p").distinct().join(refs.select("h", "k", "run", "p"), ["k", "run", "p"]).select("h", F.col("k").alias("c"), "p")
+    open_runs = runs_of.join(many, "anchor").groupBy("k", "lo").agg(F.collect_list(F.struct("run", "end")).alias("open"))
+    single = open_runs.join(regions.select("k", "lo", "words"), ["k", "lo"]).mapInArrow(_windows_of(window), "h long, k long, lo int, pos int")
+    exact = single.join(held, "h").groupBy("k", "lo", "c", "p").agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"))
+    met = few.unionByName(exact)
     stretch = F.array_join(F.slice(F.split("words", " "), F.col("s") - F.col("lo") + 1, F.col("e") - F.col("s") + window - 1), " ")
-    asked = written(met.join(regions.select("k", "lo", "words"), ["k", "lo"]).select("c", "p", "q", "k", F.col("s").alias("lo"), F.col("e").alias("hi"), stretch.alias("words")), "asked")
-    holds = (F.col("k") == F.col("c")) & (F.col("lo") <= F.col("p")) & (F.col("q") < F.col("hi"))
+    asked = written(met.join(regions.select("k", "lo", "words"), ["k", "lo"]).select("c", "p", "k", F.col("s").alias("lo"), stretch.alias("words")), "asked")
     cut = F.array_join(F.slice(F.split("words", " "), F.col("p") - F.col("lo") + 1, F.col("q") - F.col("p") + window), " ")
-    shards = asked.where(holds).groupBy("c", "p").agg(F.min(cut).alias("passage"))
-    streams = asked.select("c", "p", "k", "lo", "words").join(shards, ["c", "p"])
+    shards = located.select("k", "lo", "p", "q").distinct().join(regions.select("k", "lo", "words"), ["k", "lo"]).select(F.col("k").alias("c"), "p", cut.alias("passage")).dropDuplicates(["c", "p"])
+    streams = asked.join(shards, ["c", "p"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, None

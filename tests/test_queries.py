@@ -9,7 +9,6 @@ from vicinity import queries
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"hybrid_search", "nn_descent"}
 
 
 @pytest.fixture(scope="module")

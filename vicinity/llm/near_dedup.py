@@ -9,10 +9,11 @@ grow with the corpus.
 Each text gets BANDS * ROWS consistent weighted samples; two texts draw the same
 sample with the probability of their weighted Jaccard similarity. Texts with
 equal words are one node. Nodes that share a band meet at the band's head and are
-verified by the exact weighted Jaccard similarity of their whole texts; nodes
-that the head does not match meet again at new heads until none is left, so no
-bucket is expanded into all its pairs and none is capped. Verified links form
-classes by their connected components, found by star contraction.
+verified by the exact weighted Jaccard similarity of their whole texts. The head
+is the node that shares the most bands with others: of many copies the original.
+Nodes that the head does not match meet again at new heads, until none is left in
+buckets of up to EXHAUSTED nodes, and HOT_ROUNDS times in larger ones. Verified
+links form classes by their connected components, found by star contraction.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 BUCKETS = 1 << 18
+#: Buckets of up to so many texts are gone through until every text has matched or met all others; in larger ones each text
+#: meets the heads of so many rounds: 1, then 4 more.
+EXHAUSTED, HOT_ROUNDS = 16, 2
 #: Entries of the table of random triples that the samples share.
 _TABLE = 1 << 16
 _ONE = np.uint64(1)
@@ -179,24 +183,28 @@ def verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataF
                 result.append(sampler.similarity(sampler.vector(x), known[b]) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(result, pa.bool_())], names=["a", "b", "similar"])
 
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # texts meet by shuffles at every size: the pairs grow with the corpus
+    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similar boolean")
 
 
 def links(nodes: DataFrame, docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     """Verified links (a, b), a > b, between nodes (doc_id, bands)."""
     members = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    left = written(members.join(shared, "bucket"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = members.join(shared, "bucket")
+    # the text that most others share bands with, as the original of many copies does, is the first head
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    left = written(met.join(weight, "node"), "buckets")
     involved = left.select(F.col("node").alias("doc_id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = written(own.join(involved, "doc_id", "left_semi"), "texts")
+    texts = written(own.join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
     found, turn = None, 0
     while True:
-        # from the second round on a bucket has several heads, chosen by chance: few rounds empty even a bucket of unlike texts
+        # from the second round on a bucket has several heads: few rounds empty even a bucket of unlike texts
         salt = F.pmod(F.xxhash64(F.col("node"), F.lit(turn)), F.lit(4**turn))
-        heads = left.groupBy("bucket", salt.alias("salt")).agg(F.min("node").alias("head")).select("bucket", "head")
+        heads = left.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("head")).select("bucket", "head")
         meet = left.join(heads, "bucket").where(F.col("node") != F.col("head"))
         pairs = meet.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
         checked = written(verify(pairs, texts, frequencies), "checked")
@@ -206,7 +214,9 @@ def links(nodes: DataFrame, docs: DataFrame, frequencies: np.ndarray) -> DataFra
         linked = meet.withColumn("a", F.greatest("node", "head")).withColumn("b", F.least("node", "head")).join(good, ["a", "b"]).select("bucket", "node")
         done = linked.unionByName(heads.select("bucket", F.col("head").alias("node"))).distinct()
         rest = left.join(done, ["bucket", "node"], "left_anti")
-        more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        if turn + 1 >= HOT_ROUNDS:
+            rest = rest.where(F.col("n") <= EXHAUSTED)
+        more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
         left = written(rest.join(more, "bucket"), "buckets")
         turn += 1
         if left.isEmpty():
@@ -260,5 +270,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay = classes(docs).where("doc_id = class_id").select(F.col("class_id").alias("_stay")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     rank = F.row_number().over(W.partitionBy("_id").orderBy("_hash"))
-    kept = rows.join(stay, F.col("_id") == F.col("_stay")).withColumn("_rank", rank).where("_rank = 1")
+    kept = rows.join(stay.hint("merge"), F.col("_id") == F.col("_stay")).withColumn("_rank", rank).where("_rank = 1")
     return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))

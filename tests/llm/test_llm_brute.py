@@ -216,6 +216,16 @@ def test_unlike_texts_in_one_bucket_all_meet(spark):
     assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(3) for j in range(1, 4)}
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_families_in_one_large_bucket_all_meet(spark, monkeypatch, tile):
+    """More families share one bucket than its heads: no link depends on a head, nor on how the bucket is cut into tiles."""
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", tile)
+    rows = [(10 * g + j, " ".join(f"g{g}w{i}" for i in range(60)) + f" tail{j}" * 2) for g in range(30) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id", "array(1L, 2L) AS bands"), docs, np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(30) for j in (1, 2)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(101, 100)], "a long, b long")
     assert {(r.node, r.root) for r in near_dedup.components(edges).collect()} == {(i, 0) for i in range(1, 31)} | {(101, 100)}

@@ -11,9 +11,11 @@ sample with the probability of their weighted Jaccard similarity. Texts with
 equal words are one node. Nodes that share a band meet at the band's head and are
 verified by the exact weighted Jaccard similarity of their whole texts. The head
 is the node that shares the most bands with others: of many copies the original.
-Nodes that the head does not match meet again at new heads, until none is left in
-buckets of up to EXHAUSTED nodes, and HOT_ROUNDS times in larger ones. Verified
-links form classes by their connected components, found by star contraction.
+In buckets of more than EXHAUSTED nodes, those that it does not match meet at more
+heads, in HOT_ROUNDS rounds in all. Heads only spare work: what they have linked
+is one class, and then every two nodes of a bucket that are not yet of one class
+are compared, in tiles of bounded size. Verified links form classes by their
+connected components, found by star contraction.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 BUCKETS = 1 << 18
-#: Buckets of up to so many texts are gone through until every text has matched or met all others; in larger ones each text
-#: meets the heads of so many rounds: 1, then 4 more.
+#: Buckets of up to so many texts have one head before all their pairs are compared; larger ones have so many rounds of heads: 1, then 4 more.
 EXHAUSTED, HOT_ROUNDS = 16, 2
+#: The most texts and bytes of text of each side of a tile, about.
+TILE_ROWS, TILE_BYTES = 1024, 4 << 20
 #: Entries of the table of random triples that the samples share.
 _TABLE = 1 << 16
 _ONE = np.uint64(1)
@@ -189,19 +192,146 @@ def verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similar boolean")
 
 
+def compare(sampler: Sampler, texts: list[str], rest: np.ndarray, part: np.ndarray, roots: np.ndarray, bands: np.ndarray, bucket_: int) -> list[tuple[int, int]]:
+    """Links, as places, that join the classes `roots` of one tile's texts.
+
+    Every two texts of different classes are compared whose first common band is
+    this bucket, where one is of the tile's first side: the texts of `rest`, or if
+    all are, those of the least `part`. A link between classes that earlier links
+    have joined already is left out.
+    """
+    if not rest.any():
+        return []
+    first = np.flatnonzero(rest & (part == part[rest].min()))
+    second = np.setdiff1d(np.arange(len(texts)), first) if len(first) < len(texts) else first
+    values, counts, sizes = shingles(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    total = np.bincount(owner, sampler.weights(values, counts), len(texts))
+    x, y = first[:, None], second[None, :]
+    open_ = (roots[x] != roots[y]) & (np.minimum(total[x], total[y]) >= (SIMILARITY - 1e-9) * np.maximum(total[x], total[y]))
+    if first is second:
+        open_ &= x < y
+    before = np.ones(open_.shape, bool)
+    for band in range(bands.shape[1]):  # a pair is compared in the first bucket that it shares
+        here = bands[first, band] == bucket_
+        equal = bands[first, band][:, None] == bands[second, band][None, :]
+        open_ &= ~(before & equal & ~here[:, None])
+        before &= ~equal
+    if not open_.any():
+        return []
+    # a shingle that occurs n times is n tokens, so the sum of the lesser weights is a matrix product
+    kinds, kind = np.unique(values, return_inverse=True)
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    token = np.repeat(kind, counts) * (int(counts.max()) + 1) + level
+    owner = np.repeat(owner, counts)
+    idf_of = sampler.idf[bucket(kinds)]
+    side = np.zeros(len(texts), bool)
+    side[first] = True
+    several, times = np.unique(token, return_counts=True)
+    mutual = several[times > 1] if first is second else np.intersect1d(token[side[owner]], token[~side[owner]])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    place = np.zeros(len(texts), np.int64)
+    place[first] = np.arange(len(first))
+    place_second = np.zeros(len(texts), np.int64)
+    place_second[second] = np.arange(len(second))
+    common = np.zeros(open_.shape)
+    for i in range(0, len(mutual), 1024):
+        some = mutual[i : i + 1024]
+        lo, hi = np.searchsorted(token, some[0], "left"), np.searchsorted(token, some[-1], "right")
+        column = np.searchsorted(some, token[lo:hi])
+        have = some[column] == token[lo:hi]
+        column, who = column[have], owner[lo:hi][have]
+        left, right = np.zeros((len(first), len(some))), np.zeros((len(second), len(some)))
+        at = side[who]
+        left[place[who[at]], column[at]] = idf_of[some[column[at]] // (int(counts.max()) + 1)]
+        at = ~side[who] if first is not second else at
+        right[place_second[who[at]], column[at]] = 1
+        common += left @ right.T
+    alike = common / (total[x] + total[y] - common)
+    parent: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            r = up
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(open_ & (alike >= SIMILARITY - 1e-9)), strict=True):
+        a, b = int(first[i]), int(second[j])
+        ra, rb = root(int(roots[a])), root(int(roots[b]))
+        if ra != rb and (alike[i, j] >= SIMILARITY + 1e-9 or sampler.similarity(sampler.vector(texts[a]), sampler.vector(texts[b])) >= SIMILARITY):
+            parent[ra] = rb
+            out.append((a, b))
+    return out
+
+
+def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """Links (a, b) between the classes that `found` makes, from all pairs of nodes of a bucket; members is (bucket, node, bands).
+
+    The nodes of a bucket's largest class need not meet each other. They and the
+    rest are dealt out in parts of about TILE_ROWS texts and TILE_BYTES, and a
+    tile is two parts, not both of the largest class. A text is sent once a tile,
+    not once a pair.
+    """
+    sent = members.sparkSession.sparkContext.broadcast(idf(frequencies))
+    sized = members.join(texts.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.octet_length("text")).alias("size")), "node")
+    of = written(sized.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    by_root = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    stats = by_root.groupBy("bucket").agg(F.max(F.struct("m", "root", "s")).alias("main"), F.sum("m").alias("n"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    parts = lambda n, size: F.ceil(F.greatest(n / TILE_ROWS, size / TILE_BYTES)).cast("int")
+    sides = stats.select("bucket", F.col("main.root").alias("main"), parts(F.col("main.m"), F.col("main.s")).alias("mains"), parts(F.col("n") - F.col("main.m"), F.col("all") - F.col("main.s")).alias("rests"))
+    dealt = of.join(sides, "bucket").withColumn("rest", F.col("root") != F.col("main"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda main, i, j: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"))
+    part = F.col("part")
+    own = F.concat(F.transform(upto("rests"), lambda j: tile(False, F.least(part, j), F.greatest(part, j))), F.transform(upto("mains"), lambda j: tile(True, part, j)))
+    tiles = dealt.withColumn("tile", F.explode(F.when(F.col("rest"), own).otherwise(F.transform(upto("rests"), lambda i: tile(True, i, part)))))
+    sent_to = tiles.select("node", "root", "bands", "bucket", "rest", "part", F.xxhash64("bucket", "tile").alias("tile"))
+    full = sent_to.join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, held = Sampler(sent.value), None
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            nodes, bucket_ = table.column("node").to_numpy(), int(table.column("bucket")[0].as_py())
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+            pairs = compare(sampler, table.column("text").to_pylist(), table.column("rest").to_numpy(), table.column("part").to_numpy(), table.column("root").to_numpy(), bands, bucket_)
+            ends = np.array([(nodes[a], nodes[b]) for a, b in pairs], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
+
+        for batch in batches:
+            keys = batch.column("tile").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):  # noqa: B905
+                piece = pa.Table.from_batches([batch.slice(start, end - start)])
+                if end > start and held is not None and held.column("tile")[0].as_py() != keys[start]:
+                    yield done(held)
+                    held = None
+                if end > start:
+                    held = piece if held is None else pa.concat_tables([held, piece])
+        if held is not None:
+            yield done(held)
+
+    grouped = full.repartition("tile").sortWithinPartitions("tile", "node")
+    return written(grouped.mapInArrow(run, "a long, b long"), "exhausted")
+
+
 def links(nodes: DataFrame, docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """Verified links (a, b), a > b, between nodes (doc_id, bands)."""
-    members = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    """Verified links (a, b), a > b, between nodes (doc_id, bands): their classes are those of all alike nodes that share a bucket."""
+    members = nodes.select(F.col("doc_id").alias("node"), F.col("bands"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = members.join(shared, "bucket")
     # the text that most others share bands with, as the original of many copies does, is the first head
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    left = written(met.join(weight, "node"), "buckets")
+    every = written(met.join(weight, "node"), "buckets")
+    left = every.drop("bands")
     involved = left.select(F.col("node").alias("doc_id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = written(own.join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
-    found, turn = None, 0
-    while True:
+    found = None
+    for turn in range(HOT_ROUNDS):
         # from the second round on a bucket has several heads: few rounds empty even a bucket of unlike texts
         salt = F.pmod(F.xxhash64(F.col("node"), F.lit(turn)), F.lit(4**turn))
         heads = left.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("head")).select("bucket", "head")
@@ -210,17 +340,18 @@ def links(nodes: DataFrame, docs: DataFrame, frequencies: np.ndarray) -> DataFra
         checked = written(verify(pairs, texts, frequencies), "checked")
         good = checked.where("similar").select("a", "b")
         found = good if found is None else found.unionByName(good)
-        # who has met a head that matches, or was a head, is done with this bucket
+        if turn + 1 == HOT_ROUNDS:
+            break
+        # who has met a head that matches, or was a head, needs no more heads
         linked = meet.withColumn("a", F.greatest("node", "head")).withColumn("b", F.least("node", "head")).join(good, ["a", "b"]).select("bucket", "node")
         done = linked.unionByName(heads.select("bucket", F.col("head").alias("node"))).distinct()
-        rest = left.join(done, ["bucket", "node"], "left_anti")
-        if turn + 1 >= HOT_ROUNDS:
-            rest = rest.where(F.col("n") <= EXHAUSTED)
+        rest = left.where(F.col("n") > EXHAUSTED).join(done, ["bucket", "node"], "left_anti")
         more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
         left = written(rest.join(more, "bucket"), "buckets")
-        turn += 1
         if left.isEmpty():
-            return found.distinct()
+            break
+    found = found.distinct()
+    return found.unionByName(exhaust(every.select("bucket", "node", "bands"), texts, found, frequencies)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

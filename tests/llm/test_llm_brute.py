@@ -216,6 +216,18 @@ def test_unlike_texts_in_one_bucket_all_meet(spark):
     assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(3) for j in range(1, 4)}
 
 
+def test_a_matched_text_still_meets_the_unmatched_ones(spark):
+    """A is alike to the head H and to B, but B is not alike to H; all share one bucket."""
+    words = [f"w{i}" for i in range(300)]
+    changed = lambda at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(0, changed(())), (1, changed((50, 100, 150))), (2, changed((50, 100, 150, 200, 220, 240, 260, 280)))], "doc_id long, text string")
+    sampler = near_dedup.Sampler(near_dedup.idf(np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    h, a, b = (sampler.vector(r.text) for r in docs.orderBy("doc_id").collect())
+    assert min(sampler.similarity(h, a), sampler.similarity(a, b)) >= near_dedup.SIMILARITY > sampler.similarity(h, b)
+    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id", "array(1L) AS bands"), docs, np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    assert {(r.node, r.root) for r in found.collect()} == {(1, 0), (2, 0)}
+
+
 @pytest.mark.parametrize("tile", [1024, 7])
 def test_families_in_one_large_bucket_all_meet(spark, monkeypatch, tile):
     """More families share one bucket than its heads: no link depends on a head, nor on how the bucket is cut into tiles."""

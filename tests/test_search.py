@@ -186,6 +186,19 @@ def test_nn_descent_recall(spark):
     assert evaluate.recall(evaluate.hits(found, exact)).first()[0] >= 0.8
 
 
+def test_registered_nn_descent_recall(spark):
+    from vicinity import queries
+
+    root = "/root/testdata/sf0.1"
+    nodes, _ = data(spark, root)
+    rows = nodes.select("id", "vec").orderBy("id").collect()
+    ids, near = np.array([r.id for r in rows]), graph.nearest(np.array([r.vec for r in rows], np.float64), 5)
+    exact = {(int(ids[i]), int(ids[j])) for i, row in enumerate(near) for j in row}
+    found = {(r.src, r.dst) for r in queries.QUERIES["nn_descent"](spark, root).collect()}
+    recall = len(found & exact) / len(exact)
+    assert recall >= 0.9, recall
+
+
 def test_legacy_files(spark, tmp_path):
     rows, nodes, _ = made(spark, 30)
     (tmp_path / "base.bin").write_bytes(b"".join(legacy.encode(nodes, legacy.BASE)))

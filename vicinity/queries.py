@@ -160,7 +160,7 @@ QUERIES: dict[str, Query] = {
     "graph_degree_stats": _base(lambda n: graph.degree_stats(graph.reversed_edges(graph.knn_graph(n, 5)))),
     "graph_violations": _base(lambda n: graph.violations(graph.reversed_edges(graph.knn_graph(n, 5)), n)),
     "knn_graph_pruned": _base(lambda n: graph.build(graph.by_category(n, 0.0))),
-    "nn_descent": _base(lambda n: _rounded(graph.nn_descent(n, 5, 2, store=stored), "d2")),
+    "nn_descent": _base(lambda n: _rounded(graph.nn_descent(n, 5, store=stored), "d2")),
     **{f"graph_search_type{t}": _graph_search(t) for t in range(4)},
     "hybrid_search": _both(lambda n, q: _rounded(HybridIndex(n, AT, store=stored).search(q, K), "d2")),
 }

@@ -338,6 +338,14 @@ def test_reliabilities():
 # language
 
 
+def test_copies_take_one_place_in_a_dictionary(spark):
+    rng = random.Random(4)
+    alone = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(30)]
+    hot = sorted(alone, key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}') AS h").first().h)[0]
+    docs = spark.createDataFrame([(t, "xx") for t in alone + [hot] * 300], "text string, lang string")
+    assert sorted(r.text for r in langid.samples(docs).collect()) == sorted(alone)
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = queries.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

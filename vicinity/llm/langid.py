@@ -34,12 +34,13 @@ def letters(text: Column) -> Column:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """(lang, text): of each language the learning documents with the smallest hashes of their texts, as many as fill a dictionary.
+    """(lang, text): of each language the distinct samples with the smallest hashes of their texts, as many as fill a dictionary.
 
-    A sample is up to SAMPLE_BYTES characters around the middle of a text. The
-    rows per language are bounded before anything reaches the driver: a top-k
-    that Spark takes within partitions first, so one language may hold any
-    share of all rows.
+    A sample is up to SAMPLE_BYTES characters around the middle of a text; copies
+    count once. Which samples stay is decided on their hashes alone: copies go
+    within partitions first, and so does what is beyond the top k, so one language
+    or one text may hold any share of all rows. A second scan fetches the samples
+    that stay: their number is bounded before anything reaches the driver.
     """
     from pyspark.sql.window import Window as W
 
@@ -47,8 +48,11 @@ def samples(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     start = F.greatest(F.lit(1), (F.char_length(text) - SAMPLE_BYTES) / 2).cast("int")
     learn = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), letters(F.substring(text, start, F.lit(SAMPLE_BYTES))).alias("text"), F.xxhash64(text).alias("_h")).where(F.char_length("text") >= 100)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "text"))
-    return learn.select("*", rank.alias("_r")).where(F.col("_r") <= k).drop("_r")
+    learn = learn.withColumn("_s", F.xxhash64("text"))
+    distinct = learn.groupBy("lang", "_s").agg(F.min("_h").alias("_h"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "_s"))
+    stay = distinct.select("*", rank.alias("_r")).where(F.col("_r") <= k).drop("_r", "_h")
+    return learn.join(F.broadcast(stay), ["lang", "_s"]).groupBy("lang", "text").agg(F.min("_h").alias("_h"))
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:

@@ -186,6 +186,18 @@ def test_nn_descent_recall(spark):
     assert evaluate.recall(evaluate.hits(found, exact)).first()[0] >= 0.8
 
 
+def test_equally_far_nodes_go_by_id(spark):
+    """More copies of one vector in a batch than k: the smallest ids stay, wherever they lie."""
+    rng = np.random.default_rng(3)
+    ids, hot = rng.permutation(1500), rng.normal(size=8).astype(np.float32)
+    rows = [(int(i), 0, 0.5, (hot if i % 3 else hot + 1).tolist()) for i in ids]
+    nodes = spark.createDataFrame(rows, NODES).coalesce(1)
+    asked = spark.createDataFrame([(0, 0, None, None, None, (hot + np.float32(0.1)).tolist())], QUERIES)
+    got = [r.id for r in knn.search(nodes, asked, 5).orderBy("rank").collect()]
+    assert got == [1, 2, 4, 5, 7]
+    assert got == [r.id for r in knn.joined(nodes, asked, 5).orderBy("rank").collect()]
+
+
 def test_registered_nn_descent_recall(spark):
     from vicinity import queries
 

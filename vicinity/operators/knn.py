@@ -29,8 +29,8 @@ K = 100
 BLOCK_ROWS = 10_000
 #: Nodes that meet a block at once, bounding the distance matrix.
 BATCH_ROWS = 2048
-#: Candidates beyond k kept by the matrix product, before distances are taken exactly.
-SLACK = 8
+#: Pairs of a query and a node whose distances are taken exactly at once.
+EXACT_PAIRS = 1 << 20
 
 
 def top(pairs: DataFrame, k: int, by: str = "d2") -> DataFrame:
@@ -114,17 +114,14 @@ def _scan(nodes: DataFrame, rows: list[tuple], k: int) -> DataFrame:
                 ids = part.column("id").to_numpy()
                 number = lambda name: part.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 d = block.square[:, None] + (vec * vec).sum(1)[None, :] - 2 * block.vec @ vec.T
-                d[~block.allowed(number("c"), number("t"))] = np.inf
-                keep = min(k + SLACK, d.shape[1])
-                near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < d.shape[1] else np.broadcast_to(np.arange(keep), (len(d), keep))
-                open_ = np.isfinite(np.take_along_axis(d, near, 1))
-                exact = np.full(near.shape, np.inf)
-                q, j = np.nonzero(open_)
-                for a in range(0, len(q), 1 << 15):
-                    s = slice(a, a + (1 << 15))
-                    gap = block.vec[q[s]] - vec[near[q[s], j[s]]]
-                    exact[q[s], j[s]] = (gap * gap).sum(1)
-                best_d, best_id = _merge(np.concatenate([best_d, exact], 1), np.concatenate([best_id, ids[near]], 1), k)
+                found_d, found_id = np.full((len(d), min(k, len(ids))), np.inf), np.zeros((len(d), min(k, len(ids))), np.int64)
+                d[~block.allowed(number("c"), number("t")) | ~np.isfinite(d)] = np.inf
+                step = max(1, EXACT_PAIRS // max(1, len(ids)))
+                for a in range(0, len(d), step):
+                    own = slice(a, a + step)
+                    near_d, near_id = _nearest(block.vec[own], block.square[own], vec, ids, d[own], k)
+                    found_d[own, : near_d.shape[1]], found_id[own, : near_d.shape[1]] = near_d, near_id
+                best_d, best_id = _merge(np.concatenate([best_d, found_d], 1), np.concatenate([best_id, found_id], 1), k)
         q, j = np.nonzero(np.isfinite(best_d))
         yield pa.RecordBatch.from_arrays([pa.array(block.qid[q]), pa.array(best_id[q, j]), pa.array(best_d[q, j])], names=["qid", "id", "d2"])
 
@@ -132,6 +129,32 @@ def _scan(nodes: DataFrame, rows: list[tuple], k: int) -> DataFrame:
     return top(scanned, k).select("qid", "rank", "id", "d2")
 
 
+def _nearest(asked: np.ndarray, square: np.ndarray, vec: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's k best nodes by (exact distance, id), from distances d that the matrix product has rounded; inf where there are fewer.
+
+    All nodes not farther than the k-th are taken exactly, with a margin for the
+    rounding, so that of many equally far ones the smallest ids stay.
+    """
+    k = min(k, d.shape[1])
+    out_d, out_id = np.full((len(d), k), np.inf), np.zeros((len(d), k), np.int64)
+    if not k:
+        return out_d, out_id
+    far = np.partition(d, k - 1, axis=1)[:, k - 1]
+    margin = 1e-12 * (square + (vec * vec).sum(1).max())
+    q, j = np.nonzero(np.isfinite(d) & (d <= (far + margin)[:, None]))
+    exact = np.empty(len(q))
+    for a in range(0, len(q), 1 << 15):
+        s = slice(a, a + (1 << 15))
+        gap = asked[q[s]] - vec[j[s]]
+        exact[s] = (gap * gap).sum(1)
+    order = np.lexsort((ids[j], exact, q))
+    q, j, exact = q[order], j[order], exact[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    best = place < k
+    out_d[q[best], place[best]], out_id[q[best], place[best]] = exact[best], ids[j[best]]
+    return out_d, out_id
+
+
 def _merge(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's k best by (distance, id)."""
     order = np.lexsort((ids, d), axis=1)[:, :k]

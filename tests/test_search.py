@@ -61,8 +61,7 @@ def test_search_in_several_blocks_and_equal_vectors(spark, monkeypatch):
     nodes = spark.createDataFrame(rows, NODES)
     asked = [(q, 0, None, None, None, [1.0, 2.0]) for q in range(5)]
     queries = spark.createDataFrame(asked, QUERIES)
-    blocks = list(knn.query_blocks(queries, 2))
-    assert len(blocks) == 3 and sorted(r[0] for b in blocks for r in b) == list(range(5))
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 2)
     assert collected(knn.search(nodes, queries, 4)) == [(q, r + 1, r, 0.0) for q in range(5) for r in range(4)]
 
 
@@ -161,27 +160,141 @@ def test_range_search_in_a_shard_returns_only_the_range():
     vec, t = rng.normal(size=(300, 4)), rng.random(300)
     links = {0: graph.build_links(vec, 6, 30)}
     query = rng.normal(size=4)
-    got = graph.search_shard(np.arange(300), vec, t, links, query, 40, 0.3, 0.5)
+    times = [[float(t[j]) for j in row] for row in links[0]]
+    got = graph.search_shard(np.arange(300), vec, t, links, times, query, 40, 0.3, 0.5)
     inside = {i for i in range(300) if 0.3 <= t[i] <= 0.5}
     want = sorted(inside, key=lambda i: ((vec[i] - query) ** 2).sum())[:10]
     assert {i for i, _ in got} <= inside and len({i for i, _ in got[:10]} & set(want)) >= 9
-    assert graph.search_shard(np.arange(300), vec, t, links, query, 40, 2.0, 3.0) == []
+    assert graph.search_shard(np.arange(300), vec, t, links, times, query, 40, 2.0, 3.0) == []
 
 
 def test_hybrid_search(spark):
     nodes, asked = data(spark, ROOT)
     at = Thresholds(scan=0.05, scan_both=0.05, index=0.05)
-    found = stored(HybridIndex(nodes, at, 16, 60, store=stored).search(asked, 10), "found")
+    found = stored(HybridIndex.build(nodes, at, 16, 60, store=stored).search(asked, 10), "found")
     truth = knn.search(nodes, asked, 10)
     assert evaluate.recall(evaluate.hits(found, truth)).first()[0] >= 0.9
     pairs = found.join(asked, "qid").join(nodes, "id").where(~predicates.any_match())
     assert pairs.count() == 0 and found.groupBy("qid", "id").count().where("count > 1").count() == 0
 
 
+def test_an_index_is_the_same_when_loaded_and_grows(spark, tmp_path):
+    nodes, asked = data(spark, ROOT)
+    at = Thresholds(scan=0.05, scan_both=0.05, index=0.05)
+    truth = knn.search(nodes, asked, 10)
+    whole = HybridIndex.build(nodes, at, 16, 60, store=stored)
+    whole.save(f"file://{tmp_path}/whole")
+    loaded = HybridIndex.load(spark, f"file://{tmp_path}/whole", at)
+    assert (loaded.alpha, loaded.m) == (whole.alpha, 16) and collected(loaded.search(asked, 10)) == collected(whole.search(asked, 10))
+    part = HybridIndex.build(nodes.where("id % 4 != 0"), at, 16, 60, store=stored)
+    grown = part.add(nodes.where("id % 4 = 0"), store=stored)
+    assert grown.nodes.count() == nodes.count() and grown.slices.count() == nodes.count()
+    bad = graph.violations(grown.slice_edges.where("level = 0"), nodes).first()
+    assert (bad.loops, bad.repeated, bad.unknown, bad.unreached) == (0, 0, 0, 0)
+    assert grown.slice_edges.where("level = 0").groupBy("index_id", "src").count().agg({"count": "max"}).first()[0] <= 2 * 16 + 4
+    assert evaluate.recall(evaluate.hits(grown.search(asked, 10), truth)).first()[0] >= 0.9
+    again = grown.add(nodes.where("id = 4").withColumn("id", predicates.F.lit(10**6).cast("long")), store=stored)
+    assert again.slice_edges.where("src = 1000000").count() and again.nodes.count() == nodes.count() + 1
+
+
+def test_full_shards_open_new_ones(spark):
+    rows, nodes, _ = made(spark, 200)
+    at = Thresholds(index=0.0)
+    index = HybridIndex.build(nodes.where("id < 100"), at, 4, 10, shard_rows=10, store=stored)
+    grown = index.add(nodes.where("id >= 100"), store=stored)
+    before, after = ({r[0] for r in x.categories.select("index_id").distinct().collect()} for x in (index, grown))
+    assert before < after and grown.categories.count() == 200
+
+
+def test_links_of_one_entry(spark):
+    """Every node can be reached from the middle, by few links each, and the nearest are found."""
+    rng = np.random.default_rng(2)
+    vec = rng.normal(size=(400, 6))
+    links = graph.nsg_links(vec, 8, 40)
+    entry = int(np.argmin(((vec - vec.mean(0)) ** 2).sum(1)))
+    seen, stack = {entry}, [entry]
+    while stack:
+        new = set(links[stack.pop()]) - seen
+        seen |= new
+        stack += new
+    assert len(seen) == 400 and np.mean([len(x) for x in links]) <= 9
+    nodes = spark.createDataFrame([(i, 0, 0.5, v.tolist()) for i, v in enumerate(vec)], NODES)
+    indexed = stored(graph.by_category(nodes, 0.0), "indexed")
+    asked = spark.createDataFrame([(q, 0, None, None, None, rng.normal(size=6).tolist()) for q in range(20)], QUERIES)
+    found = graph.search_everywhere(indexed, stored(graph.build(indexed, 8, 40, "nsg"), "edges"), asked.selectExpr("qid", "qvec", "60 AS ef"), 10)
+    assert evaluate.recall(evaluate.hits(found, knn.search(nodes, asked, 10))).first()[0] >= 0.9
+
+
+def brute_links(vec, m, candidates):
+    """The build, spelled out: nearest, diverse, mutual, cut."""
+    d = ((vec[:, None] - vec[None]) ** 2).sum(2)
+    def pick(i, some, most):
+        kept = []
+        for j in sorted(some, key=lambda j: (d[i, j], j)):
+            if len(kept) < most and all(d[x, j] >= d[i, j] for x in kept):
+                kept.append(j)
+        return kept
+    links = [pick(i, sorted((j for j in range(len(vec)) if j != i), key=lambda j: (d[i, j], j))[:candidates], m) for i in range(len(vec))]
+    both = [{*row, *(j for j, x in enumerate(links) if i in x)} for i, row in enumerate(links)]
+    return [set(pick(i, x, 2 * m)) if len(x) > 2 * m else x for i, x in enumerate(both)]
+
+
+def test_links_against_brute_force():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 3), (2, 3), (40, 3), (150, 4)):
+        vec = rng.normal(size=(n, 5))
+        assert [set(x) for x in graph.build_links(vec, m, 20)] == graph_connected(vec, brute_links(vec, m, 20))
+
+
+def graph_connected(vec, links):
+    return [set(x) for x in graph._connected(vec, [sorted(x) for x in links])]
+
+
+def test_inner_product_and_own_predicates(spark):
+    rows, nodes, asked = made(spark, queries=ASKED[:1])
+    asked = asked.withColumn("qvec", predicates.F.expr("array(1f, 2f, 0f, -1f, 0f)"))
+    got = [(r.id, round(r.d2, 5)) for r in knn.search(nodes, asked, 5, "IP", predicates.F.col("id") % 2 == 0).orderBy("rank").collect()]
+    ip = lambda v: -sum(float(np.float32(a)) * b for a, b in zip(v, (1, 2, 0, -1, 0), strict=True))
+    assert got == [(i, round(d, 5)) for d, i in sorted((ip(x[3]), x[0]) for x in rows if x[0] % 2 == 0)[:5]]
+    with pytest.raises(ValueError):
+        knn.search(nodes, asked, 5, "cosine")
+
+
+@pytest.mark.parametrize("qtype", range(4))
+def test_registered_graph_searches_recall(spark, qtype):
+    from vicinity import queries
+
+    root = "/root/testdata/sf0.01"
+    nodes, asked = data(spark, root)
+    found = queries.QUERIES[f"graph_search_type{qtype}"](spark, root)
+    truth = knn.search(nodes, asked.where(f"qtype = {qtype}"), queries.K)
+    assert evaluate.recall(evaluate.hits(found, truth)).first()[0] >= 0.9
+
+
+def test_ranks_of_ties_and_hot_moments(spark):
+    rng = np.random.default_rng(6)
+    times = [0.5] * 300 + rng.random(200).round(2).tolist() + [None]
+    nodes = spark.createDataFrame([(i, i % 3 if i % 50 else None, t, [0.0]) for i, t in enumerate(times)], NODES)
+    ends = [(q, str(q % 3) if q % 2 else predicates.ALL, *sorted(rng.random(2).round(2).tolist())) for q in range(30)] + [(30, predicates.ALL, 0.5, 0.5), (31, "7", 0.0, 1.0)]
+    asked = spark.createDataFrame([*ends, (32, predicates.ALL, 0.9, 0.1), (33, predicates.ALL, None, 0.1)], "qid long, key string, l double, r double")
+    got = {r.qid: (r.below, r.upto) for r in predicates.ranks(nodes, asked).collect()}
+    rows = [(str(i % 3) if i % 50 else None, t) for i, t in enumerate(times) if t is not None]
+    assert got == {q: (sum(t < l for c, t in rows if key in (predicates.ALL, c)), sum(t <= r for c, t in rows if key in (predicates.ALL, c))) for q, key, l, r in ends}
+
+
+def test_counting_makes_no_pairs(spark):
+    """No join of the plan makes more rows than nodes and queries together, whatever the ranges cover."""
+    n = 4000
+    nodes = spark.range(n).selectExpr("id", "CAST(0 AS int) AS c", "id / 4000D AS t", "array(0f) AS vec")
+    asked = spark.range(500).selectExpr("id AS qid", "CAST(2 + id % 2 AS int) AS qtype", "CAST(0 AS int) AS v", "0.01D AS l", "0.99D AS r", "array(0f) AS qvec")
+    assert {r.hits for r in selectivity(nodes, asked).collect()} == {3921}
+    plan = selectivity(nodes, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "t#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 def test_nn_descent_recall(spark):
     nodes, _ = data(spark, ROOT)
-    some = nodes.withColumn("all", predicates.F.lit(0))
-    exact = graph.knn_graph(some, 5, "all").selectExpr("src AS qid", "dst AS id")
+    exact = graph.knn_graph(nodes.withColumn("c", predicates.F.lit(0)), 5).selectExpr("src AS qid", "dst AS id")
     found = graph.nn_descent(nodes, 5, 4, store=stored).selectExpr("src AS qid", "dst AS id")
     assert evaluate.recall(evaluate.hits(found, exact)).first()[0] >= 0.8
 

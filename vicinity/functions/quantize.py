@@ -62,12 +62,24 @@ def pack_sq4(codes: Column) -> Column:
 LEVELS = {0: "fp32", 1: "sq8", 2: "sq8", 3: "sq8sym"}
 
 
-def encoded(nodes: DataFrame, name: str, vec: str = "vec", trained_on: DataFrame | None = None) -> DataFrame:
-    """The rows with `code`. The quantizer is trained on trained_on, or on the rows themselves; its parameters are one row."""
-    base = nodes if trained_on is None else trained_on
+def quantizer(level: int) -> str:
+    """The quantizer's name of a level of precision."""
+    if level not in LEVELS:
+        raise ValueError(f"unknown level {level}; known: {sorted(LEVELS)}")
+    return LEVELS[level]
+
+
+def trained(nodes: DataFrame, name: str) -> tuple:
+    """A quantizer's parameters, in one pass over the nodes: as many numbers as a vector has, at most twice."""
+    if name == "fp32":
+        return ()
+    return tuple({"sq8sym": train_sq8sym, "sq8": lambda n: sq8_row(train_sq8(n)), "sq4": train_sq4}[name](nodes).first())
+
+
+def encoded(nodes: DataFrame, name: str, vec: str = "vec", known: tuple | None = None) -> DataFrame:
+    """The rows with `code`. The quantizer is trained on the rows themselves unless its parameters are known."""
     if name == "fp32":
         return nodes.withColumn("code", F.col(vec))
-    trained = {"sq8sym": train_sq8sym, "sq8": lambda n: sq8_row(train_sq8(n)), "sq4": train_sq4}[name](base)
-    names = [f"_{c}" for c in trained.columns]
     code = {"sq8sym": encode_sq8sym, "sq8": encode_sq8, "sq4": encode_sq4}[name]
-    return nodes.join(F.broadcast(trained.toDF(*names)), F.lit(True)).withColumn("code", code(F.col(vec), *map(F.col, names))).drop(*names)
+    one = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x).cast("double")
+    return nodes.withColumn("code", code(F.col(vec), *map(one, trained(nodes, name) if known is None else known)))

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vicinity.functions.vector import l2sq
-from vicinity.operators.knn import top
+from vicinity.operators.knn import BLOCK_ROWS, search, top
 from vicinity.operators.predicates import category_counts, slice_of
+from vicinity.sources.shared import stored
 
 M = 28
 CANDIDATES = 200
@@ -66,22 +67,35 @@ def nearest(vec: np.ndarray, k: int) -> np.ndarray:
     for a in range(0, n, _BLOCK):
         d = distances(vec[a : a + _BLOCK], vec)
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out[a : a + _BLOCK] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        far = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k else d[:, :0]
+        row, place = np.nonzero(d <= far) if k else (np.empty(0, np.int64),) * 2  # all that are as far as the k-th: of equals the first stay
+        order = np.lexsort((place, d[row, place], row))
+        row, place = row[order], place[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        out[a + row[rank < k], rank[rank < k]] = place[rank < k]
     return out
 
 
 def diverse(vec: np.ndarray, node: int, candidates: list[int], most: int) -> list[int]:
-    """Candidates in order of distance, each kept unless a kept one is closer to it than the node is."""
+    """Candidates in order of distance, each kept unless a kept one is closer to it, by more than rounding, than the node is."""
     if not candidates:
         return []
     to_node = ((vec[candidates] - vec[node]) ** 2).sum(1)
+    order = np.lexsort((candidates, to_node))
+    places, to_node = np.asarray(candidates)[order], to_node[order]
+    own = vec[places]
+    square = (own * own).sum(1)
+    margin = 1e-9 * (1 + square.max())
+    dropped = np.zeros(len(places), bool)
     kept: list[int] = []
-    for i in np.lexsort((candidates, to_node)):
-        c = candidates[i]
-        if not kept or (((vec[kept] - vec[c]) ** 2).sum(1) >= to_node[i]).all():
-            kept.append(c)
-            if len(kept) >= most:
-                break
+    while len(kept) < most:
+        rest = np.flatnonzero(~dropped)
+        if not len(rest):
+            break
+        i = rest[0]
+        kept.append(int(places[i]))
+        dropped |= square + square[i] - 2 * (own @ own[i]) < to_node - margin
+        dropped[: i + 1] = True
     return kept
 
 
@@ -97,13 +111,13 @@ def build_links(vec: np.ndarray, m: int = M, candidates: int = CANDIDATES) -> li
     return _connected(vec, links)
 
 
-def _connected(vec: np.ndarray, links: list[list[int]]) -> list[list[int]]:
-    """Tie what the first node does not reach to its nearest reached node, both ways."""
+def _connected(vec: np.ndarray, links: list[list[int]], entry: int = 0) -> list[list[int]]:
+    """Tie what the entry does not reach to its nearest reached node, both ways."""
     if not links:
         return links
     reached = np.zeros(len(links), bool)
-    stack = [0]
-    reached[0] = True
+    stack = [entry]
+    reached[entry] = True
     while True:
         while stack:
             for j in links[stack.pop()]:
@@ -128,30 +142,116 @@ def levels(ids: np.ndarray, m: int = M) -> np.ndarray:
     return np.floor(-np.log(unit(ids)) / math.log(m)).astype(int)
 
 
-def build(indexed: DataFrame, m: int = M, candidates: int = CANDIDATES) -> DataFrame:
-    """The edge table of every shard: level 0 for all nodes, higher levels for the entry descent. pos counts from 0."""
+def nsg_links(vec: np.ndarray, m: int = M, candidates: int = CANDIDATES) -> list[list[int]]:
+    """Links of one shard for a search that always enters at the node nearest to the centroid, which comes first.
+
+    Each node keeps diverse ones of its nearest and of those that lie on the way
+    to it from the entry; each link's end may take the link back if it stays
+    diverse; what the entry does not reach is tied to the nearest node that it does.
+    """
+    if not len(vec):
+        return []
+    entry = int(np.argmin(((vec - vec.mean(0)) ** 2).sum(1)))
+    near = nearest(vec, candidates)
+    links = []
+    for i, row in enumerate(near):
+        path, here = [], entry
+        while here != i:  # greedily over the nearest-neighbour lists
+            path.append(here)
+            step = int(min([here, *near[here][:m]], key=lambda j: (((vec[j] - vec[i]) ** 2).sum(), j)))
+            if step == here:
+                break
+            here = step
+        links.append(diverse(vec, i, sorted({*row.tolist(), *path} - {i}), m))
+    both = [set(x) for x in links]
+    for i, row in enumerate(links):
+        for j in row:
+            both[j].add(i)
+    links = [sorted(x) if len(x) <= m else diverse(vec, i, sorted(x), m) for i, x in enumerate(both)]
+    return _connected(vec, links, entry)
+
+
+def _edges(index_id: str, ids: np.ndarray, t: np.ndarray, rows: list[tuple]) -> pd.DataFrame:
+    """The edge table from (place, pos, place, level)."""
+    src, pos, dst, level = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 4
+    return pd.DataFrame({"index_id": index_id, "src": ids[src], "pos": pos, "dst": ids[dst], "dst_t": t[dst], "level": level})
+
+
+def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.stack(frame["vec"].to_list()).astype(np.float64), frame["id"].to_numpy(), frame["t"].to_numpy()
+
+
+def build(indexed: DataFrame, m: int = M, candidates: int = CANDIDATES, kind: str = "levels") -> DataFrame:
+    """The edge table of every shard, pos counting from 0. Kind `levels`: level 0 for all nodes, higher levels for the entry descent; `nsg`: level 0 alone, entered at the first node."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable").drop_duplicates("id")
-        vec, ids, t = np.stack(frame["vec"].to_list()).astype(np.float64), frame["id"].to_numpy(), frame["t"].to_numpy()
-        level, rows = levels(ids, m), []
-        for l in range(int(level.max(initial=0)) + 1):
-            at = np.flatnonzero(level >= l)
-            for i, row in enumerate(build_links(vec[at], m if l == 0 else max(2, m // 2), candidates)):
-                rows += [(ids[at[i]], p, ids[at[j]], t[at[j]], l) for p, j in enumerate(row)]
-        out = pd.DataFrame(rows, columns=["src", "pos", "dst", "dst_t", "level"])
-        out.insert(0, "index_id", frame["index_id"].iloc[0])
-        return out
+        vec, ids, t = _arrays(frame.sort_values("id", kind="stable").drop_duplicates("id"))
+        rows = []
+        if kind == "nsg":
+            rows += [(i, p, j, 0) for i, row in enumerate(nsg_links(vec, m, candidates)) for p, j in enumerate(row)]
+        else:
+            level = levels(ids, m)
+            for l in range(int(level.max(initial=0)) + 1):
+                at = np.flatnonzero(level >= l)
+                for i, row in enumerate(build_links(vec[at], m if l == 0 else max(2, m // 2), candidates)):
+                    rows += [(at[i], p, at[j], l) for p, j in enumerate(row)]
+        return _edges(frame["index_id"].iloc[0], ids, t, rows)
 
     return indexed.select("index_id", "id", "t", "vec").groupBy("index_id").applyInPandas(one, EDGES)
 
 
-def knn_graph(nodes: DataFrame, k: int, key: str = "c") -> DataFrame:
-    """The exact k nearest others of each node among those of equal key: (src, pos, dst, d2), in joins."""
-    right = nodes.select(F.col("id").alias("dst"), F.col(key).alias("_k"), F.col("vec").alias("_v"))
-    pairs = nodes.join(right, (F.col(key) == F.col("_k")) & (F.col("id") != F.col("dst")))
-    ranked = top(pairs.select(F.col("id").alias("qid"), F.col("dst").alias("id"), l2sq(F.col("vec"), F.col("_v")).alias("d2")), k)
-    return ranked.select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "d2")
+def extend(indexed: DataFrame, edges: DataFrame, added: DataFrame, m: int = M, candidates: int = CANDIDATES) -> DataFrame:
+    """The edges of the shards that get new nodes (index_id, id, t, vec), which are linked into what is there.
+
+    Only those shards are read. A new node links to diverse ones of its nearest,
+    old or new; they link back, and a node with more than 2 * m links keeps diverse
+    ones. Nodes that a shard has already are not added again.
+    """
+
+    def one(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        old, new = old.drop_duplicates("id").sort_values("id", kind="stable"), new.drop_duplicates("id").sort_values("id", kind="stable")
+        new = new[~new["id"].isin(old["id"])]
+        both = pd.concat([old[["id", "t", "vec"]], new[["id", "t", "vec"]]], ignore_index=True)
+        vec, ids, t = _arrays(both)
+        place, level, rows = {x: i for i, x in enumerate(ids.tolist())}, levels(ids, m), []
+        known: dict[int, list[set[int]]] = {}
+        for i, row in enumerate(old["links"]):
+            for e in row:
+                known.setdefault(e["level"], [set() for _ in ids])[i].add(place[e["dst"]])
+        for l in range(int(level.max(initial=0)) + 1):
+            at = np.flatnonzero(level >= l)
+            own, width = {x: i for i, x in enumerate(at.tolist())}, m if l == 0 else max(2, m // 2)
+            links = [{own[j] for j in known[l][x] if j in own} if l in known else set() for x in at.tolist()]
+            changed = set()
+            for i in (own[x] for x in range(len(old), len(ids)) if x in own):
+                d = ((vec[at] - vec[at[i]]) ** 2).sum(1)
+                d[i] = np.inf
+                for j in diverse(vec[at], i, np.argsort(d, kind="stable")[: min(candidates, len(at) - 1)].tolist(), width):
+                    links[i].add(j)
+                    links[j].add(i)
+                    changed |= {i, j}
+            done = [sorted(x) if i not in changed or len(x) <= 2 * width else diverse(vec[at], i, sorted(x), 2 * width) for i, x in enumerate(links)]
+            rows += [(at[i], p, at[j], l) for i, row in enumerate(_connected(vec[at], done)) for p, j in enumerate(row)]
+        return _edges(key[0], ids, t, rows)
+
+    touched = added.select("index_id").distinct()
+    there = linked(indexed.join(touched, "index_id", "left_semi"), edges.join(touched, "index_id", "left_semi"))
+    return there.groupBy("index_id").cogroup(added.select("index_id", "id", "t", "vec").groupBy("index_id")).applyInPandas(one, EDGES)
+
+
+def linked(indexed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(index_id, id, t, vec, links): each node with its edges (level, pos, dst, dst_t)."""
+    of = edges.groupBy("index_id", F.col("src").alias("id")).agg(F.collect_list(F.struct("level", "pos", "dst", "dst_t")).alias("links"))
+    none = F.array().cast("array<struct<level:int,pos:int,dst:bigint,dst_t:double>>")
+    return indexed.select("index_id", "id", "t", "vec").join(of, ["index_id", "id"], "left").withColumn("links", F.coalesce("links", none))
+
+
+def knn_graph(nodes: DataFrame, k: int) -> DataFrame:
+    """The exact k nearest others of each node in its category: (src, pos, dst, d2), by scans for blocks of nodes, never by pairs."""
+    # among the k + 1 nearest is the node itself, or that many others are as near as it
+    asked = nodes.where("c IS NOT NULL").select(F.col("id").alias("qid"), F.lit(1).alias("qtype"), F.col("c").alias("v"), F.lit(None).cast("double").alias("l"), F.lit(None).cast("double").alias("r"), F.col("vec").alias("qvec"))
+    others = search(nodes, asked, k + 1).where("qid != id").drop("rank")
+    return top(others, k).select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "d2")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -209,23 +309,27 @@ def nn_descent(nodes: DataFrame, k: int, rounds: int | None = None, width: int =
         turn += 1
 
 
-def search_shard(ids: np.ndarray, vec: np.ndarray, t: np.ndarray, links: dict[int, list[list[int]]], query: np.ndarray, ef: int, low: float | None = None, high: float | None = None, two_hop: int = 32, entries: int = 10) -> list[tuple[int, float]]:
+def search_shard(ids: np.ndarray, vec: np.ndarray, t: np.ndarray, links: dict[int, list[list[int]]], times: list[list[float]], query: np.ndarray, ef: int, low: float | None = None, high: float | None = None, wider: int = 1, entries: int = 10, entry: int | None = None) -> list[tuple[int, float]]:
     """Beam search in one shard: up to ef (id, d2), nearest first.
 
-    links are place lists per level. With a range, entries are spread evenly over
-    the nodes in it (in time order), only those in it are results, and where few
-    neighbours are in it their neighbours are looked at too.
+    links are place lists per level, times the neighbours' times as the edges of
+    level 0 have them. With a range, entries are spread evenly over the nodes in it
+    (in time order) and only neighbours in it are results; while those are fewer
+    than `wider` times the neighbours not seen before, neighbours' neighbours are
+    looked at too.
     """
     import heapq
 
     far = lambda i: float(((vec[i] - query) ** 2).sum())
     ranged = low is not None
-    inside = (t >= low) & (t <= high) if ranged else np.ones(len(ids), bool)
-    if not inside.any():
-        return []
     if ranged:
-        order = np.flatnonzero(inside)[np.argsort(t[inside], kind="stable")]
+        inside = np.flatnonzero((t >= low) & (t <= high))
+        if not len(inside):
+            return []
+        order = inside[np.argsort(t[inside], kind="stable")]
         starts = [int(order[i]) for i in np.unique(np.linspace(0, len(order) - 1, min(entries, len(order))).astype(int))]
+    elif entry is not None:
+        starts = [entry]
     else:
         top_level = max(links)
         here = next((i for i, row in enumerate(links[top_level]) if row), 0)
@@ -235,32 +339,37 @@ def search_shard(ids: np.ndarray, vec: np.ndarray, t: np.ndarray, links: dict[in
                 best = min([here, *links[level][here]], key=lambda i: (far(i), ids[i]))
                 moved, here = best != here, best
         starts = [here]
-    seen = set(starts)
+    seen, opened = set(starts), set()
     beam = [(far(i), int(ids[i]), i) for i in starts]
     heapq.heapify(beam)
     found = [(-d, -k, i) for d, k, i in beam]
     heapq.heapify(found)
+    while len(found) > ef:
+        heapq.heappop(found)
     while beam:
         d, _, i = heapq.heappop(beam)
         if len(found) >= ef and d > -found[0][0]:
             break
-        near = [j for j in links[0][i] if j not in seen]
+        fresh = [(j, w) for j, w in zip(links[0][i], times[i], strict=True) if j not in seen]
+        seen.update(j for j, _ in fresh)
+        near = [j for j, w in fresh if not ranged or low <= w <= high]
         if ranged:
-            seen.update(links[0][i])
-            direct = [j for j in near if inside[j]]
-            wider = []
-            if 2 * len(direct) < len(links[0][i]):
-                for j in links[0][i]:
-                    for x in links[0][j]:
-                        if x not in seen and inside[x]:
-                            seen.add(x)
-                            wider.append(x)
-                    if len(wider) >= two_hop:
-                        break
-            near = direct + wider
-        seen.update(near)
-        for j in near:
-            dj = far(j)
+            for j in links[0][i]:
+                if len(near) >= wider * len(fresh):
+                    break
+                if j in opened:
+                    continue
+                opened.add(j)
+                for x, w in zip(links[0][j], times[j], strict=True):
+                    if x not in seen:
+                        seen.add(x)
+                        if low <= w <= high:
+                            near.append(x)
+                            if len(near) >= wider * len(fresh):
+                                break
+        if not near:
+            continue
+        for j, dj in zip(near, ((vec[near] - query) ** 2).sum(1).tolist(), strict=True):
             if len(found) < ef or dj < -found[0][0]:
                 heapq.heappush(beam, (dj, int(ids[j]), j))
                 heapq.heappush(found, (-dj, -int(ids[j]), j))
@@ -269,7 +378,32 @@ def search_shard(ids: np.ndarray, vec: np.ndarray, t: np.ndarray, links: dict[in
     return sorted(((int(ids[i]), -d) for d, _, i in found), key=lambda x: (x[1], x[0]))
 
 
-def graph_search(indexed: DataFrame, edges: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+class Shard:
+    """One shard's nodes and links as arrays."""
+
+    def __init__(self, frame: pd.DataFrame):
+        frame = frame.drop_duplicates("id").sort_values("id", kind="stable")
+        self.vec, self.ids, self.t = _arrays(frame)
+        place = {x: i for i, x in enumerate(self.ids.tolist())}
+        self.links: dict[int, list[list[int]]] = {0: [[] for _ in place]}
+        self.times: list[list[float]] = [[] for _ in place]
+        for i, row in enumerate(frame["links"]):
+            for e in sorted(row, key=lambda e: (e["level"], e["pos"])):
+                self.links.setdefault(e["level"], [[] for _ in place])[i].append(place[e["dst"]])
+                if not e["level"]:
+                    self.times[i].append(e["dst_t"])
+        # without higher levels to come down from, a search enters in the middle
+        self.entry = int(np.argmin(((self.vec - self.vec.mean(0)) ** 2).sum(1))) if len(self.links) == 1 else None
+
+    def answer(self, qid: int, query, ef: int, low: float | None, high: float | None, wider: int) -> list[tuple[int, int, float]]:
+        low, high = (None, None) if pd.isna(low) else (low, high)
+        return [(qid, i, d) for i, d in search_shard(self.ids, self.vec, self.t, self.links, self.times, np.asarray(query, np.float64), ef, low, high, wider, entry=self.entry)]
+
+
+_FOUND = "qid long, id long, d2 double"
+
+
+def graph_search(indexed: DataFrame, edges: DataFrame, asked: DataFrame, k: int, wider: int = 1) -> DataFrame:
     """The k best per query over all shards asked: (qid, rank, id, d2).
 
     asked has (index_id, qid, qvec, ef, low, high): what each shard is asked, low
@@ -280,32 +414,48 @@ def graph_search(indexed: DataFrame, edges: DataFrame, asked: DataFrame, k: int)
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
-            left = left.drop_duplicates("id").sort_values("id", kind="stable")
-            ids, t = left["id"].to_numpy(), left["t"].to_numpy()
-            vec = np.stack(left["vec"].to_list()).astype(np.float64)
-            place = {x: i for i, x in enumerate(ids.tolist())}
-            links: dict[int, list[list[int]]] = {0: [[] for _ in ids]}
-            for i, row in enumerate(left["links"]):
-                for e in sorted(row, key=lambda e: (e["level"], e["pos"])):
-                    links.setdefault(e["level"], [[] for _ in ids])[i].append(place[e["dst"]])
+            shard = Shard(left)
             for q in right.itertuples():
-                low, high = (None, None) if pd.isna(q.low) else (q.low, q.high)
-                out += [(q.asker, i, d) for i, d in search_shard(ids, vec, t, links, np.asarray(q.qvec, np.float64), q.ef, low, high)]
+                out += shard.answer(q.asker, q.qvec, q.ef, q.low, q.high, wider)
         return pd.DataFrame(out, columns=["qid", "id", "d2"])
 
-    linked = edges.groupBy("index_id", F.col("src").alias("id")).agg(F.collect_list(F.struct("level", "pos", "dst")).alias("links"))
-    shards = indexed.select("index_id", "id", "t", "vec").join(linked, ["index_id", "id"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<level:int,pos:int,dst:bigint>>")))
     # other names than the nodes', which the queries may come from
     to = asked.select(F.col("index_id").alias("shard"), F.col("qid").alias("asker"), "qvec", "ef", "low", "high")
     parts = to.groupBy("shard").agg(F.floor(F.count(F.lit(1)) / QUERY_BATCH + 1).cast("int").alias("parts"))
     copies = parts.select(F.col("shard").alias("copied"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shards = linked(indexed, edges)
     left = shards.join(copies, shards["index_id"] == copies["copied"])
     sized = parts.select(F.col("shard").alias("sized"), "parts")
     right = to.join(sized, F.col("shard") == F.col("sized")).withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("parts")).cast("int"))
-    met = left.groupBy("copied", "part").cogroup(right.groupBy("shard", "turn")).applyInPandas(one, "qid long, id long, d2 double")
+    met = left.groupBy("copied", "part").cogroup(right.groupBy("shard", "turn")).applyInPandas(one, _FOUND)
     best = met.groupBy("qid", "id").agg(F.min("d2").alias("d2"))
     return top(best, k).select("qid", "rank", "id", "d2")
 
 
+def _asked(sent, k: int):
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        shard, out = Shard(frame), []
+        for q in sent.value.to_pylist():
+            out += shard.answer(q["qid"], q["qvec"], q["ef"], None, None, 1)[:k]
+        return pd.DataFrame(out, columns=["qid", "id", "d2"])
+
+    return one
+
+
+def search_everywhere(indexed: DataFrame, edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As graph_search, of queries (qid, qvec, ef) that every shard is asked: they are sent in blocks, so none is copied for each shard."""
+    asked = queries.select("qid", "qvec", "ef")
+    n, out = max(1, -(-asked.count() // BLOCK_ROWS)), None
+    for b in range(n):
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else asked
+        sent = indexed.sparkSession.sparkContext.broadcast(part.toArrow())
+        found = top(linked(indexed, edges).groupBy("index_id").applyInPandas(_asked(sent, k), _FOUND).groupBy("qid", "id").agg(F.min("d2").alias("d2")), k).select("qid", "rank", "id", "d2")
+        if n > 1:
+            found = stored(found, "block")
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 #: Queries that one copy of a shard answers, about.
 QUERY_BATCH = 5000

@@ -1,9 +1,12 @@
 """Exact filtered nearest neighbours: for every query the k nearest nodes that satisfy its predicate.
 
-`search` is the fast path. Queries go to the executors in blocks of at most
+`search` is the fast path. Queries go to the executors in blocks of about
 BLOCK_ROWS rows; the nodes are scanned once a block, a batch of nodes meets the
-block in one matrix product, and each task sends on only its own k best per
-query. So what is shuffled is tasks x queries x k rows, no pair of all others.
+block in matrix products, category by category where the queries ask for one, and
+each task sends on only its own k best per query. So what is shuffled is tasks x
+queries x k rows, no pair of all others. Shuffling nodes or queries to each other
+instead would move nodes x blocks or queries x parts vectors, while a scan for
+each block reads the same nodes and moves none.
 
 `joined` is the same in plain joins, for small inputs and as a check: types 1 and
 3 join on the category, type 2 on time slices, type 0 on nothing.
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vicinity.functions.vector import l2sq
+from vicinity.functions.vector import metric as known_metric
 from vicinity.operators.predicates import matches, slice_of, slices_between
+from vicinity.sources.shared import stored
 
 K = 100
 #: Rows of queries that are sent at once: with 100 dimensions about 4 MB.
@@ -58,20 +63,32 @@ def joined(nodes: DataFrame, queries: DataFrame, k: int = K, distance: Callable[
 class Block:
     """Queries as arrays, ready to be met by batches of nodes."""
 
-    def __init__(self, rows: list[tuple]):
-        self.qid = np.array([r[0] for r in rows], np.int64)
-        self.qtype = np.array([r[1] for r in rows], np.int64)
+    def __init__(self, rows: pa.Table):
+        number = lambda name: rows.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        self.qid = rows.column("qid").to_numpy()
+        qtype = rows.column("qtype").to_numpy()
         # an attribute that is null satisfies nothing
-        self.v = np.array([np.nan if r[2] is None else r[2] for r in rows], np.float64)
-        self.l = np.array([np.nan if r[3] is None else r[3] for r in rows], np.float64)
-        self.r = np.array([np.nan if r[4] is None else r[4] for r in rows], np.float64)
-        self.vec = np.array([r[5] for r in rows], np.float64)
+        self.l, self.r = number("l"), number("r")
+        self.vec = matrix(rows.column("qvec").combine_chunks())
         self.square = (self.vec * self.vec).sum(1)
-
-    def allowed(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        category = (c[None, :] == self.v[:, None]) | ~np.isin(self.qtype, (1, 3))[:, None]
-        during = ((t[None, :] >= self.l[:, None]) & (t[None, :] <= self.r[:, None])) | ~np.isin(self.qtype, (2, 3))[:, None]
-        return category & during
+        self.ranged = np.isin(qtype, (2, 3))
+        v, bound = number("v"), np.isin(qtype, (1, 3))
+        self.free = np.flatnonzero(~bound)
+        #: the queries of each category
+        self.of = {c: np.flatnonzero(bound & (v == c)) for c in np.unique(v[bound & np.isfinite(v)])}
+
+    def groups(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of queries and of nodes that the category lets meet."""
+        if len(self.free):
+            yield self.free, np.arange(len(c))
+        if self.of:
+            kinds, kind = np.unique(c, return_inverse=True)
+            for i, x in enumerate(kinds.tolist()):
+                if x in self.of:
+                    yield self.of[x], np.flatnonzero(kind == i)
+
+    def during(self, own: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return ((t[None, :] >= self.l[own, None]) & (t[None, :] <= self.r[own, None])) | ~self.ranged[own, None]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -80,48 +97,48 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(nodes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """The fast path. Nodes or queries without a vector are left out."""
-    out = None
-    for block in query_blocks(queries):
-        found = _scan(nodes, block, k)
-        out = found if out is None else out.unionByName(found)
-    return out
-
+def search(nodes: DataFrame, queries: DataFrame, k: int = K, metric: str = "L2", predicate: Column | None = None) -> DataFrame:
+    """The fast path. Nodes or queries without a vector are left out, and nodes for which `predicate` does not hold.
 
-def query_blocks(queries: DataFrame, rows: int = BLOCK_ROWS) -> Iterator[list[tuple]]:
-    """The queries (qid, qtype, v, l, r, qvec) in blocks of about `rows` rows, one at a time."""
+    With metric IP, d2 is the negated inner product. Of several blocks each one's
+    result is stored before the next is sent, so that the driver and the executors
+    hold one block at a time.
+    """
+    known_metric(metric)
+    nodes = nodes if predicate is None else nodes.where(predicate)
     asked = queries.where(F.col("qvec").isNotNull()).select("qid", "qtype", "v", "l", "r", "qvec")
-    n = max(1, -(-asked.count() // rows))
+    n = max(1, -(-asked.count() // BLOCK_ROWS))
+    out = None
     for b in range(n):
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else asked
-        yield sorted((tuple(r) for r in part.collect()), key=lambda r: r[0])
-
+        sent = nodes.sparkSession.sparkContext.broadcast(part.toArrow())
+        found = _scan(nodes, sent, k, metric.upper() == "IP")
+        if n > 1:
+            found = stored(found, "block")
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
-def _scan(nodes: DataFrame, rows: list[tuple], k: int) -> DataFrame:
-    sent = nodes.sparkSession.sparkContext.broadcast(rows)
 
+def _scan(nodes: DataFrame, sent, k: int, inner: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not sent.value:
+        if not sent.value.num_rows:
             return
         block = Block(sent.value)
-        best_d = np.full((len(block.qid), 0), np.inf)
-        best_id = np.zeros((len(block.qid), 0), np.int64)
+        best_d, best_id = np.full((len(block.qid), k), np.inf), np.zeros((len(block.qid), k), np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
-                vec = matrix(part.column("vec"))
-                ids = part.column("id").to_numpy()
-                number = lambda name: part.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                d = block.square[:, None] + (vec * vec).sum(1)[None, :] - 2 * block.vec @ vec.T
-                found_d, found_id = np.full((len(d), min(k, len(ids))), np.inf), np.zeros((len(d), min(k, len(ids))), np.int64)
-                d[~block.allowed(number("c"), number("t")) | ~np.isfinite(d)] = np.inf
-                step = max(1, EXACT_PAIRS // max(1, len(ids)))
-                for a in range(0, len(d), step):
-                    own = slice(a, a + step)
-                    near_d, near_id = _nearest(block.vec[own], block.square[own], vec, ids, d[own], k)
-                    found_d[own, : near_d.shape[1]], found_id[own, : near_d.shape[1]] = near_d, near_id
-                best_d, best_id = _merge(np.concatenate([best_d, found_d], 1), np.concatenate([best_id, found_id], 1), k)
+                every, ids = matrix(part.column("vec")), part.column("id").to_numpy()
+                c, t = (part.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False) for x in ("c", "t"))
+                for q, n in block.groups(c):
+                    vec = every[n]
+                    step = max(1, EXACT_PAIRS // len(n))
+                    for own in (q[a : a + step] for a in range(0, len(q), step)):
+                        d = -(block.vec[own] @ vec.T) if inner else block.square[own, None] + (vec * vec).sum(1)[None, :] - 2 * block.vec[own] @ vec.T
+                        d[~block.during(own, t[n]) | ~np.isfinite(d)] = np.inf
+                        near_d, near_id = _nearest(block.vec[own], block.square[own], vec, ids[n], d, k, inner)
+                        best_d[own], best_id[own] = _merge(np.concatenate([best_d[own], near_d], 1), np.concatenate([best_id[own], near_id], 1), k)
         q, j = np.nonzero(np.isfinite(best_d))
         yield pa.RecordBatch.from_arrays([pa.array(block.qid[q]), pa.array(best_id[q, j]), pa.array(best_d[q, j])], names=["qid", "id", "d2"])
 
@@ -129,7 +146,7 @@ def _scan(nodes: DataFrame, rows: list[tuple], k: int) -> DataFrame:
     return top(scanned, k).select("qid", "rank", "id", "d2")
 
 
-def _nearest(asked: np.ndarray, square: np.ndarray, vec: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(asked: np.ndarray, square: np.ndarray, vec: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int, inner: bool) -> tuple[np.ndarray, np.ndarray]:
     """Each query's k best nodes by (exact distance, id), from distances d that the matrix product has rounded; inf where there are fewer.
 
     All nodes not farther than the k-th are taken exactly, with a margin for the
@@ -145,8 +162,8 @@ def _nearest(asked: np.ndarray, square: np.ndarray, vec: np.ndarray, ids: np.nda
     exact = np.empty(len(q))
     for a in range(0, len(q), 1 << 15):
         s = slice(a, a + (1 << 15))
-        gap = asked[q[s]] - vec[j[s]]
-        exact[s] = (gap * gap).sum(1)
+        x, y = asked[q[s]], vec[j[s]]
+        exact[s] = -(x * y).sum(1) if inner else ((x - y) * (x - y)).sum(1)
     order = np.lexsort((ids[j], exact, q))
     q, j, exact = q[order], j[order], exact[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)

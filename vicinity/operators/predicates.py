@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from vicinity.schema import SLICES
 
+#: The key of all nodes, beside the categories' own.
+ALL = ""
+#: Cells of about equally many nodes in which ranks are counted.
+CELLS = 200
+
 
 def matches(qtype: int) -> Column:
     """The predicate of a type between node columns (c, t) and query columns (v, l, r)."""
@@ -56,17 +61,48 @@ def slice_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(slice_of(F.col("t")).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranks(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, key, below, upto) for asked (qid, key, l, r): how many nodes have t < l, and how many t <= r; key is a category as text, or ALL.
+
+    Nodes and the ends of ranges are put in order of time together and counted
+    in passing, so the work is a sort of nodes + queries and no pair is formed.
+    The order is cut into cells by quantiles of t, each summed on its own; equal
+    times are one row before that, so neither a category nor a moment is one task.
+    A null or empty range counts nothing between its ends.
+    """
+    from pyspark.sql.window import Window as W
+
+    # a node counts once among all and once in its category; one without a category only among all
+    points = nodes.where("t IS NOT NULL").select(F.explode(F.array_distinct(F.array(F.lit(ALL), F.coalesce(F.col("c").cast("string"), F.lit(ALL))))).alias("key"), "t").groupBy("key", "t").agg(F.count(F.lit(1)).alias("n"))
+    ends = asked.where("l <= r").select("qid", "key", F.explode(F.array(F.struct(F.col("l").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("r").alias("t"), F.lit(2).alias("kind")))).alias("e"))
+    events = ends.select("key", "e.t", "e.kind", "qid", F.lit(0).cast("long").alias("n")).unionByName(points.select("key", "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("qid"), "n"))
+    cuts = nodes.agg(F.percentile_approx("t", F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)]), F.lit(10 * CELLS)).alias("_cuts"))
+    celled = events.join(F.broadcast(cuts), F.lit(True)).withColumn("cell", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda x: x < F.col("t")))).drop("_cuts")
+    inside = F.sum("n").over(W.partitionBy("key", "cell").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    within = celled.withColumn("_in", inside).where("kind != 1")
+    sums = celled.groupBy("key", "cell").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    full = within.join(sums.select("key", "cell", before.alias("_before")), ["key", "cell"]).withColumn("at", F.col("_before") + F.col("_in"))
+    return full.groupBy("qid", "key").agg(F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("below"), F.max(F.when(F.col("kind") == 2, F.col("at"))).alias("upto"))
+
+
 def interval_split(nodes: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """(qid, slice, class, local): FULL, MEDIUM or SMALL for each slice that a query's range touches.
 
     local is the share of the slice's rows in the range; SMALL is a share under
-    the threshold. Rows are counted by an equi-join on the slice.
+    the threshold. Slices follow each other in time, so the rows of a slice have
+    neighbouring ranks, and what a range has of them follows from its ends' ranks.
     """
-    counts = slice_counts(nodes)
+    from pyspark.sql.window import Window as W
+
+    counts = slice_counts(nodes.where("t IS NOT NULL"))
+    upto = F.sum("n").over(W.orderBy("slice"))  # over SLICES rows
+    bounds = counts.select("slice", "n", (upto - F.col("n")).alias("_from"), upto.alias("_to"))
     asked = queries.select("qid", "l", "r", F.explode(slices_between(F.col("l"), F.col("r"))).alias("slice"))
-    inside = asked.join(nodes.select("t", slice_of(F.col("t")).alias("slice")), "slice").where(F.col("t").between(F.col("l"), F.col("r"))).groupBy("qid", "slice").agg(F.count(F.lit(1)).alias("hits"))
-    joined = asked.join(counts, "slice").join(inside, ["qid", "slice"], "left")
-    local = F.coalesce("hits", F.lit(0)) / F.col("n")
+    at = ranks(nodes, queries.select("qid", F.lit(ALL).alias("key"), "l", "r")).drop("key")
+    joined = asked.join(F.broadcast(bounds), "slice").join(at, "qid")
+    hits = F.greatest(F.lit(0), F.least("upto", "_to") - F.greatest("below", "_from"))
+    local = hits / F.col("n")
     first, last = F.col("slice") / SLICES, (F.col("slice") + 1) / SLICES
     kind = F.when((F.col("l") <= first) & (F.col("r") >= last), "FULL").when(local < threshold, "SMALL").otherwise("MEDIUM")
     return joined.select("qid", "slice", kind.alias("class"), F.round(local, 9).alias("local"))

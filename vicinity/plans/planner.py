@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.operators.predicates import category_counts, matches, slice_of, slices_between
+from vicinity.operators.predicates import ALL, category_counts, ranks
 
 
 @dataclass(frozen=True)
@@ -33,19 +33,14 @@ class Thresholds:
 def selectivity(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, qtype, hits, selectivity), also of queries that match nothing.
 
-    Categories are counted once; ranges are counted by slices: whole slices from
-    their counts, the two at the ends by an equi-join on the slice.
+    Categories are counted once; what lies in a range is the difference of its
+    ends' ranks among all nodes or those of the category.
     """
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
     by_category = category_counts(nodes).withColumnRenamed("n", "_c")
     base = queries.select("qid", "qtype", "v", "l", "r")
-    ranged = base.where("qtype IN (2, 3)").withColumn("slice", F.explode(slices_between(F.col("l"), F.col("r"))))
-    cells = nodes.groupBy("c", slice_of(F.col("t")).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-    inner = (F.col("slice") > slice_of(F.col("l"))) & (F.col("slice") < slice_of(F.col("r")))
-    fits = (F.col("qtype") == 2) | (F.col("c") == F.col("v"))
-    whole = ranged.where(inner).join(cells, "slice").where(fits).groupBy("qid").agg(F.sum("n").alias("h"))
-    ends = ranged.where(~inner).join(nodes.select("c", "t", slice_of(F.col("t")).alias("slice")), "slice").where(fits & matches(2)).groupBy("qid").agg(F.count(F.lit(1)).alias("h"))
-    counted = whole.unionByName(ends).groupBy("qid").agg(F.sum("h").alias("_h"))
+    key = F.when(F.col("qtype") == 2, F.lit(ALL)).otherwise(F.col("v").cast("string"))
+    counted = ranks(nodes, base.where("qtype = 2 OR (qtype = 3 AND v IS NOT NULL)").select("qid", key.alias("key"), "l", "r")).select("qid", (F.col("upto") - F.col("below")).alias("_h"))
     all_ = base.join(F.broadcast(n), F.lit(True)).join(by_category, F.col("v") == F.col("c"), "left").join(counted, "qid", "left")
     hits = F.when(F.col("qtype") == 0, F.col("_n")).when(F.col("qtype") == 1, F.coalesce("_c", F.lit(0))).otherwise(F.coalesce("_h", F.lit(0))).cast("long")
     return all_.select("qid", "qtype", hits.alias("hits"), F.when(F.col("_n") > 0, hits / F.col("_n")).otherwise(0.0).alias("selectivity"))

@@ -16,7 +16,7 @@ from vicinity.schema import SLICES, as_nodes, as_queries
 from vicinity.sources.fixtures import SQL as FIXTURE
 from vicinity.sources.fixtures import nodes as read_nodes
 from vicinity.sources.fixtures import queries as read_queries
-from vicinity.sources.shared import stored
+from vicinity.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, CODED_K = 10, 20
@@ -24,6 +24,10 @@ K, CODED_K = 10, 20
 SHARE = 0.1
 SPLIT = 0.2
 AT = Thresholds(scan=0.05, scan_both=0.05, index=0.09)
+#: Every category has a graph.
+EVERY = Thresholds(index=0.0)
+#: Length of the search lists of the graph queries.
+EF = 64
 
 
 def data(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -83,41 +87,57 @@ def _extended(metric: Callable) -> Query:
     """Float queries against per-dimension codes."""
 
     def run(base: DataFrame, asked: DataFrame) -> DataFrame:
-        ranges = Q.sq8_row(Q.train_sq8(base)).toDF("low", "width")
-        coded = Q.encoded(base, "sq8").select("id", "c", "t", "code")
-        pairs = coded.join(asked, predicates.matches(3)).join(F.broadcast(ranges), F.lit(True))
-        return pairs.select("qid", "id", F.round(metric(F.col("qvec"), F.col("code"), F.col("low"), F.col("width")), 4).alias("d"))
+        known = Q.trained(base, "sq8")
+        low, width = (F.array(*map(F.lit, x)) for x in known)
+        pairs = Q.encoded(base, "sq8", known=known).select("id", "c", "t", "code").join(asked, predicates.matches(3))
+        return pairs.select("qid", "id", F.round(metric(F.col("qvec"), F.col("code"), low, width), 4).alias("d"))
 
     return _both(run)
 
 
+def _index(spark: SparkSession, root: str, at: Thresholds) -> HybridIndex:
+    """The tables' index, built once a session and loaded from the shared folder after that."""
+    path = _built.get((spark.sparkContext.applicationId, root, at))
+    if path is None:
+        path = new_path(spark, "index")
+        HybridIndex.build(data(spark, root)[0], at, store=stored).save(path)
+        _built[spark.sparkContext.applicationId, root, at] = path
+    return HybridIndex.load(spark, path, at)
+
+
+#: Where this process has saved indexes.
+_built: dict[tuple, str] = {}
+
+
 def _graph_search(qtype: int) -> Query:
-    def run(base: DataFrame, asked: DataFrame) -> DataFrame:
+    def run(spark: SparkSession, root: str) -> DataFrame:
         """Category graphs for types 1 and 3, slice graphs for 0 and 2."""
-        own = asked.where(F.col("qtype") == qtype)
-        low, high = (F.col("l"), F.col("r")) if qtype in (2, 3) else (F.lit(None).cast("double"), F.lit(None).cast("double"))
-        if qtype in (1, 3):
-            indexed = graph.by_category(base, 0.0)
-            shards = indexed.select(F.col("c").alias("v"), "index_id").distinct()
-            to = own.join(shards, "v")
+        own = data(spark, root)[1].where(F.col("qtype") == qtype).withColumn("ef", F.lit(EF))
+        index = _index(spark, root, EVERY)
+        if qtype == 0:
+            return _rounded(graph.search_everywhere(index.slices, index.slice_edges, own, K), "d2")
+        ends = [F.col(x) if qtype in (2, 3) else F.lit(None).cast("double") for x in "lr"]
+        if qtype == 2:
+            shards = index.slices.select(predicates.slice_of(F.col("t")).alias("slice"), "index_id").distinct()
+            to = own.withColumn("slice", F.explode(predicates.slices_between(F.col("l"), F.col("r")))).join(shards, "slice")
+            nodes, edges = index.slices, index.slice_edges
         else:
-            indexed = graph.by_slice(base)
-            shards = indexed.select(predicates.slice_of(F.col("t")).alias("slice"), "index_id").distinct()
-            touched = predicates.slices_between(F.col("l"), F.col("r")) if qtype == 2 else F.sequence(F.lit(0), F.lit(SLICES - 1))
-            to = own.withColumn("slice", F.explode(touched)).join(shards, "slice")
-        found = graph.graph_search(indexed, graph.build(indexed), to.select("index_id", "qid", "qvec", F.lit(64).alias("ef"), low.alias("low"), high.alias("high")), K)
-        return _rounded(found, "d2")
+            to = own.join(index.categories.select(F.col("c").alias("v"), "index_id").distinct(), "v")
+            nodes, edges = index.categories, index.category_edges
+        asked = to.select("index_id", "qid", "qvec", "ef", ends[0].alias("low"), ends[1].alias("high"))
+        return _rounded(graph.graph_search(nodes, edges, asked, K, wider=2 if qtype == 2 else 1), "d2")
 
-    return _both(run)
+    return run
 
 
 QUERIES: dict[str, Query] = {
     **{f"knn_type{t}": _of_type(t) for t in range(4)},
+    "knn_type0_joined": _joined(0),
     "knn_type1_joined": _joined(1),
     "knn_type2_joined": _joined(2),
     "knn_type3_joined": _joined(3),
     "knn_hybrid_all": _of_type(0, 1, 2, 3),
-    "knn_hybrid_numpy": _of_type(0, 1, 2, 3),
+    "knn_hybrid_joined": _joined(0, 1, 2, 3),
     "knn_k100_underfull": lambda s, r: _rounded(knn.search(*data(s, r), 100), "d2"),
     "dist_l2sq": _distance(V.l2sq),
     "dist_ip": _distance(V.ip),
@@ -162,7 +182,7 @@ QUERIES: dict[str, Query] = {
     "knn_graph_pruned": _base(lambda n: graph.build(graph.by_category(n, 0.0))),
     "nn_descent": _base(lambda n: _rounded(graph.nn_descent(n, 5, store=stored), "d2")),
     **{f"graph_search_type{t}": _graph_search(t) for t in range(4)},
-    "hybrid_search": _both(lambda n, q: _rounded(HybridIndex(n, AT, store=stored).search(q, K), "d2")),
+    "hybrid_search": lambda s, r: _rounded(_index(s, r, AT).search(data(s, r)[1], K), "d2"),
 }
 
 # ---------------------------------------------------------------------------
@@ -219,9 +239,9 @@ _CODE_TEXT = "array_to_string([CAST(x AS VARCHAR) FOR x IN code], ',')"
 
 ORACLE_SQL: dict[str, str] = {
     **{f"knn_type{t}": _top(str(t), K) for t in range(4)},
-    **{f"knn_type{t}_joined": _top(str(t), K) for t in (1, 2, 3)},
+    **{f"knn_type{t}_joined": _top(str(t), K) for t in range(4)},
     "knn_hybrid_all": _top("0, 1, 2, 3", K),
-    "knn_hybrid_numpy": _top("0, 1, 2, 3", K),
+    "knn_hybrid_joined": _top("0, 1, 2, 3", K),
     "knn_k100_underfull": _top("0, 1, 2, 3", 100),
     "dist_l2sq": _dist(_L2),
     "dist_ip": _dist(_IP),

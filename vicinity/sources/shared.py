@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in local tests, a temporary folder is made and set."""
+    """spark.checkpoint.dir of the session; only where it is unset, and only in local mode, a temporary folder is made and set."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = getattr(spark.sparkContext, "_vicinity_dir", None)
     if own is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="vicinity-")
         spark.sparkContext.setCheckpointDir(own)
         spark.sparkContext._vicinity_dir = own
     return own
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the shared folder."""
+    return f"{shared_dir(spark)}/vicinity/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a new table in the shared folder, where the lineage ends."""
-    path = f"{shared_dir(df.sparkSession)}/vicinity/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.sources.shared import shared_dir
+from vicinity.sources.shared import new_path
 
 #: The characters that separate words: space and \x09-\x0D. Python's bytes.split() splits at the same six.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -36,7 +36,7 @@ def owned_by(owner: str) -> Iterator[None]:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared folder."""
-    path = f"{shared_dir(spark)}/vicinity/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     _written.setdefault(_owner, []).append(path)
     return path
 
@@ -66,6 +66,31 @@ def release(spark: SparkSession, owner: str) -> int:
     return len(gone)
 
 
+#: Bits of a bit table: 64 or more for each hash in it, up to the most, which are 32 MB.
+LEAST_BITS, MOST_BITS = 16, 28
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Of a table of different longs, its only column, a table with the bits set that they select: at most 2 ** MOST_BITS, however many they are.
+
+    It never denies a hash that is there; the fuller it is, the more others it lets through.
+    """
+    name = hashes.columns[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * hashes.count()).bit_length()))
+    slot = F.shiftrightunsigned(name, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot.bitwiseAND(F.lit(63))).cast("int"))
+    cells = hashes.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def has_bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these hashes (unsigned) select a set bit."""
+    slot = hashes >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

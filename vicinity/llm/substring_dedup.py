@@ -1,24 +1,29 @@
-"""Substring dedup by suffix automata of reference passages.
+"""Substring dedup by suffix automata of reference shards.
 
 The corpus is its own reference, so the reference grows with it and cannot be
-sent whole to every executor. It is cut into shards instead, and documents go
-only to the shards that can hold something of theirs:
+sent whole to every executor. It is cut into shards instead, and each shard is
+asked only by what can hold something of it:
 
 1. Every window of WINDOW words has an anchor, the run of ANCHOR words in it with
    the smallest hash. Equal windows have equal anchors. Anchors are counted
    (pre-aggregated); those that occur twice or more mark the candidate windows,
    by a bit table of bounded size that every executor gets. A table too small for
    the corpus only lets more candidates through.
-2. Candidate windows are counted by hash; of each that occurs twice or more, one
-   place is its reference. Neighbouring references of one document form a
-   passage, and each passage is a reference shard.
-3. The documents' candidate regions are joined, by anchor, with the shards, or by
-   window where an anchor has many shards. A shard's suffix automaton reads the region's words and gives at each word the
-   length of the longest match that ends there; matches of WINDOW words or more
-   are removed.
-
-A hot anchor or passage is one key of an equi-join whose other side has few rows,
-which adaptive execution splits; windows are summed before they are shuffled.
+2. Neighbouring candidate windows with one anchor are a run: at most 63 windows.
+   Runs are counted by their content, so that whatever stands in many copies is
+   looked at once from here on, with its number of copies as its weight.
+3. The windows of the distinct runs are counted by content and weight. Of each
+   that occurs twice or more one place, in one run, is its reference; a run with
+   references is a reference shard.
+4. Every distinct run is streamed through the suffix automata of the shards that
+   hold references of its windows, one or a few. The automaton gives at each word
+   the length of the longest match that ends there; matches of WINDOW words or
+   more are removed from every copy of the run.
+
+Every join has one row per key on one side, so no join makes more rows than the
+larger of its inputs, however often an anchor, passage or text occurs, and a hot
+key's rows on the other side are split by adaptive execution. Contents are told
+apart by 128 bits of hash where they are counted and by their words in the automaton.
 """
 
 from __future__ import annotations
@@ -28,21 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
 
-from vicinity.llm.common import in_slices, written
-from vicinity.llm.hashing import batch_words, runs
+from vicinity.llm.common import bit_table, has_bit, in_slices, written
+from vicinity.llm.hashing import batch_words, mix, runs, span_hashes
 
 WINDOW = 35
 ANCHOR = 8
-#: Bits of the table of repeated anchors: 64 or more for each of them, up to the most.
-LEAST_BITS, MOST_BITS = 16, 28
-#: Anchors of more shards than this lead to them window by window.
-SHARDS = 4
+#: The most windows of a run: one bit of a long each.
+RUN = 63
 _BATCH = 1 << 20
+#: What makes the second 64 bits of a content's hash independent of the first.
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Scanner:
@@ -52,7 +56,7 @@ class Scanner:
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         self.window = window
         self.words, self.at = batch_words(raw)
-        anchor = min(ANCHOR, window)
+        anchor = max(min(ANCHOR, window), window + 1 - RUN)
         width = window - anchor + 1
         n = len(self.words) - window + 1
         if n <= 0:
@@ -78,16 +82,21 @@ class Scanner:
         new[1:] = (self.place[1:] != self.place[:-1]) | (self.doc[1:] != self.doc[:-1])
         return new
 
+    def runs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run of windows whose anchor's bit is set, the first window and the number of windows."""
+        first = np.flatnonzero(self.first_of_run())
+        size = np.diff(np.append(first, len(self.start)))
+        hit = self.candidates(table)[first]
+        return first[hit], size[hit]
+
     def candidates(self, table: np.ndarray) -> np.ndarray:
         """Which windows have an anchor whose bit is set."""
-        slot = self.anchor >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
-        return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+        return has_bit(table, self.anchor)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(k, text): k is the doc_id, or for a null one a number from the text."""
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), text)).alias("k"), text.alias("text"))
+def _key() -> list[Column]:
+    """Columns (i, t): the doc_id and a hash of the text. Rows that agree in both have the same text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("i"), F.xxhash64(F.col("text").cast("string")).alias("t")]
 
 
 def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
@@ -98,101 +107,87 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
             seen = Scanner(part.column("text").to_pylist(), window)
             yield pa.RecordBatch.from_arrays([pa.array(seen.anchor[seen.first_of_run()].view(np.int64))], names=["anchor"])
 
-    twice = written(_keyed(docs).select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * twice.count()).bit_length()))
-    slot = F.shiftrightunsigned("anchor", 64 - bits)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot.bitwiseAND(F.lit(63))).cast("int"))
-    # at most 2 ** (MOST_BITS - 6) rows, whatever the corpus
-    cells = twice.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
-    return table
-
-
-def reference_windows(docs: DataFrame, sent, window: int) -> DataFrame:
-    """(h, k, pos, run): one place of each window that occurs twice or more, and where the run of windows with its anchor begins."""
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for part in in_slices(batches, "text", _BATCH):
-            seen = Scanner(part.column("text").to_pylist(), window)
-            if not len(seen.start):
-                continue
-            hit = np.flatnonzero(seen.candidates(table))
-            if not len(hit):
-                continue
-            hashes = runs(seen.words, window)[seen.start[hit]]
-            begin = np.maximum.accumulate(np.where(seen.first_of_run(), seen.start, 0))[hit]
-            pos = seen.start[hit] - seen.at[seen.doc[hit]]
-            k = part.column("k").to_numpy()[seen.doc[hit]]
-            packed = pos * 64 + (seen.start[hit] - begin)
-            for i in range(0, len(hit), 1 << 16):
-                some = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(k[some]), pa.array(packed[some])], names=["h", "k", "p"])
-
-    rows = _keyed(docs).mapInArrow(candidates, "h long, k long, p long")
-    # sums and extremes of longs: hash aggregation, merged before the shuffle
-    known = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min_by("p", "k").alias("p")).where("n > 1")
-    return known.select("h", "k", F.shiftright("p", 6).cast("int").alias("pos"), (F.shiftright("p", 6) - F.col("p").bitwiseAND(F.lit(63))).cast("int").alias("run"))
+    twice = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    return bit_table(twice)
 
 
-_REGION = "k long, lo int, n int, words string, runs array<int>, ends array<int>, anchors array<long>"
+_REGION = "i long, t long, lo int, words string, starts array<int>, ends array<int>, a array<long>, b array<long>"
 
 
 def candidate_regions(docs: DataFrame, sent, window: int) -> DataFrame:
-    """(k, lo, n, words, runs, ends, anchors): maximal stretches of n neighbouring candidate windows, their words, and of their runs the first window, the end and the anchor."""
+    """(i, t, lo, words, starts, ends, a, b): maximal stretches of neighbouring runs, their words, and of each run its windows [start, end) and its content's hash."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for part in in_slices(batches, "text", _BATCH):
             texts = part.column("text").to_pylist()
             seen = Scanner(texts, window)
-            if not len(seen.start):
-                continue
-            hit = seen.candidates(table)
-            places = np.flatnonzero(hit)
-            if not len(places):
+            first, size = seen.runs(table) if len(seen.start) else (np.empty(0, np.int64),) * 2
+            if not len(first):
                 continue
-            new = np.ones(len(places), bool)
-            new[1:] = (seen.start[places[1:]] != seen.start[places[:-1]] + 1) | (seen.doc[places[1:]] != seen.doc[places[:-1]])
-            first = places[new]
-            last = places[np.append(np.flatnonzero(new)[1:] - 1, len(places) - 1)]
-            run_first = np.flatnonzero(seen.first_of_run())
-            ids = part.column("k").to_pylist()
-            rows, held, own = [], -1, []
-            for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                d = int(seen.doc[a])
+            start, doc = seen.start[first], seen.doc[first]
+            stop = start + size + window - 1
+            a, b = span_hashes(seen.words, start, stop), span_hashes(mix(seen.words ^ _OTHER), start, stop)
+            new = np.ones(len(first), bool)
+            new[1:] = (start[1:] != start[:-1] + size[:-1]) | (doc[1:] != doc[:-1])
+            begin = np.flatnonzero(new)
+            cuts = np.append(begin, len(first))
+            own, held, stretches = [], -1, []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                d = int(doc[x])
                 if d != held:
                     held, own = d, texts[d].encode("utf-8", "replace").split()
-                base = int(seen.at[d])
-                lo, hi = int(seen.start[a]) - base, int(seen.start[b]) - base
-                r = run_first[np.searchsorted(run_first, a, "right") - 1 : np.searchsorted(run_first, b, "right")]
-                begin = (seen.start[r] - base).tolist()
-                rows.append((ids[d], lo, hi - lo + 1, b" ".join(own[lo : hi + window]).decode("utf-8", "replace"), begin, [*begin[1:], hi + 1], seen.anchor[r].view(np.int64).tolist()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "lo", "n", "words", "runs", "ends", "anchors"])
+                stretches.append(b" ".join(own[start[x] - seen.at[d] : stop[y - 1] - seen.at[d]]).decode("utf-8", "replace"))
+            local = (start - seen.at[doc]).astype(np.int32)
+            rows, lists = pa.array(doc[begin]), lambda values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))  # noqa: B023, E731
+            columns = [part.column("i").take(rows), part.column("t").take(rows), pa.array(local[begin]), pa.array(stretches, pa.string())]
+            columns += [lists(local), lists((local + size).astype(np.int32)), lists(a.view(np.int64)), lists(b.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "t", "lo", "words", "starts", "ends", "a", "b"])
 
-    return _keyed(docs).mapInArrow(regions, _REGION)
+    return docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(regions, _REGION).withColumn("region", F.monotonically_increasing_id())
 
 
-def _windows_of(window: int):
-    """The hash and place of each window of the open runs (start, end) of regions (k, lo, open, words)."""
+def distinct_runs(regions: DataFrame, window: int) -> DataFrame:
+    """(r, a, b, n, words): every different run once, numbered, with how often it occurs."""
+    first = runs_of(regions).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("region"), F.min_by("start", "region").alias("start"), F.min_by("end", "region").alias("end"))
+    taken = first.groupBy("region").agg(F.collect_list(F.struct("start", "end", "n", "a", "b")).alias("taken"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, "words", _BATCH):
-            hs, ks, los, places = [], [], [], []
-            words, at = batch_words([t.encode("utf-8", "replace") for t in part.column("words").to_pylist()])
-            for i, (k, lo, spans) in enumerate(zip(part.column("k").to_pylist(), part.column("lo").to_pylist(), part.column("open").to_pylist(), strict=True)):
-                hashes = runs(words[at[i] : at[i + 1]], window)
-                place = np.unique(np.concatenate([np.arange(x["run"], x["end"]) for x in spans]))
-                hs.append(hashes[place - lo])
-                places.append(place)
-                ks.append(np.full(len(place), k))
-                los.append(np.full(len(place), lo))
-            columns = [np.concatenate([*x, np.empty(0, np.int64)]) if x is not hs else np.concatenate([*x, np.empty(0, np.uint64)]).view(np.int64) for x in (hs, ks, los, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "k", "lo", "pos"])
+            lists = part.column("taken")
+            at, fields = lists.offsets.to_numpy(), {f: lists.values.field(f).to_numpy() for f in ("start", "end", "n", "a", "b")}
+            for i, (lo, text) in enumerate(zip(part.column("lo").to_pylist(), part.column("words").to_pylist(), strict=True)):
+                own = text.split(" ")
+                for x in range(at[i], at[i + 1], 1 << 13):
+                    s = slice(x, min(x + (1 << 13), at[i + 1]))
+                    cuts = [" ".join(own[p - lo : q - lo + window - 1]) for p, q in zip(fields["start"][s].tolist(), fields["end"][s].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(fields[f][s]) for f in "abn"), pa.array(cuts, pa.string())], names=["a", "b", "n", "words"])
 
-    return run
+    whole = taken.join(regions.select("region", "lo", "words").hint("merge"), "region").select("lo", "words", "taken")
+    return written(whole.mapInArrow(cut, "a long, b long, n long, words string").select(F.monotonically_increasing_id().alias("r"), "a", "b", "n", "words"), "runs")
+
+
+def runs_of(regions: DataFrame) -> DataFrame:
+    """(region, i, t, start, end, a, b) of every run."""
+    each = regions.select("region", "i", "t", F.explode(F.arrays_zip("starts", "ends", "a", "b")).alias("x"))
+    return each.select("region", "i", "t", F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+
+
+def windows_of(distinct: DataFrame, window: int) -> DataFrame:
+    """(h, g, place, n): the content's hash of each window, its place (RUN * r + its number in the run) and the run's weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches, "words", _BATCH, 1 << 14):
+            words, at = batch_words([x.encode("utf-8", "replace") for x in part.column("words").to_pylist()])
+            h, g = runs(words, window), runs(mix(words ^ _OTHER), window)
+            size = np.diff(at) - window + 1
+            owner = np.repeat(np.arange(len(size)), size)
+            off = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            at = at[owner] + off
+            place = part.column("r").to_numpy()[owner] * RUN + off
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), pa.array(place), pa.array(part.column("n").to_numpy()[owner])], names=["h", "g", "place", "n"])
+
+    return distinct.select("r", "n", "words").mapInArrow(run, "h long, g long, place long, n long")
 
 
 class SuffixAutomaton:
@@ -255,51 +250,52 @@ class SuffixAutomaton:
         return out
 
 
+def passages(words: list[str], mask: int, window: int) -> list[str | int]:
+    """The words of the windows in the mask; numbers, which match no word, stand between passages."""
+    out: list[str | int] = []
+    end = 0
+    for i in range(mask.bit_length()):
+        if mask >> i & 1:
+            if out and i >= end:
+                out.append(i)
+            out += words[max(i, end) : i + window] if i < end else words[i : i + window]
+            end = i + window
+    return out
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
-    """(k, spans): of each document the stretches (start, end) of words to remove, sorted but perhaps overlapping; and the sent bit table."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(repeated_anchors(docs, window))
-    places = reference_windows(docs, sent, window)
-    island = F.col("pos") - F.row_number().over(W.partitionBy("k").orderBy("pos"))
-    islands = W.partitionBy("k", "_island")
-    refs = written(places.withColumn("_island", island).select("h", "k", "run", F.min("pos").over(islands).alias("p"), F.max("pos").over(islands).alias("q")), "references")
+    """(i, t, spans): of each text the runs (start, mask) with a bit for each window to remove; and the sent bit table."""
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window))
     regions = written(candidate_regions(docs, sent, window), "regions")
-    runs_of = regions.select("k", "lo", F.explode(F.arrays_zip("runs", "ends", "anchors")).alias("r")).select("k", "lo", F.col("r.runs").alias("run"), F.col("r.ends").alias("end"), F.col("r.anchors").alias("anchor"))
-    # a shard is a passage (c, p); it holds the anchors of its windows
-    located = written(refs.select("k", "run", "p", "q").distinct().join(runs_of.select("k", "lo", "run", "anchor").distinct(), ["k", "run"]), "located")
-    route = located.select("anchor", F.col("k").alias("c"), "p").distinct()
-    many = written(route.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARDS).select("anchor"), "many")
-    # few shards: the stretch of the region whose anchors a shard has goes there
-    few = runs_of.join(route.join(many, "anchor", "left_anti"), "anchor").groupBy("k", "lo", "c", "p").agg(F.min("run").alias("s"), F.max("end").alias("e"))
-    # many, as of a passage that stands in many contexts: a window has one reference, and goes to its shard
-    held = located.join(many, "anchor").select("k", "run", "p").distinct().join(refs.select("h", "k", "run", "p"), ["k", "run", "p"]).select("h", F.col("k").alias("c"), "p")
-    open_runs = runs_of.join(many, "anchor").groupBy("k", "lo").agg(F.collect_list(F.struct("run", "end")).alias("open"))
-    single = open_runs.join(regions.select("k", "lo", "words"), ["k", "lo"]).mapInArrow(_windows_of(window), "h long, k long, lo int, pos int")
-    exact = single.join(held, "h").groupBy("k", "lo", "c", "p").agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"))
-    met = few.unionByName(exact)
-    stretch = F.array_join(F.slice(F.split("words", " "), F.col("s") - F.col("lo") + 1, F.col("e") - F.col("s") + window - 1), " ")
-    asked = written(met.join(regions.select("k", "lo", "words"), ["k", "lo"]).select("c", "p", "k", F.col("s").alias("lo"), stretch.alias("words")), "asked")
-    cut = F.array_join(F.slice(F.split("words", " "), F.col("p") - F.col("lo") + 1, F.col("q") - F.col("p") + window), " ")
-    shards = located.select("k", "lo", "p", "q").distinct().join(regions.select("k", "lo", "words"), ["k", "lo"]).select(F.col("k").alias("c"), "p", cut.alias("passage")).dropDuplicates(["c", "p"])
-    streams = asked.join(shards, ["c", "p"])
+    distinct = distinct_runs(regions, window)
+    places = windows_of(distinct, window)
+    # sums and extremes of longs: hash aggregation, merged before the shuffle
+    refs = written(places.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("place").alias("ref")).where("n > 1").drop("n"), "references")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ref", F.lit(RUN)).cast("int"))
+    shards = refs.groupBy(F.expr(f"ref div {RUN}").alias("s")).agg(F.bit_or(bit).alias("held")).join(distinct.select(F.col("r").alias("s"), F.col("words").alias("shard")), "s")
+    asks = places.join(refs.hint("merge"), ["h", "g"]).groupBy(F.expr(f"place div {RUN}").alias("r"), F.expr(f"ref div {RUN}").alias("s")).agg(F.count(F.lit(1)).alias("m")).drop("m")
+    asked = asks.join(distinct.select("r", "words").hint("merge"), "r")
+    streams = asked.join(shards.hint("merge"), "s").select("s", "held", "shard", "r", "words")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, None
-        for part in in_slices(batches, "words", _BATCH):
-            ks, starts, ends = [], [], []
-            columns = [part.column(c).to_pylist() for c in ("c", "p", "k", "lo")]
-            passages, texts = part.column("passage"), part.column("words")
-            for i, (c, p, k, lo) in enumerate(zip(*columns, strict=True)):
-                if (c, p) != shard:  # a shard's documents come one after the other
-                    shard, automaton = (c, p), SuffixAutomaton(passages[i].as_py().split(" "))
-                for a, b in automaton.spans(texts[i].as_py().split(" "), window):
-                    ks.append(k)
-                    starts.append(lo + a)
-                    ends.append(lo + b)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["k", "s", "e"])
-
-    found = streams.select("c", "p", "k", "lo", "words", "passage").mapInArrow(match, "k long, s int, e int")
-    return written(found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans"), sent
+        known, automaton = None, None
+        for part in in_slices(batches, "words", _BATCH, 1 << 14):
+            masks = []
+            held, shard = part.column("held"), part.column("shard")
+            for j, (s, text) in enumerate(zip(part.column("s").to_pylist(), part.column("words").to_pylist(), strict=True)):
+                if s != known:  # what asks a shard comes in a row
+                    known, automaton = s, SuffixAutomaton(passages(shard[j].as_py().split(" "), held[j].as_py(), window))
+                mask = 0
+                for k, n in enumerate(automaton.statistics(text.split(" "))):
+                    if n >= window:
+                        mask |= 1 << (k + 1 - window)
+                masks.append(mask)
+            yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(masks, pa.int64())], names=["r", "mask"])
+
+    masks = streams.mapInArrow(match, "r long, mask long").groupBy("r").agg(F.bit_or("mask").alias("mask"))
+    found = masks.join(distinct.select("r", "a", "b"), "r").select("a", "b", "mask")
+    per_text = runs_of(regions).select("i", "t", "start", "a", "b").join(found.hint("merge"), ["a", "b"]).groupBy("i", "t").agg(F.array_sort(F.collect_set(F.struct("start", "mask"))).alias("spans"))
+    return written(per_text, "spans"), sent
 
 
 def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -308,12 +304,13 @@ def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool
     With `digest` it is kept_sha256 instead, so that texts don't travel back.
 
     Windows are judged on the input. A null text has no words; repeated rows
-    repeat each other and go; a doc_id stands for one text; an empty table gives
-    no rows.
+    repeat each other and go; rows of one doc_id, or of none, with different texts
+    are judged apart; a very long text is many runs, each looked at on its own; an
+    empty table gives no rows; further columns are ignored unless they are in `keep`.
     """
     spans, sent = repeated_spans(docs, window)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.col("text").cast("string")))
-    asked = docs.select(*keep, key.alias("_k"), F.col("text").cast("string").alias("_text"))
+    i, t = _key()
+    asked = docs.select(*keep, i.alias("_i"), t.alias("_t"), F.col("text").cast("string").alias("_text"))
     plain = asked.drop("_text").schema
     judged = StructType(plain.fields[:]).add("_n", "long").add("_kept", "string").add("_open", "boolean")
 
@@ -326,34 +323,40 @@ def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool
             if len(seen.start):
                 is_open[seen.doc[seen.candidates(table)]] = True
             counts = np.diff(seen.at)
-            kept = [t if o else " ".join(x.decode("utf-8", "replace") for x in (t or "").encode("utf-8", "replace").split()) for t, o in zip(texts, is_open, strict=True)]
+            plain_text = lambda t: b" ".join((t or "").encode("utf-8", "replace").split())
+            done = (lambda t: hashlib.sha256(plain_text(t)).hexdigest()) if digest else (lambda t: plain_text(t).decode("utf-8", "replace"))
+            kept = [t if o else done(t) for t, o in zip(texts, is_open, strict=True)]  # only texts with candidates travel whole
             own = [part.column(c) for c in part.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(is_open)], names=judged.names)
 
-    return _finish(asked.mapInArrow(scan, judged), spans, plain, digest)
+    return _finish(asked.mapInArrow(scan, judged), spans, plain, digest, window)
 
 
-def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: bool) -> DataFrame:
-    names = [x for x in plain.names if x != "_k"]
-    schema = StructType([f for f in plain.fields if f.name != "_k"]).add("n_words", "long").add("n_removed", "long").add("kept_sha256" if digest else "kept", "string")
+def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: bool, window: int) -> DataFrame:
+    names = [x for x in plain.names if x not in ("_i", "_t")]
+    schema = StructType([f for f in plain.fields if f.name in names]).add("n_words", "long").add("n_removed", "long").add("kept_sha256" if digest else "kept", "string")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, "_kept", _BATCH):
             removed, kept = [], []
             for text, is_open, found in zip(part.column("_kept").to_pylist(), part.column("_open").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                raw, gone = text.encode("utf-8", "replace"), 0
+                gone = 0
                 if is_open:
-                    own, at, left = raw.split(), 0, []
+                    own, at, left = text.encode("utf-8", "replace").split(), 0, []
                     for span in found or ():
-                        left += own[at : span["s"]] if span["s"] > at else []
-                        gone += max(0, span["e"] - max(at, span["s"]))
-                        at = max(at, span["e"])
+                        for k in range(span["mask"].bit_length()):
+                            if span["mask"] >> k & 1:
+                                s, e = span["start"] + k, span["start"] + k + window
+                                left += own[at:s]  # nothing where the last window reaches here
+                                gone += e - max(at, s)
+                                at = e
                     raw = b" ".join(left + own[at:])
+                    text = hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace")
                 removed.append(gone)
-                kept.append(hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace"))
+                kept.append(text)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), part.column("_n"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    joined = scanned.join(spans, scanned["_k"] == spans["k"], "left")
+    joined = scanned.join(spans.hint("merge"), (scanned["_i"] == spans["i"]) & (scanned["_t"] == spans["t"]), "left")
     return joined.select(*names, "_n", "_kept", "_open", "spans").mapInArrow(finish, schema)
 
 

@@ -7,7 +7,8 @@ certified only if an exact binomial test rejects "it rejects more than the
 allowed share of good documents". The tests share one error probability by
 Bonferroni's correction, and the rules share one allowed share by the union
 bound; so with probability 1 - DELTA the certified rules together reject at most
-ALPHA of the good documents of any stratum. Of the certified cutoffs the one
+ALPHA of those good documents of any stratum that pass the base rules, which are
+fixed and not part of the guarantee. Of the certified cutoffs the one
 that rejects the most labelled bad documents, each good one counting against
 GOOD_WEIGHT of them, is taken; of equals the mildest.
 
@@ -18,6 +19,7 @@ certificate simply has no cutoff.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -56,14 +58,28 @@ def _packed_windows(word_list: Column, n: Column, bits: Column) -> Column:
     return F.sort_array(F.transform(windows, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))))
 
 
-def _covered(packed: Column, bits: Column) -> Column:
-    """From sorted (hash, position) numbers: how many words lie in windows whose hash occurs twice."""
+def _twins(packed: Column, bits: Column) -> Column:
+    """From sorted (hash, position) numbers: the positions of the windows whose bits of hash occur twice."""
     high = lambda x: F.call_function("shiftrightunsigned", x, bits)
     low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    m = F.size(packed)
-    twins = F.filter(F.zip_with(F.slice(packed, F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice(packed, F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: F.when(high(a) == high(b), F.array(a.bitwiseAND(low), b.bitwiseAND(low)))), lambda x: x.isNotNull())
-    at = F.array_distinct(F.flatten(twins))
-    return F.when(m < 2, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))).cast("long")
+    return F.array_distinct(F.flatten(_neighbours(packed, lambda a, b: F.when(high(a) == high(b), F.array(a.bitwiseAND(low), b.bitwiseAND(low))))))
+
+
+def _neighbours(values: Column, pair: Callable[[Column, Column], Column]) -> Column:
+    """What `pair` gives for each value and the next, without nulls."""
+    m = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.filter(F.zip_with(F.slice(values, F.lit(1), m), F.slice(values, F.lit(2), m), pair), lambda x: x.isNotNull())
+
+
+def _spelled(word_list: Column, at: Column) -> Column:
+    """The windows at these positions as (their words, position), sorted: few hash bits decide where to look, the words what is equal."""
+    return F.array_sort(F.transform(at, lambda p: F.struct(F.concat_ws(" ", *[F.get(word_list, (p + k).cast("int")) for k in range(3)]).alias("w"), p.alias("p"))))
+
+
+def _covered(spelled: Column) -> Column:
+    """How many words lie in windows whose words occur twice."""
+    at = F.array_distinct(F.flatten(_neighbours(spelled, lambda a, b: F.when(a["w"] == b["w"], F.array(a["p"], b["p"])))))
+    return F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2))))).cast("long")
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -80,10 +96,12 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.regexp_count(text, F.lit(r"\p{Lu}{2}")).cast("long").alias("n_capital_pairs"),
         F.regexp_count(text, F.lit("!!")).cast("long").alias("n_mark_pairs"),
+        "_words",
         "_bits",
         _packed_windows(F.col("_words"), F.col("_n"), F.col("_bits")).alias("_packed"),
     )
-    return counted.withColumn("n_repeat_words", _covered(F.col("_packed"), F.col("_bits"))).drop("_bits", "_packed")
+    found = counted.withColumn("_at", _twins(F.col("_packed"), F.col("_bits"))).drop("_packed", "_bits")
+    return found.withColumn("_spelled", _spelled(F.col("_words"), F.col("_at"))).drop("_words", "_at").withColumn("n_repeat_words", _covered(F.col("_spelled"))).drop("_spelled")
 
 
 def scores() -> dict[str, Column]:
@@ -140,8 +158,9 @@ def judge(featured: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The verdict on every document.
 
-    A null text has no words and fails; repeated rows are judged one by one;
-    an empty table gives none; no labels at all leave the base rules alone.
+    A null text has no words and fails; a very long one is sorted in n log n like
+    any other; repeated rows are judged one by one; an empty table gives none; no
+    labels at all leave the base rules alone; further columns are ignored.
     """
     featured = written(features(docs, ["doc_id", "lang"]), "quality")
     out = judge(featured, calibrate(featured, labels))
@@ -149,7 +168,12 @@ def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns. Texts are read once: the features are stored beside them."""
+    """The documents that pass, with their columns, whatever their names. Texts are read once: the features are stored beside them.
+
+    Rows with a null text, empty ones included, fail the base rules and go; repeated
+    rows stay or go together; an empty table stays empty; without labels the base
+    rules decide alone.
+    """
     own = docs.columns
     held = docs.select(F.struct(*own).alias("_row"), "doc_id", "lang", "text")
     featured = written(features(held, ["_row", "doc_id", "lang"]), "quality")

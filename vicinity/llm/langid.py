@@ -20,8 +20,12 @@ from vicinity.llm.common import in_slices
 UNKNOWN = "und"
 #: Bytes of sample text in a language's dictionary, and of one of its documents: the dictionaries are a bounded sample of the labelled rows.
 DICT_BYTES, SAMPLE_BYTES = 96 << 10, 2 << 10
+#: About how many texts of a language are looked at; with the number of languages this bounds what comes to the driver.
+SAMPLES = 256
+#: Samples of fewer letters than this are used only where longer ones don't fill the dictionary.
+SHORT = 100
 #: The most languages; a table with more labels than this is refused, for the dictionaries are sent to every executor.
-MAX_LANGUAGES = 400
+MAX_LANGUAGES = 200
 PIECE_BYTES = 2 << 10
 LEVEL = 9
 #: Below this score a prediction is rejected.
@@ -34,37 +38,39 @@ def letters(text: Column) -> Column:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """(lang, text): of each language the distinct samples with the smallest hashes of their texts, as many as fill a dictionary.
+    """(lang, text, h): of each language about SAMPLES distinct texts, all if it has fewer, as samples of up to SAMPLE_BYTES characters around their middles.
 
-    A sample is up to SAMPLE_BYTES characters around the middle of a text; copies
-    count once. Which samples stay is decided on their hashes alone: copies go
-    within partitions first, and so does what is beyond the top k, so one language
-    or one text may hold any share of all rows. A second scan fetches the samples
-    that stay: their number is bounded before anything reaches the driver.
+    The texts with the smallest hashes are taken, so copies count once and any
+    text or language may hold any share of all rows: one scan estimates each
+    language's number of different texts in sketches of a fixed size, and a second
+    keeps the texts whose hash is below what leaves that many. Nothing is ranked.
     """
-    from pyspark.sql.window import Window as W
-
-    k = 2 * DICT_BYTES // SAMPLE_BYTES
     text = F.col("text").cast("string")
-    start = F.greatest(F.lit(1), (F.char_length(text) - SAMPLE_BYTES) / 2).cast("int")
-    learn = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), letters(F.substring(text, start, F.lit(SAMPLE_BYTES))).alias("text"), F.xxhash64(text).alias("_h")).where(F.char_length("text") >= 100)
-    learn = learn.withColumn("_s", F.xxhash64("text"))
-    distinct = learn.groupBy("lang", "_s").agg(F.min("_h").alias("_h"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "_s"))
-    stay = distinct.select("*", rank.alias("_r")).where(F.col("_r") <= k).drop("_r", "_h")
-    return learn.join(F.broadcast(stay), ["lang", "_s"]).groupBy("lang", "text").agg(F.min("_h").alias("_h"))
+    learn = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), text.alias("_t"), F.xxhash64(text).alias("h"))
+    sizes = learn.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; their dictionaries are sent to every executor")
+    start = F.greatest(F.lit(1), (F.char_length("_t") - SAMPLE_BYTES) / 2).cast("int")
+    below = F.lit(False)
+    for lang, n in sorted(sizes):  # of all hashes this share, from the least on
+        share = min(1.0, SAMPLES / max(1, n))
+        below = below | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
+    middle = learn.where(below).select("lang", letters(F.substring(F.col("_t"), start, F.lit(SAMPLE_BYTES))).alias("text"), "h")
+    return middle.groupBy("lang", "text").agg(F.min("h").alias("h"))
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language of (text, lang); rows with null in either teach nothing. Equal samples count once."""
+    """A dictionary for each language of (text, lang), of at most DICT_BYTES; rows with null in either teach nothing.
+
+    Samples of SHORT letters or more come first; shorter ones fill what is left,
+    so a language that has only short texts is learned from those.
+    """
     texts: dict[str, list[bytes]] = {}
-    for lang, text, _ in sorted(samples(docs).collect(), key=lambda r: (r[0], r[2], r[1])):
+    for lang, text, _ in sorted(samples(docs).collect(), key=lambda r: (r[0], len(r[1]) < SHORT, r[2], r[1])):
         have = texts.setdefault(lang, [])
-        if (raw := text.encode()) not in have:
-            have.append(raw)
-    if len(texts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; at most {MAX_LANGUAGES} dictionaries are sent to executors")
-    return {lang: b"\n".join(have)[-DICT_BYTES:] for lang, have in texts.items()}
+        if sum(map(len, have)) < DICT_BYTES:
+            have.append(text.encode())
+    return {lang: b"\n".join(have[::-1])[-DICT_BYTES:] for lang, have in texts.items()}
 
 
 def identify(docs: DataFrame, keep: list[str], dicts: dict[str, bytes]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators against brute-force versions, libraries, SQL and held-out rows, on the smallest tables."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
@@ -11,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vicinity.llm import bpe, chat, decontaminate, hashing, langid, near_dedup, pii, quality, queries, substring_dedup, token_counts, warc
+from vicinity.llm import bpe, chat, common, decontaminate, hashing, langid, near_dedup, pii, quality, queries, substring_dedup, token_counts, warc
 from vicinity.sources.tables import table
 
 ROOT = "/root/testdata/sf0.001"
@@ -73,6 +75,33 @@ def test_substring_dedup_of_small_alphabets(spark):
         assert got == {k: b" ".join(w).decode() for k, w in kept.items()}
 
 
+def test_one_doc_id_with_two_texts(spark):
+    p, q, r = (" ".join(f"{x}{i}" for i in range(50)) for x in "pqr")
+    rows = [(1, p), (2, p), (2, q + " " + r), (3, r), (None, q[:100]), (None, r)]
+    got = Counter((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 50, 50), (2, 50, 50), (2, 100, 50), (3, 50, 50), (None, len(q[:100].split()), 0), (None, 50, 50)])
+
+
+def test_a_passage_in_many_contexts_and_a_long_repetition(spark):
+    """A common passage between words of their own, and one word without end."""
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, " ".join([*(f"x{rng.randrange(10**9)}" for _ in range(40)), common, *(f"y{rng.randrange(10**9)}" for _ in range(40))])) for i in range(300)]
+    rows += [(1000, "la " * 5000), (1001, "one " + "la " * 20)]
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: (140, 60) for i in range(300)}, 1000: (5000, 5000), 1001: (21, 0)}
+
+
+def test_long_windows(spark):
+    """Windows of more words than a run can number."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", k=60))) for i in range(3)]
+    rows += [(3, rows[0][1] + " " + rows[1][1] + " " + rows[2][1]), (4, " ".join((rows[1][1] + " " + rows[2][1]).split()[7:115]))]
+    _, kept = kept_words(rows, 100)
+    got = {r.doc_id: r.kept for r in substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], 100).collect()}
+    assert got == {k: b" ".join(w).decode() for k, w in kept.items()} and kept[4] == []
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(50):
@@ -158,6 +187,15 @@ def test_cutoffs_reject_few_good_documents(spark):
     assert quality.calibrate(df, labels.where("doc_id < 300")).collect() == []  # too few for a certificate
 
 
+def test_repeated_windows_are_told_by_their_words(spark):
+    """Many different words, whose few bits of hash collide, repeat nothing; repeats among them are found."""
+    n = 300_000
+    odd = " ".join(f"w{i}" for i in range(n))
+    rows = [(1, odd), (2, odd + " w5 w6 w7 w8 end"), (3, "a b a b a b a"), (4, "a b c a b d")]
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.op3(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert got == {1: (n, 0), 2: (n + 5, 8), 3: (7, 7), 4: (6, 0)}
+
+
 # near duplicates
 
 
@@ -206,13 +244,26 @@ def test_samples_agree_as_often_as_texts_are_alike():
     assert abs(np.mean(agree) - np.mean(alike)) < 0.05
 
 
+def texts_of(docs):
+    return lambda nodes: docs.selectExpr("doc_id AS node", "text").join(nodes, "node", "left_semi")
+
+
+def test_one_doc_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b), (4, c), (4, c), (5, a), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.op4(docs).collect())
+    assert got == Counter([(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4), (5, 1), (2, 2)])
+    assert Counter(map(tuple, near_dedup.one_of_each(docs).collect())) == Counter([(1, a), (2, b), (4, c), (2, "")])
+
+
 def test_unlike_texts_in_one_bucket_all_meet(spark):
     """Three groups share every band key: later rounds find what the first head does not match."""
     base = [" ".join(f"g{g}w{i}" for i in range(100)) for g in range(3)]
     rows = [(10 * g + j, base[g] + f" tail{j}") for g in range(3) for j in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = docs.selectExpr("doc_id", "array(1L, 2L) AS bands")
-    found = near_dedup.components(near_dedup.links(nodes, docs, np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    nodes = docs.selectExpr("doc_id AS node", "array(1L, 2L) AS bands")
+    found = near_dedup.components(near_dedup.links(nodes, texts_of(docs), np.zeros(near_dedup.BUCKETS + 1, np.int64)))
     assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(3) for j in range(1, 4)}
 
 
@@ -224,7 +275,7 @@ def test_a_matched_text_still_meets_the_unmatched_ones(spark):
     sampler = near_dedup.Sampler(near_dedup.idf(np.zeros(near_dedup.BUCKETS + 1, np.int64)))
     h, a, b = (sampler.vector(r.text) for r in docs.orderBy("doc_id").collect())
     assert min(sampler.similarity(h, a), sampler.similarity(a, b)) >= near_dedup.SIMILARITY > sampler.similarity(h, b)
-    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id", "array(1L) AS bands"), docs, np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id AS node", "array(1L) AS bands"), texts_of(docs), np.zeros(near_dedup.BUCKETS + 1, np.int64)))
     assert {(r.node, r.root) for r in found.collect()} == {(1, 0), (2, 0)}
 
 
@@ -234,7 +285,7 @@ def test_families_in_one_large_bucket_all_meet(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dedup, "TILE_ROWS", tile)
     rows = [(10 * g + j, " ".join(f"g{g}w{i}" for i in range(60)) + f" tail{j}" * 2) for g in range(30) for j in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id", "array(1L, 2L) AS bands"), docs, np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id AS node", "array(1L, 2L) AS bands"), texts_of(docs), np.zeros(near_dedup.BUCKETS + 1, np.int64)))
     assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(30) for j in (1, 2)}
 
 
@@ -346,6 +397,23 @@ def test_copies_take_one_place_in_a_dictionary(spark):
     assert sorted(r.text for r in langid.samples(docs).collect()) == sorted(alone)
 
 
+def test_a_language_that_has_short_texts_only(spark):
+    english = ["the house stands near the river and the people of the town walk there", "we have seen that this was not what they had been looking for"]
+    german = ["das haus steht am fluss", "wir haben das nicht gewusst", "die leute gehen durch die stadt", "es war einmal ein kleiner hund", "heute ist das wetter sehr schoen"]
+    docs = spark.createDataFrame([(f"{english[i % 2]} {i} " * 4, "en") for i in range(40)] + [(german[i % 5], "de") for i in range(40)], "text string, lang string")
+    dicts = langid.dictionaries(docs)
+    assert set(dicts) == {"en", "de"}
+    asked = spark.createDataFrame([(1, "das wetter ist heute nicht schoen, die leute haben einen hund"), (2, "the people walk near the house of the town")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, ["doc_id"], dicts).collect()} == {1: "de", 2: "en"}
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLES", 50)
+    rng = random.Random(1)
+    docs = spark.createDataFrame([("".join(rng.choices("abcdefgh ", k=80)), "xx") for _ in range(3000)], "text string, lang string")
+    assert 20 <= langid.samples(docs).count() <= 90
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = queries.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -356,9 +424,56 @@ def test_held_out_accuracy(spark):
 # archives and chats
 
 
+def test_bytes_and_other_records_survive_deduplication(spark, tmp_path):
+    """Payloads that are no UTF-8, HTTP heads, dates, requests and revisits of what is elsewhere are written as they were."""
+    def record(kind, name, block, **more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", "WARC-Date: 2020-02-02T00:00:00Z", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}"]
+        return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    body, http = b"\xff\xfe raw \x00 bytes", b"HTTP/1.1 203 Odd\r\nX-Own: 1\r\n\r\n"
+    sha = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    parts = [record("warcinfo", "i", b"software: x\r\n"), record("response", "a", http + body, WARC_Payload_Digest=sha), record("request", "q", b"GET / HTTP/1.1\r\n\r\n"), record("response", "b", http + body, WARC_Payload_Digest=sha), record("revisit", "r", http, WARC_Payload_Digest="sha1:ABC", WARC_Refers_To="<elsewhere>")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    warc.deduplicate(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    rows = {r.record_id or bytes(r.other): r for r in warc.read_archives(spark, f"file://{tmp_path}/out").collect()}
+    assert len(rows) == 5 and {k: r.record_type for k, r in rows.items() if r.record_type in ("response", "revisit")} == {"<a>": "revisit", "<b>": "response", "<r>": "revisit"}
+    assert bytes(rows["<b>"].payload) == body and rows["<b>"].digest_ok and bytes(rows["<a>"].http_head) == http == bytes(rows["<b>"].http_head)
+    assert rows["<a>"].refers_to_id == "<b>" and rows["<r>"].refers_to_id == "<elsewhere>" and rows["<a>"].date == "2020-02-02T00:00:00Z"
+    assert {bytes(r.other) + b"\r\n" for r in rows.values() if r.other is not None} == {parts[0], parts[2]}
+
+
+def test_archives_are_cut_by_bytes_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300_000)
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 20_000) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.resolved_pages(warc.as_payloads(pages)), f"file://{tmp_path}/a", 50_000)
+    assert len(list((tmp_path / "a").glob("*.gz"))) >= 5
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("*.gz"))
+    many = b"".join(gzip.compress(raw[i : i + 70_001]) for i in range(0, len(raw), 70_001))
+    plain = [(f["warc-page-id"], b) for f, b, _ in warc.parse(raw)]
+    assert len(plain) == 30 and [(f["warc-page-id"], b) for f, b, _ in warc.parse(many)] == plain
+    with pytest.raises(ValueError):
+        list(warc.parse(raw[:-50]))
+
+
+def exchanged(plan):
+    """The columns of each exchange of a physical plan."""
+    own = [[plan.output().apply(i).name() for i in range(plan.output().size())]] if plan.nodeName() == "Exchange" else []
+    return own + [x for i in range(plan.children().size()) for x in exchanged(plan.children().apply(i))]
+
+
+def test_headers_alone_are_shuffled_by_digest(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc, "written", lambda df, name: (seen.append(exchanged(df._jdf.queryExecution().executedPlan().initialPlan())), common.written(df, name))[1])
+    pages = warc.as_payloads(table(spark, ROOT, "pages"))
+    rows = warc.resolved_pages(pages)
+    assert len(seen) == 1 and any("payload_digest" in x or "_digest" in x for x in seen[0]) and not any("payload" in x for x in seen[0])
+    assert rows.where("refers_to IS NULL").count() + rows.where("refers_to IS NOT NULL").count() == pages.count()
+
+
 def test_deduplicating_archives(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "body %d é" % (i // 3)) for i in range(9)] + [(9, "u", "")], "page_id long, url string, html string")
-    plain = warc.pages_as_payloads(pages).withColumn("refers_to", warc.F.lit(None).cast("long"))
+    plain = warc.with_digest(warc.as_payloads(pages)).withColumn("refers_to", warc.F.lit(None).cast("long"))
     warc.write_archives(plain, f"file://{tmp_path}/a")
     warc.deduplicate(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b")
     warc.deduplicate(spark, f"file://{tmp_path}/b", f"file://{tmp_path}/c")

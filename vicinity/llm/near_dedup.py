@@ -20,7 +20,7 @@ connected components, found by star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +152,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """(doc_id, key, bands): key is equal for texts with equal words; both are null without words."""
+    """(doc_id, hash, key, bands): key is equal for texts with equal words; it is null without words. hash is the text's own, to find it by."""
     sent = docs.sparkSession.sparkContext.broadcast(idf(frequencies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +164,18 @@ def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
             bands, has = sampler.bands(texts)
             keys = [md5(b" ".join((t or "").lower().encode("utf-8", "replace").split())).digest() if h else None for t, h in zip(texts, has, strict=True)]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), listed], names=["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(keys, pa.binary()), listed], names=["doc_id", "hash", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return _own(docs).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>")
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """Add `similar` to distinct pairs (a, b) of node ids; texts is (doc_id, text)."""
+    """Add `similar` to distinct pairs (a, b) of nodes; texts is (node, text)."""
     sent = pairs.sparkSession.sparkContext.broadcast(idf(frequencies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +192,8 @@ def verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(result, pa.bool_())], names=["a", "b", "similar"])
 
     # texts meet by shuffles at every size: the pairs grow with the corpus
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similar boolean")
 
 
@@ -275,7 +280,7 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
     not once a pair.
     """
     sent = members.sparkSession.sparkContext.broadcast(idf(frequencies))
-    sized = members.join(texts.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.octet_length("text")).alias("size")), "node")
+    sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
     of = written(sized.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     by_root = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
     stats = by_root.groupBy("bucket").agg(F.max(F.struct("m", "root", "s")).alias("main"), F.sum("m").alias("n"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
@@ -289,7 +294,7 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
     own = F.concat(F.transform(upto("rests"), lambda j: tile(False, F.least(part, j), F.greatest(part, j))), F.transform(upto("mains"), lambda j: tile(True, part, j)))
     tiles = dealt.withColumn("tile", F.explode(F.when(F.col("rest"), own).otherwise(F.transform(upto("rests"), lambda i: tile(True, i, part)))))
     sent_to = tiles.select("node", "root", "bands", "bucket", "rest", "part", F.xxhash64("bucket", "tile").alias("tile"))
-    full = sent_to.join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")
+    full = sent_to.join(texts.select("node", "text").hint("merge"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, held = Sampler(sent.value), None
@@ -318,18 +323,19 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
     return written(grouped.mapInArrow(run, "a long, b long"), "exhausted")
 
 
-def links(nodes: DataFrame, docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """Verified links (a, b), a > b, between nodes (doc_id, bands): their classes are those of all alike nodes that share a bucket."""
-    members = nodes.select(F.col("doc_id").alias("node"), F.col("bands"), F.explode("bands").alias("bucket"))
+def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], frequencies: np.ndarray) -> DataFrame:
+    """Verified links (a, b), a > b, between nodes (node, bands): their classes are those of all alike nodes that share a bucket.
+
+    texts_of gives (node, text), a row a node, of a table of nodes.
+    """
+    members = nodes.select("node", "bands", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = members.join(shared, "bucket")
     # the text that most others share bands with, as the original of many copies does, is the first head
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     every = written(met.join(weight, "node"), "buckets")
     left = every.drop("bands")
-    involved = left.select(F.col("node").alias("doc_id")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = written(own.join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = written(texts_of(left.select("node").distinct()), "texts")
     found = None
     for turn in range(HOT_ROUNDS):
         # from the second round on a bucket has several heads: few rounds empty even a bucket of unlike texts
@@ -375,20 +381,39 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, root, class_id) for every row: rows of one root are near duplicates, class_id is the smallest doc_id among them.
+
+    A node is a text of its own words, whatever doc_ids it stands under, so rows
+    of one doc_id with different texts are judged apart. Texts without words have
+    no root.
+    """
+    frequencies = document_frequencies(docs)
+    signed = written(signatures(docs, frequencies), "signed")
+    copies = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "hash", "bands")).alias("first"))
+    nodes = written(copies.select("key", "first.doc_id", "first.hash", "first.bands", F.monotonically_increasing_id().alias("node")), "nodes")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "doc_id", "hash").join(some, "node").hint("merge")
+        # the join has dealt the rows by these columns already; repeated rows of a text are one
+        return _own(docs).join(wanted, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+
+    roots = components(links(nodes.select("node", "bands"), texts_of, frequencies))
+    rooted = written(nodes.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("_class"))
+    by_key = rooted.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "root", "_class")
+    return signed.join(by_key, signed["key"] == by_key["_key"], "left").select("doc_id", "hash", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every row: the smallest doc_id among its near duplicates.
 
     Texts without words (null, empty) and rows without doc_id are alone, the
-    latter with a null class; repeated rows fall into one class; an empty table
-    gives none. Rows that share a doc_id are one node.
+    latter with a null class; repeated rows fall into one class; rows of one
+    doc_id with different texts are judged apart; a very long text is compared
+    whole; an empty table gives none; further columns are ignored.
     """
-    frequencies = document_frequencies(docs)
-    signed = written(signatures(docs, frequencies), "signed")
-    copies = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-    nodes = written(copies.select("key", "first.doc_id", "first.bands"), "nodes")
-    roots = components(links(nodes.drop("key"), docs, frequencies))
-    by_key = nodes.join(roots, nodes["doc_id"] == roots["node"], "left").select(F.col("key").alias("_key"), F.coalesce("root", "doc_id").alias("_class"))
-    return signed.join(by_key, signed["key"] == by_key["_key"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id"))
+    return classified(docs).select("doc_id", "class_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -397,9 +422,14 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its columns; of rows that share the staying doc_id one, and all rows without doc_id."""
-    stay = classes(docs).where("doc_id = class_id").select(F.col("class_id").alias("_stay")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
-    rank = F.row_number().over(W.partitionBy("_id").orderBy("_hash"))
-    kept = rows.join(stay.hint("merge"), F.col("_id") == F.col("_stay")).withColumn("_rank", rank).where("_rank = 1")
+    """One document of each class, with its columns whatever their names: the one of the smallest doc_id, of several texts under it that of the smallest hash.
+
+    Of repeated rows one stays; texts without words stay, and so do all rows without doc_id.
+    """
+    told = classified(docs).where("doc_id IS NOT NULL")
+    first = told.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("f")).select("f.doc_id", "f.hash")
+    stay = first.unionByName(told.where("root IS NULL").select("doc_id", "hash").distinct()).select(F.col("doc_id").alias("_stay"), F.col("hash").alias("_stay_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    rank = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_id"))
+    kept = rows.join(stay.hint("merge"), (F.col("_id") == F.col("_stay")) & (F.col("_hash") == F.col("_stay_hash"))).withColumn("_rank", rank).where("_rank = 1")
     return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -91,6 +92,27 @@ def has_bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
+def forget(owner: str) -> None:
+    """Leave the tables of an owner where they are, for good."""
+    _written.pop(owner, None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written meanwhile are deleted at the end, but for those written by the function that this gives."""
+    outer, owner = _owner, uuid.uuid4().hex
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        with owned_by(outer):
+            return written(df, name)
+
+    with owned_by(owner):
+        try:
+            yield lasting
+        finally:
+            release(spark, owner)
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -83,18 +83,3 @@ def runs(words: np.ndarray, length: int) -> np.ndarray:
         m = len(some) - length + 1
         out[first : first + m] = (total[length:] - total[:m]) * powers(m, _INVERSE)
     return mix(out)
-
-
-def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the words of each span [start, end), from spans in the order of their starts; the length counts too."""
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        lo = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(starts, lo + _CHUNK)))
-        s, e = starts[first:last] - lo, ends[first:last] - lo
-        some = words[lo : lo + int(e.max())]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(some * powers(len(some)), dtype=np.uint64)])
-        out[first:last] = (total[e] - total[s]) * powers(int(s.max()) + 1, _INVERSE)[s] + (e - s).astype(np.uint64)
-        first = last
-    return mix(out)

@@ -1,29 +1,30 @@
 """Substring dedup by suffix automata of reference shards.
 
 The corpus is its own reference, so the reference grows with it and cannot be
-sent whole to every executor. It is cut into shards instead, and each shard is
-asked only by what can hold something of it:
+sent whole to every executor. It is cut into shards instead, and documents go
+only to the shards that can hold something of theirs:
 
 1. Every window of WINDOW words has an anchor, the run of ANCHOR words in it with
    the smallest hash. Equal windows have equal anchors. Anchors are counted
    (pre-aggregated); those that occur twice or more mark the candidate windows,
    by a bit table of bounded size that every executor gets. A table too small for
-   the corpus only lets more candidates through.
-2. Neighbouring candidate windows with one anchor are a run: at most 63 windows.
-   Runs are counted by their content, so that whatever stands in many copies is
-   looked at once from here on, with its number of copies as its weight.
-3. The windows of the distinct runs are counted by content and weight. Of each
-   that occurs twice or more one place, in one run, is its reference; a run with
-   references is a reference shard.
-4. Every distinct run is streamed through the suffix automata of the shards that
-   hold references of its windows, one or a few. The automaton gives at each word
-   the length of the longest match that ends there; matches of WINDOW words or
-   more are removed from every copy of the run.
-
-Every join has one row per key on one side, so no join makes more rows than the
-larger of its inputs, however often an anchor, passage or text occurs, and a hot
-key's rows on the other side are split by adaptive execution. Contents are told
-apart by 128 bits of hash where they are counted and by their words in the automaton.
+   the corpus only lets more candidates through. Stretches of neighbouring
+   candidates are regions; only their words travel further.
+2. Candidate windows are counted by content (96 bits of hash); of each that occurs
+   twice or more one place is its reference. Neighbouring references are a
+   passage of at most PIECE windows, and each passage is a reference shard.
+3. Regions ask shards. One window in EVERY, chosen by its hash, is joined with its
+   reference and asks that shard about itself and its neighbours up to the next
+   such windows. The shard's suffix automaton reads their words and gives at each
+   word the length of the longest match that ends there; WINDOW words or more are
+   a window found.
+4. Windows that none of the shards asked had are all joined with their references
+   in a second round, so none is missed; they are few, as texts mostly go on as
+   their references do.
+
+Every window has one reference at most, so no join makes more rows than windows
+go into it, however often an anchor, passage or text occurs. A shard that many
+regions ask is one key of a join of two exchanges, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -36,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window as W
 
-from vicinity.llm.common import bit_table, has_bit, in_slices, written
-from vicinity.llm.hashing import batch_words, mix, runs, span_hashes
+from vicinity.llm.common import bit_table, has_bit, in_slices, passing, written
+from vicinity.llm.hashing import batch_words, mix, runs
 
 WINDOW = 35
 ANCHOR = 8
-#: The most windows of a run: one bit of a long each.
-RUN = 63
+#: The most windows of a shard, and of a region that one question is about.
+PIECE = 1024
+#: One window in so many asks in the first round.
+EVERY = 8
 _BATCH = 1 << 20
 #: What makes the second 64 bits of a content's hash independent of the first.
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -56,7 +60,7 @@ class Scanner:
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         self.window = window
         self.words, self.at = batch_words(raw)
-        anchor = max(min(ANCHOR, window), window + 1 - RUN)
+        anchor = min(ANCHOR, window)
         width = window - anchor + 1
         n = len(self.words) - window + 1
         if n <= 0:
@@ -82,13 +86,6 @@ class Scanner:
         new[1:] = (self.place[1:] != self.place[:-1]) | (self.doc[1:] != self.doc[:-1])
         return new
 
-    def runs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run of windows whose anchor's bit is set, the first window and the number of windows."""
-        first = np.flatnonzero(self.first_of_run())
-        size = np.diff(np.append(first, len(self.start)))
-        hit = self.candidates(table)[first]
-        return first[hit], size[hit]
-
     def candidates(self, table: np.ndarray) -> np.ndarray:
         """Which windows have an anchor whose bit is set."""
         return has_bit(table, self.anchor)
@@ -111,83 +108,106 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
     return bit_table(twice)
 
 
-_REGION = "i long, t long, lo int, words string, starts array<int>, ends array<int>, a array<long>, b array<long>"
+_REGION = "i long, t long, lo int, words string"
 
 
 def candidate_regions(docs: DataFrame, sent, window: int) -> DataFrame:
-    """(i, t, lo, words, starts, ends, a, b): maximal stretches of neighbouring runs, their words, and of each run its windows [start, end) and its content's hash."""
+    """(region, i, t, lo, words): the maximal stretches of neighbouring candidate windows, numbered, with their first window's place and their words."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for part in in_slices(batches, "text", _BATCH):
             texts = part.column("text").to_pylist()
             seen = Scanner(texts, window)
-            first, size = seen.runs(table) if len(seen.start) else (np.empty(0, np.int64),) * 2
-            if not len(first):
+            hit = np.flatnonzero(seen.candidates(table)) if len(seen.start) else np.empty(0, np.int64)
+            if not len(hit):
                 continue
-            start, doc = seen.start[first], seen.doc[first]
-            stop = start + size + window - 1
-            a, b = span_hashes(seen.words, start, stop), span_hashes(mix(seen.words ^ _OTHER), start, stop)
-            new = np.ones(len(first), bool)
-            new[1:] = (start[1:] != start[:-1] + size[:-1]) | (doc[1:] != doc[:-1])
-            begin = np.flatnonzero(new)
-            cuts = np.append(begin, len(first))
+            start, doc = seen.start[hit], seen.doc[hit]
+            new = np.ones(len(hit), bool)
+            new[1:] = (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(hit)) - 1
             own, held, stretches = [], -1, []
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for x, y in zip(first.tolist(), last.tolist(), strict=True):
                 d = int(doc[x])
                 if d != held:
                     held, own = d, texts[d].encode("utf-8", "replace").split()
-                stretches.append(b" ".join(own[start[x] - seen.at[d] : stop[y - 1] - seen.at[d]]).decode("utf-8", "replace"))
-            local = (start - seen.at[doc]).astype(np.int32)
-            rows, lists = pa.array(doc[begin]), lambda values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))  # noqa: B023, E731
-            columns = [part.column("i").take(rows), part.column("t").take(rows), pa.array(local[begin]), pa.array(stretches, pa.string())]
-            columns += [lists(local), lists((local + size).astype(np.int32)), lists(a.view(np.int64)), lists(b.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["i", "t", "lo", "words", "starts", "ends", "a", "b"])
+                stretches.append(b" ".join(own[start[x] - seen.at[d] : start[y] - seen.at[d] + window]).decode("utf-8", "replace"))
+            rows = pa.array(doc[first])
+            lo = (start[first] - seen.at[doc[first]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("i").take(rows), part.column("t").take(rows), pa.array(lo), pa.array(stretches, pa.string())], names=["i", "t", "lo", "words"])
 
     return docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(regions, _REGION).withColumn("region", F.monotonically_increasing_id())
 
 
-def distinct_runs(regions: DataFrame, window: int) -> DataFrame:
-    """(r, a, b, n, words): every different run once, numbered, with how often it occurs."""
-    first = runs_of(regions).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("region"), F.min_by("start", "region").alias("start"), F.min_by("end", "region").alias("end"))
-    taken = first.groupBy("region").agg(F.collect_list(F.struct("start", "end", "n", "a", "b")).alias("taken"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, "words", _BATCH):
-            lists = part.column("taken")
-            at, fields = lists.offsets.to_numpy(), {f: lists.values.field(f).to_numpy() for f in ("start", "end", "n", "a", "b")}
-            for i, (lo, text) in enumerate(zip(part.column("lo").to_pylist(), part.column("words").to_pylist(), strict=True)):
-                own = text.split(" ")
-                for x in range(at[i], at[i + 1], 1 << 13):
-                    s = slice(x, min(x + (1 << 13), at[i + 1]))
-                    cuts = [" ".join(own[p - lo : q - lo + window - 1]) for p, q in zip(fields["start"][s].tolist(), fields["end"][s].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(fields[f][s]) for f in "abn"), pa.array(cuts, pa.string())], names=["a", "b", "n", "words"])
-
-    whole = taken.join(regions.select("region", "lo", "words").hint("merge"), "region").select("lo", "words", "taken")
-    return written(whole.mapInArrow(cut, "a long, b long, n long, words string").select(F.monotonically_increasing_id().alias("r"), "a", "b", "n", "words"), "runs")
-
-
-def runs_of(regions: DataFrame) -> DataFrame:
-    """(region, i, t, start, end, a, b) of every run."""
-    each = regions.select("region", "i", "t", F.explode(F.arrays_zip("starts", "ends", "a", "b")).alias("x"))
-    return each.select("region", "i", "t", F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-
+def windows_of(regions: DataFrame, window: int, every: int = 1) -> DataFrame:
+    """(h, g, region, off, a, b) of the windows whose hash `every` divides: their content's hash, their place, and the neighbours [a, b] that they ask for too.
 
-def windows_of(distinct: DataFrame, window: int) -> DataFrame:
-    """(h, g, place, n): the content's hash of each window, its place (RUN * r + its number in the run) and the run's weight."""
+    Of regions (region, words, spans) those in the spans [x, y) are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, "words", _BATCH, 1 << 14):
+        for part in in_slices(batches, "words", _BATCH):
             words, at = batch_words([x.encode("utf-8", "replace") for x in part.column("words").to_pylist()])
             h, g = runs(words, window), runs(mix(words ^ _OTHER), window)
             size = np.diff(at) - window + 1
             owner = np.repeat(np.arange(len(size)), size)
             off = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-            at = at[owner] + off
-            place = part.column("r").to_numpy()[owner] * RUN + off
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), pa.array(place), pa.array(part.column("n").to_numpy()[owner])], names=["h", "g", "place", "n"])
+            place = at[owner] + off
+            take = h[place] % np.uint64(every) == 0
+            if "spans" in part.schema.names:
+                found = part.column("spans")
+                flat, cuts = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
+                base = np.repeat(np.cumsum(size) - size, np.diff(cuts))
+                edge = np.zeros(len(owner) + 1, np.int64)
+                np.add.at(edge, base + flat.field("x").to_numpy(), 1)
+                np.add.at(edge, base + flat.field("y").to_numpy(), -1)
+                take &= np.cumsum(edge[:-1]) == 0
+            owner, off, place = owner[take], off[take], place[take]
+            a, b = off, off
+            if every > 1 and len(off):
+                same = owner[1:] == owner[:-1]
+                a = np.concatenate([[0], np.where(same, off[:-1] + 1, 0)])
+                b = np.concatenate([np.where(same, off[1:] - 1, size[owner[:-1]] - 1), size[owner[-1:]] - 1])
+            columns = [h[place].view(np.int64), (g[place] >> np.uint64(32)).astype(np.uint32).view(np.int32), part.column("region").to_numpy()[owner]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in (off, a, b))], names=["h", "g", "region", "off", "a", "b"])
+
+    return regions.mapInArrow(run, "h long, g int, region long, off int, a int, b int")
+
+
+def reference_windows(regions: DataFrame, window: int) -> DataFrame:
+    """(h, g, s, p, q): of each window that occurs twice or more its shard, the windows p to q of region s."""
+    places = windows_of(regions.select("region", "words"), window).select("h", "g", "region", "off")
+    # counts and extremes of numbers: hash aggregation, merged before the shuffle
+    first = places.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("s"), F.min_by("off", "region").alias("off")).where("n > 1")
+    island = F.col("off") - F.row_number().over(W.partitionBy("s").orderBy("off"))
+    piece = W.partitionBy("s", "_island", "_piece")
+    cut = first.withColumn("_island", island).withColumn("_piece", F.expr(f"off div {PIECE}"))
+    return cut.select("h", "g", "s", F.min("off").over(piece).alias("p"), F.max("off").over(piece).alias("q"))
+
+
+def cut_out(regions: DataFrame, asked: DataFrame, window: int) -> DataFrame:
+    """(s, p, region, a, words): the words of the windows a to b of a region, for each row (s, p, region, a, b) of asked.
+
+    A region's words are split once, whatever is cut out of it.
+    """
+    lists = asked.groupBy("region").agg(F.collect_list(F.struct("s", "p", "a", "b")).alias("asked"))
 
-    return distinct.select("r", "n", "words").mapInArrow(run, "h long, g long, place long, n long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches, "words", _BATCH):
+            found = part.column("asked")
+            at, flat = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
+            fields = {f: flat.field(f).to_numpy() for f in ("s", "p", "a", "b")}
+            for i, text in enumerate(part.column("words").to_pylist()):
+                own = text.split(" ")
+                for x in range(at[i], at[i + 1], 64):
+                    some = slice(x, min(x + 64, at[i + 1]))
+                    words = [" ".join(own[a : b + window]) for a, b in zip(fields["a"][some].tolist(), fields["b"][some].tolist(), strict=True)]
+                    region = np.full(len(words), part.column("region")[i].as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(fields["s"][some]), pa.array(fields["p"][some]), pa.array(region), pa.array(fields["a"][some]), pa.array(words, pa.string())], names=["s", "p", "region", "a", "words"])
+
+    whole = lists.join(regions.select("region", "words").hint("merge"), "region")
+    return whole.mapInArrow(cut, "s long, p int, region long, a int, words string")
 
 
 class SuffixAutomaton:
@@ -250,52 +270,45 @@ class SuffixAutomaton:
         return out
 
 
-def passages(words: list[str], mask: int, window: int) -> list[str | int]:
-    """The words of the windows in the mask; numbers, which match no word, stand between passages."""
-    out: list[str | int] = []
-    end = 0
-    for i in range(mask.bit_length()):
-        if mask >> i & 1:
-            if out and i >= end:
-                out.append(i)
-            out += words[max(i, end) : i + window] if i < end else words[i : i + window]
-            end = i + window
-    return out
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
-    """(i, t, spans): of each text the runs (start, mask) with a bit for each window to remove; and the sent bit table."""
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window))
-    regions = written(candidate_regions(docs, sent, window), "regions")
-    distinct = distinct_runs(regions, window)
-    places = windows_of(distinct, window)
-    # sums and extremes of longs: hash aggregation, merged before the shuffle
-    refs = written(places.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("place").alias("ref")).where("n > 1").drop("n"), "references")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ref", F.lit(RUN)).cast("int"))
-    shards = refs.groupBy(F.expr(f"ref div {RUN}").alias("s")).agg(F.bit_or(bit).alias("held")).join(distinct.select(F.col("r").alias("s"), F.col("words").alias("shard")), "s")
-    asks = places.join(refs.hint("merge"), ["h", "g"]).groupBy(F.expr(f"place div {RUN}").alias("r"), F.expr(f"ref div {RUN}").alias("s")).agg(F.count(F.lit(1)).alias("m")).drop("m")
-    asked = asks.join(distinct.select("r", "words").hint("merge"), "r")
-    streams = asked.join(shards.hint("merge"), "s").select("s", "held", "shard", "r", "words")
+def ask(windows: DataFrame, refs: DataFrame, shards: DataFrame, regions: DataFrame, window: int) -> DataFrame:
+    """(region, x, y): the stretches of windows [x, y) of regions that the shards of these windows' references hold."""
+    met = windows.join(refs.hint("merge"), ["h", "g"])
+    asked = met.groupBy("region", "s", "p", F.expr(f"off div {PIECE}").alias("_part")).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    streams = cut_out(regions, asked, window).join(shards.hint("merge"), ["s", "p"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, automaton = None, None
-        for part in in_slices(batches, "words", _BATCH, 1 << 14):
-            masks = []
-            held, shard = part.column("held"), part.column("shard")
-            for j, (s, text) in enumerate(zip(part.column("s").to_pylist(), part.column("words").to_pylist(), strict=True)):
-                if s != known:  # what asks a shard comes in a row
-                    known, automaton = s, SuffixAutomaton(passages(shard[j].as_py().split(" "), held[j].as_py(), window))
-                mask = 0
-                for k, n in enumerate(automaton.statistics(text.split(" "))):
-                    if n >= window:
-                        mask |= 1 << (k + 1 - window)
-                masks.append(mask)
-            yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(masks, pa.int64())], names=["r", "mask"])
-
-    masks = streams.mapInArrow(match, "r long, mask long").groupBy("r").agg(F.bit_or("mask").alias("mask"))
-    found = masks.join(distinct.select("r", "a", "b"), "r").select("a", "b", "mask")
-    per_text = runs_of(regions).select("i", "t", "start", "a", "b").join(found.hint("merge"), ["a", "b"]).groupBy("i", "t").agg(F.array_sort(F.collect_set(F.struct("start", "mask"))).alias("spans"))
-    return written(per_text, "spans"), sent
+        for part in in_slices(batches, "words", _BATCH):
+            regions, xs, ys = [], [], []
+            columns = [part.column(c).to_pylist() for c in ("s", "p", "region", "a", "words")]
+            for j, (s, p, region, a, text) in enumerate(zip(*columns, strict=True)):
+                if (s, p) != known:  # what asks a shard comes in a row
+                    known, automaton = (s, p), SuffixAutomaton(part.column("passage")[j].as_py().split(" "))
+                for start, end in automaton.spans(text.split(" "), window):
+                    regions.append(region)
+                    xs.append(a + start)
+                    ys.append(a + end - window + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32())], names=["region", "x", "y"])
+
+    return written(streams.select("s", "p", "region", "a", "words", "passage").mapInArrow(match, "region long, x int, y int"), "found")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
+    """(i, t, spans): of each text the stretches of windows [x, y) to remove, sorted but perhaps overlapping; and the sent bit table."""
+    with passing(docs.sparkSession) as lasting:
+        sent = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window))
+        regions = written(candidate_regions(docs, sent, window), "regions")
+        refs = written(reference_windows(regions, window), "references")
+        passage = refs.groupBy("s", "p").agg(F.max("q").alias("b")).select("s", "p", F.col("s").alias("region"), F.col("p").alias("a"), "b")
+        shards = written(cut_out(regions, passage, window).select("s", "p", F.col("words").alias("passage")), "shards")
+        texts = regions.select("region", "words")
+        first = ask(windows_of(texts, window, EVERY), refs, shards, regions, window)
+        none = F.array().cast("array<struct<x:int,y:int>>")
+        left = texts.join(first.groupBy("region").agg(F.collect_set(F.struct("x", "y")).alias("spans")).hint("merge"), "region", "left").withColumn("spans", F.coalesce("spans", none))
+        second = ask(windows_of(left, window), refs, shards, regions, window)
+        found = regions.select("region", "i", "t", "lo").join(first.unionByName(second), "region")
+        per_text = found.groupBy("i", "t").agg(F.array_sort(F.collect_set(F.struct((F.col("lo") + F.col("x")).alias("x"), (F.col("lo") + F.col("y")).alias("y")))).alias("spans"))
+        return lasting(per_text, "spans"), sent
 
 
 def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -305,7 +318,7 @@ def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool
 
     Windows are judged on the input. A null text has no words; repeated rows
     repeat each other and go; rows of one doc_id, or of none, with different texts
-    are judged apart; a very long text is many runs, each looked at on its own; an
+    are judged apart; a very long text asks piece by piece; an
     empty table gives no rows; further columns are ignored unless they are in `keep`.
     """
     spans, sent = repeated_spans(docs, window)
@@ -344,12 +357,11 @@ def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: boo
                 if is_open:
                     own, at, left = text.encode("utf-8", "replace").split(), 0, []
                     for span in found or ():
-                        for k in range(span["mask"].bit_length()):
-                            if span["mask"] >> k & 1:
-                                s, e = span["start"] + k, span["start"] + k + window
-                                left += own[at:s]  # nothing where the last window reaches here
-                                gone += e - max(at, s)
-                                at = e
+                        start, end = max(at, span["x"]), span["y"] + window - 1
+                        if end > at:
+                            left += own[at:start]
+                            gone += end - start
+                            at = end
                     raw = b" ".join(left + own[at:])
                     text = hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace")
                 removed.append(gone)

@@ -9,7 +9,8 @@ of its words, in whatever order they stand there.
 
 The items are sent to the executors in blocks of at most BLOCK_BYTES of text, so
 what is broadcast is bounded whatever the benchmark's size; each block is a pass
-over the documents.
+over the documents. Expanded, a block is about 5 times its text in flat arrays and
+a dictionary of its different words.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import ceil_div, in_slices
+from vicinity.llm.common import ceil_div, in_slices, written
 
 LEAST = 5
 THRESHOLD = 0.5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Where Karp-Rabin's search length starts.
 FIRST_LENGTH = 20
 _MULT = 0x9E3779B97F4A7C15
@@ -114,29 +115,61 @@ def _scan(item: list[int], text: list[int], free_i: list[bool], free_t: list[boo
     return found, longest
 
 
+def shortened(text: np.ndarray, hashes: np.ndarray, least: int, longest: int) -> np.ndarray:
+    """The words of a text without the middles of long periodic stretches; hashes are those of its runs of `least` words.
+
+    Tiles take no more words of a text than the item has, and none is longer than
+    the item. Where words repeat with a period over many times the item's length,
+    whole periods in the middle therefore change nothing: what is left has every
+    run of up to that length as often as tiles can use it.
+    """
+    n = len(hashes)
+    if n < 8 * longest:
+        return text
+    order = np.argsort(hashes, kind="stable")
+    before = np.full(n, -1)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    period = np.where(before >= 0, np.arange(n) - before, 0)
+    period[period > longest] = 0
+    keep = np.ones(len(text), bool)
+    edge = np.flatnonzero(np.diff(period)) + 1
+    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), n]):  # noqa: B905
+        p = int(period[a])
+        spare = (b - a - 4 * longest) // p * p if p else 0
+        if spare > 0:
+            keep[a + 2 * longest : a + 2 * longest + spare] = False
+    return text[keep]
+
+
 class Benchmark:
-    """A block of items with the index of their seeds."""
+    """A block of items with the index of their seeds: flat arrays, but for the numbers of their words."""
 
     def __init__(self, items: list[tuple[int, str]], least: int = LEAST):
         self.least = least
         self.number: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.item_ids, lists = [], []
         for item_id, text in items:
             ids = [self.number.setdefault(w, len(self.number)) for w in tokens(text)]
             if len(ids) >= least:
-                self.items.append((item_id, ids))
-        places: dict[int, set[int]] = {}
-        for k, (_, ids) in enumerate(self.items):
-            for h in self.hashes(np.array(ids, np.int64)).tolist():
-                places.setdefault(h, set()).add(k)
-        self.seeds = np.array(sorted(places), np.uint64)
-        self.holders = places
+                self.item_ids.append(item_id)
+                lists.append(np.array(ids, np.int32))
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.words = np.concatenate([*lists, np.empty(0, np.int32)])
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        hashes = [self.hashes(x) for x in lists]
+        flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
+        holder = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in hashes])
+        order = np.lexsort((holder, flat))
+        #: the different seeds in order, and the items that hold each, as often as they do
+        self.seeds, first = np.unique(flat[order], return_index=True)
+        self.first, self.holders = np.append(first, len(flat)), holder[order]
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
         n = len(ids) - self.least + 1
         h = np.zeros(max(n, 0), np.uint64)
         if n > 0:
-            x = ids.astype(np.uint64)
+            x = ids.astype(np.int64).astype(np.uint64)
             for j in range(self.least):
                 h = h * np.uint64(_MULT) + x[j : j + n] + np.uint64(1)
         return h
@@ -145,34 +178,37 @@ class Benchmark:
         """(item_id, its words, covered words, tiles, longest tile) of each item leaked into a text."""
         if not text or not len(self.seeds):
             return []
-        number = self.number
+        number, least = self.number, self.least
         ids = np.array([number.get(w, -1) for w in tokens(text)], np.int64)
-        if len(ids) < self.least:
+        if len(ids) < least:
             return []
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        whole = np.flatnonzero(known[self.least :] - known[: -self.least] == self.least)
+        whole = np.flatnonzero(known[least:] - known[:-least] == least)
         if not len(whole):
             return []
         h = self.hashes(ids)[whole]
         place = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
         hit = self.seeds[place] == h
-        by_item: dict[int, list[int]] = {}
-        for start, value in zip(whole[hit].tolist(), h[hit].tolist(), strict=True):
-            for k in self.holders[value]:
-                by_item.setdefault(k, []).append(start)
+        starts, place = whole[hit], place[hit]
+        if not len(starts):
+            return []
+        # an item of which too few seeds are there to cover enough goes before anything is laid out
+        seen = np.unique(place)
+        sharing = np.bincount(np.concatenate([self.holders[self.first[s] : self.first[s + 1]] for s in seen.tolist()]), minlength=len(self.sizes))
         out = []
-        for k in sorted(by_item):
-            item_id, item = self.items[k]
-            part, end = [], -1  # the words that seeds cover; others cannot be in a tile
-            for start in by_item[k]:
-                if start > end and part:
-                    part.append(-1)
-                part += ids[max(start, end) : start + self.least].tolist()
-                end = start + self.least
-            tiles = tile(item, part, self.least)
+        for k in np.flatnonzero(sharing * least >= threshold * self.sizes).tolist():
+            item = self.words[self.begin[k] : self.begin[k + 1]]
+            own = starts[np.isin(place, np.searchsorted(self.seeds, np.unique(self.hashes(item))))]
+            part = []  # the words that seeds cover, stretch by stretch; others cannot be in a tile
+            new = np.flatnonzero(np.diff(own) > least) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(own)]):  # noqa: B905
+                stretch = ids[own[a] : own[b - 1] + least]
+                part += shortened(stretch, self.hashes(stretch), least, len(item)).tolist()
+                part.append(-1)
+            tiles = tile(item.tolist(), part, least)
             covered = sum(n for n, _, _ in tiles)
             if covered >= threshold * len(item):
-                out.append((item_id, len(item), covered, len(tiles), max(n for n, _, _ in tiles)))
+                out.append((self.item_ids[k], len(item), covered, len(tiles), max(n for n, _, _ in tiles)))
         return out
 
 
@@ -193,7 +229,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each document and item leaked into it: the columns `keep`, item_id, n_words, covered, n_tiles, longest.
 
     Null and empty texts hold nothing; items under LEAST words are never found;
-    repeated documents or items give a row each; an empty table gives none.
+    repeated documents or items give a row each; an empty table gives none. A very
+    long text is read once a block, and long periodic stretches of it are cut to
+    what tiles can use; columns that are not in `keep` are ignored.
     """
     out = None
     asked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
@@ -226,10 +264,17 @@ def _finder(sent, names):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents into which no item is leaked, with their columns."""
-    out = docs
+    """The documents into which no item is leaked, with their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty
+    benchmark takes nothing. Of several blocks each is a pass over what the ones
+    before have left, so a worker holds one block.
+    """
+    out, turn = docs, 0
     for block in blocks(benchmark):
+        out = written(out, "cleaned") if turn else out
         out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(Benchmark(block))), docs.schema)
+        turn += 1
     return out
 
 

@@ -118,7 +118,8 @@ def op9(docs: DataFrame) -> DataFrame:
     """Predict every document's language from dictionaries of the documents that are not held out.
 
     lang, source and doc_id never reach the prediction. A null doc_id is not
-    held out; repeated rows are answered one by one; an empty table gives none.
+    held out; a very long text is compressed whole, in pieces; repeated rows are
+    answered one by one; an empty table gives none; further columns are ignored.
     """
     fold = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     rows = docs.select("doc_id", fold.alias("held_out"), "text", "lang")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vicinity.llm.common import in_slices, written
+from vicinity.llm.common import in_slices, passing, written
 from vicinity.llm.hashing import batch_words, mix, runs
 
 SHINGLE = 5
@@ -388,18 +388,20 @@ def classified(docs: DataFrame) -> DataFrame:
     of one doc_id with different texts are judged apart. Texts without words have
     no root.
     """
-    frequencies = document_frequencies(docs)
-    signed = written(signatures(docs, frequencies), "signed")
-    copies = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "hash", "bands")).alias("first"))
-    nodes = written(copies.select("key", "first.doc_id", "first.hash", "first.bands", F.monotonically_increasing_id().alias("node")), "nodes")
-
-    def texts_of(some: DataFrame) -> DataFrame:
-        wanted = nodes.select("node", "doc_id", "hash").join(some, "node").hint("merge")
-        # the join has dealt the rows by these columns already; repeated rows of a text are one
-        return _own(docs).join(wanted, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
-
-    roots = components(links(nodes.select("node", "bands"), texts_of, frequencies))
-    rooted = written(nodes.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+    with passing(docs.sparkSession) as lasting:
+        frequencies = document_frequencies(docs)
+        signed = lasting(signatures(docs, frequencies), "signed")
+        copies = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "hash", "bands")).alias("first"))
+        nodes = written(copies.select("key", "first.doc_id", "first.hash", "first.bands", F.monotonically_increasing_id().alias("node")), "nodes")
+
+        def texts_of(some: DataFrame) -> DataFrame:
+            wanted = nodes.select("node", "doc_id", "hash").join(some, "node").hint("merge")
+            # the join has dealt the rows by these columns already; repeated rows of a text are one
+            return _own(docs).join(wanted, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+
+        roots = components(links(nodes.select("node", "bands"), texts_of, frequencies))
+        rooted = lasting(nodes.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("_class"))
     by_key = rooted.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "root", "_class")
     return signed.join(by_key, signed["key"] == by_key["_key"], "left").select("doc_id", "hash", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id"))

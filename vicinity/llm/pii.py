@@ -36,7 +36,7 @@ KINDS = {
     "secret": (r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+=*+", r"[A-Za-z0-9_+/-]{20}"),
 }
 BASE = ["email", "ip", "card", "phone"]
-#: Words that stand before personal data.
+#: Words of our own choice that often stand before personal data.
 CUES = {
     "email": ["mail", "contact", "write", "reach"],
     "ip": ["ip", "address", "host", "server", "login"],
@@ -44,7 +44,7 @@ CUES = {
     "phone": ["phone", "tel", "call", "mobile", "fax", "contact"],
     "secret": ["token", "secret", "password", "passwd", "key", "bearer", "auth", "credential"],
 }
-#: The gazetteer of each kind, as a pattern on the span itself (for secrets, on what stands before it).
+#: The gazetteer of each kind, of our own choice, as a pattern on the span itself (for secrets, on what stands before it).
 GAZETTEER = {
     "email": r"\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
     "ip": r"^(?!0|127\.|255\.|224\.)[0-9]",
@@ -125,7 +125,7 @@ _ITEM = "array<struct<start:int,left:string,span:string,right:string>>"
 
 
 def _placed(matches: Column, gaps: Column, m: Column) -> Column:
-    """Matches with their starts: a running sum over blocks, so that thousands of matches in one text stay cheap."""
+    """Matches with their starts: a running sum over blocks, each an array of its own until the end, so that a hundred thousand matches in one text stay cheap."""
 
     def block(acc: Column, b: Column) -> Column:
         inner = F.aggregate(
@@ -136,10 +136,10 @@ def _placed(matches: Column, gaps: Column, m: Column) -> Column:
                 F.concat(a["out"], F.array(F.struct((a["at"] + F.char_length(F.get(gaps, i))).alias("start"), F.substring(F.get(gaps, i), -24, 24).alias("left"), F.get(matches, i).alias("span"), F.substring(F.get(gaps, i + 1), 1, 1).alias("right")))).alias("out"),
             ),
         )
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
     blocks = F.when(m > 0, F.sequence(F.lit(0), F.floor((m - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(_ITEM).alias("out")), block, lambda a: a["out"])
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_ITEM}>").alias("out")), block, lambda a: F.flatten(a["out"]))
 
 
 def propose(docs: DataFrame) -> DataFrame:
@@ -249,8 +249,9 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
 def op8(docs: DataFrame) -> DataFrame:
     """Counts and spans per document.
 
-    A null text is empty, repeated rows are answered one by one, ties between
-    kinds stand side by side, an empty table gives no rows.
+    A null text is empty, a very long one is read whole, repeated rows are answered
+    one by one, ties between kinds stand side by side, an empty table gives no
+    rows, further columns are ignored.
     """
     out = find(docs.select("doc_id", "text"), ["doc_id"])
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -267,7 +268,9 @@ def op8(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; of overlapping spans the first, then the longer, counts.
 
-    The columns stay; n_chars, if there is one, is counted anew.
+    The columns stay, whatever their names; n_chars, if there is one, is counted
+    anew. A null text stays null, and a text without spans as it is; repeated rows
+    are redacted one by one; an empty table stays empty.
     """
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
     out = find(held, ["_row", "text"])

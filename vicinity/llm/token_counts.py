@@ -231,8 +231,9 @@ def answer(stored: DataFrame, keep: list[str], budget: int = LIMIT) -> DataFrame
 def op5(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token counts of every document from its stored prefix counts.
 
-    A null text is empty, repeated rows are answered one by one, an empty table
-    gives no rows, further columns are ignored.
+    A null text is empty, a very long one or a very long unbroken piece is counted
+    whole, repeated rows are answered one by one, an empty table gives no rows,
+    further columns are ignored.
     """
     found = answer(store(docs, ["doc_id"], path), ["doc_id", "n_bytes"])
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fits")

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -149,6 +150,45 @@ def test_tiling(monkeypatch):
         assert sorted(decontaminate.tile(item, text, least)) == sorted(naive_tiles(item, text, least))
 
 
+def naive_leaks(items, text):
+    """Every item against the whole text, without seeds."""
+    words, out = decontaminate.tokens(text), []
+    for item_id, item in items.items():
+        own = decontaminate.tokens(item)
+        number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+        tiles = decontaminate.tile([number[w] for w in own], [number.get(w, -1) for w in words], decontaminate.LEAST) if len(own) >= decontaminate.LEAST else []
+        covered = sum(n for n, _, _ in tiles)
+        if tiles and covered >= decontaminate.THRESHOLD * len(own):
+            out.append((item_id, len(own), covered, len(tiles), max(n for n, _, _ in tiles)))
+    return out
+
+
+def test_leaks_against_brute_force_with_repeated_seeds():
+    rng = random.Random(5)
+    for _ in range(60):
+        items = {i: " ".join(rng.choices("abc", k=rng.randint(5, 14))) for i in range(4)}
+        cycle = " ".join(rng.choices("abc", k=rng.randint(1, 4)))
+        text = " ".join([*rng.choices("abcd", k=rng.randint(0, 30)), *[cycle] * rng.randint(0, 120), *rng.choices("abcd", k=rng.randint(0, 30)), *[cycle] * rng.randint(0, 60)])
+        assert decontaminate.Benchmark(list(items.items())).leaks(text) == naive_leaks(items, text), (items, text)
+
+
+def test_one_seed_without_end_takes_no_time():
+    bench = decontaminate.Benchmark([(1, "la " * 400), (2, "la " * 30 + " ".join(f"w{i}" for i in range(40))), (3, "ha ho " * 50)])
+    began = time.time()
+    assert [x[0] for x in bench.leaks("la " * 500_000 + "ha ho " * 200_000)] == [1, 3]
+    assert time.time() - began < 20
+
+
+def test_a_large_benchmark_is_cut_and_small():
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(200_000)}" for _ in range(60))) for i in range(20_000)]
+    text = sum(len(t) for _, t in items)
+    assert text > decontaminate.BLOCK_BYTES
+    bench = decontaminate.Benchmark(items)
+    arrays = sum(x.nbytes for x in (bench.words, bench.begin, bench.sizes, bench.seeds, bench.first, bench.holders))
+    assert arrays < 5 * text and bench.leaks(" ".join(items[77][1].split()[20:] + ["x"] + items[77][1].split()[:20])) == [(77, 60, 60, 2, 40)]
+
+
 def test_reordered_passages_are_leaks_and_others_are_not():
     item = [f"w{i}" for i in range(60)]
     bench = decontaminate.Benchmark([(7, " ".join(item)), (8, "short one")])
@@ -163,6 +203,8 @@ def test_leaks_of_documents(spark, texts):
     whole = {(d, i) for d, t in texts.items() for i, x in items.items() if norm(x) in norm(t)}
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op2_decontaminate"](spark, ROOT).collect()}
     assert whole <= got and len(got - whole) <= 1
+    rows = {(r.doc_id, r.item_id): (r.n_words, r.covered, r.n_tiles, r.longest, r.coverage) for r in queries.QUERIES["op2_decontaminate"](spark, ROOT).collect()}
+    assert rows == {(d, i): (n, c, k, m, round(c / n, 6)) for d, t in texts.items() for i, n, c, k, m in naive_leaks(items, t)}
     blocks = list(decontaminate.blocks(table(spark, ROOT, "benchmark"), 3000))
     assert len(blocks) > 1 and sorted(r for b in blocks for r in b) == sorted(items.items())
 

@@ -6,14 +6,12 @@ drops the tables it wrote itself when the next stage begins.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinity.llm import bpe, decontaminate, near_dedup, pii, quality
-from vicinity.llm.common import owned_by, release
-from vicinity.sources.shared import shared_dir
+from vicinity.llm.common import forget, owned_by, release, written
 from vicinity.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,15 +37,22 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe_tokens", _stage(lambda spark, docs, at: bpe.digests(docs))),
 ]
 
-#: Sampling, tiling, estimation and merging have no SQL; tests hold each stage against a brute-force version.
+#: Sampling, tiling, estimation and merging have no SQL; tests hold each stage, on what the one before has left, against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir; every stage but the last is stored and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/vicinity/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
+    """All stages on the documents of sf_dir; every stage but the last is stored and read again, and deleted when the next one is stored.
+
+    The last stored one stays, for the result reads it: it lies under vicinity/ in the shared folder.
+    """
+    docs, before = table(spark, sf_dir, "documents"), "pipeline-0"
+    for k, (name, stage) in enumerate(STAGES[:-1], 1):
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        with owned_by(f"pipeline-{k}"):
+            docs = written(out, name)
+        release(spark, before)
+        before = f"pipeline-{k}"
+    release(spark, _OWNER)
+    forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -344,6 +344,41 @@ def test_legacy_results(spark, tmp_path):
     assert [tuple(r) for r in legacy.read_floats(spark, f"file://{tmp_path}/f.bin", ("qtype", "s")).collect()] == [(0, 1.0, 0.5), (1, 2.0, 0.25)]
 
 
+def test_numbers_without_a_header(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 3.0, 0.5), (0, 1.0, 0.25), (1, 0.0, 1.0)], "qid long, qtype double, s double")
+    (tmp_path / "f.bin").write_bytes(b"".join(legacy.encode_floats(rows, ("qtype", "s"))))
+    assert sorted(map(tuple, legacy.read_floats(spark, f"file://{tmp_path}/f.bin", ("qtype", "s")).collect())) == [(0, 1.0, 0.25), (1, 0.0, 1.0), (2, 3.0, 0.5)]
+    (tmp_path / "i.bin").write_bytes(np.array([7, -1, 9], "<i4").tobytes() + b"\x01")
+    assert [tuple(r) for r in legacy.read_ints(spark, f"file://{tmp_path}/i.bin", ("hits",)).collect()] == [(0, 7), (1, -1), (2, 9)]
+
+
+def test_times(spark):
+    timed = spark.createDataFrame([(1, 0, 0.01, 9, 10.0), (2, 0, 0.91, 8, 30.0), (3, 2, 0.95, 7, 50.0)], "qid long, qtype int, selectivity double, hits long, us double")
+    F = predicates.F
+    assert sorted(map(tuple, evaluate.times(timed, F.col("qtype")).collect())) == [(0, 2, 40.0, 20.0), (2, 1, 50.0, 50.0)]
+    assert sorted(map(tuple, evaluate.times(timed, evaluate.side(0.05)).collect())) == [("graph", 2, 80.0, 40.0), ("scan", 1, 10.0, 10.0)]
+    assert sorted(map(tuple, evaluate.times(timed, evaluate.tenth()).collect())) == [(1, 1, 10.0, 10.0), (10, 2, 80.0, 40.0)]
+    assert evaluate.scatter(timed).columns == ["qid", "qtype", "selectivity", "us", "hits"]
+    nodes, asked = data(spark, ROOT)
+    indexed = stored(graph.by_category(nodes, 0.0), "indexed")
+    to = asked.where("qtype = 1").join(indexed.selectExpr("c AS v", "index_id").distinct(), "v").selectExpr("index_id", "qid", "qvec", "40 AS ef", "CAST(NULL AS double) AS low", "CAST(NULL AS double) AS high")
+    answers = stored(graph.graph_answers(indexed, stored(graph.build(indexed, 8, 30), "edges"), to), "answers")
+    took = graph.query_times(answers).collect()
+    assert len(took) == to.select("qid").distinct().count() and all(r.us > 0 for r in took)
+    assert graph.best(answers, 3).groupBy("qid").count().where("count > 3").count() == 0
+
+
+def test_recall_of_a_graph_and_products_of_codes(spark):
+    rows, nodes, _ = made(spark, 100)
+    exact = graph.knn_graph(nodes.withColumn("c", predicates.F.lit(0)), 4)
+    assert evaluate.graph_recall(exact, nodes, 4, 5).first()[0] == 1.0
+    assert evaluate.graph_recall(exact.where("pos <= 2"), nodes, 4, 5).first()[0] == 0.5
+    coded = Q.encoded(nodes, "sq8sym")
+    most = max(sum(x * x for x in r.code) for r in coded.collect())
+    assert tuple(evaluate.product_bound(coded).first()) == (most, most <= 32767) and evaluate.product_bound(coded, most).first().fits
+    assert [Q.quantizer(x) for x in range(4)] == ["fp32", "sq8", "sq8", "sq8sym"]
+
+
 def test_stream_of_queries(spark, tmp_path):
     from vicinity.streaming.search import answer_stream
 

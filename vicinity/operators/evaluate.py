@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.operators.knn import search, top
+
 BINS = 10
 
 
@@ -37,8 +39,7 @@ def selectivity_histogram(evaluated: DataFrame) -> DataFrame:
 
 def hits_frequency(evaluated: DataFrame, threshold: float) -> DataFrame:
     """How often each number of hits occurs, per type and side of a selectivity threshold."""
-    side = F.when(F.col("selectivity") < threshold, "scan").otherwise("graph")
-    return evaluated.groupBy("qtype", side.alias("side"), "hits").agg(F.count(F.lit(1)).alias("n"))
+    return evaluated.groupBy("qtype", side(threshold), "hits").agg(F.count(F.lit(1)).alias("n"))
 
 
 def good_share(evaluated: DataFrame, good: int, least: float, qtype: int = 2) -> DataFrame:
@@ -49,13 +50,47 @@ def good_share(evaluated: DataFrame, good: int, least: float, qtype: int = 2) ->
 
 def by_ceiling(evaluated: DataFrame) -> DataFrame:
     """Per tenth of selectivity, rounded up."""
-    return evaluated.groupBy(F.ceil(F.col("selectivity") * BINS).cast("int").alias("tenth")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hits"), 9).alias("mean_hits"))
+    return evaluated.groupBy(tenth()).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hits"), 9).alias("mean_hits"))
 
 
 def sides(evaluated: DataFrame, threshold: float) -> DataFrame:
     """Queries under and from a threshold: how many, and their mean hits."""
-    side = F.when(F.col("selectivity") < threshold, "scan").otherwise("graph")
-    return evaluated.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hits"), 9).alias("mean_hits"))
+    return evaluated.groupBy(side(threshold)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hits"), 9).alias("mean_hits"))
+
+
+def times(timed: DataFrame, *keys: Column) -> DataFrame:
+    """Of rows with `us`, a query's time in microseconds: how many, their total and mean time, by type, side, tenth or whatever the keys are."""
+    return timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("total_us"), F.avg("us").alias("mean_us"))
+
+
+def side(threshold: float) -> Column:
+    return F.when(F.col("selectivity") < threshold, "scan").otherwise("graph").alias("side")
+
+
+def tenth() -> Column:
+    """The tenth of selectivity, rounded up."""
+    return F.ceil(F.col("selectivity") * BINS).cast("int").alias("tenth")
+
+
+def scatter(timed: DataFrame) -> DataFrame:
+    """What a plot of selectivity against time and hits needs, of each query."""
+    return timed.select("qid", "qtype", "selectivity", "us", "hits")
+
+
+def graph_recall(edges: DataFrame, nodes: DataFrame, k: int, every: int = 20) -> DataFrame:
+    """The share of the k nearest others that a neighbour graph has, of the nodes whose id `every` divides, against all nodes."""
+    asked = nodes.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.lit(0).alias("qtype"), F.lit(None).cast("int").alias("v"), F.lit(None).cast("double").alias("l"), F.lit(None).cast("double").alias("r"), F.col("vec").alias("qvec"))
+    truth = top(search(nodes, asked, k + 1).where("qid != id").drop("rank"), k)
+    return recall(hits(edges.select(F.col("src").alias("qid"), F.col("dst").alias("id")), truth))
+
+
+def product_bound(coded: DataFrame, limit: int = (1 << 15) - 1) -> DataFrame:
+    """One row: the largest square sum of codes, and whether every product of two rows' codes fits the limit.
+
+    No product of two rows exceeds the larger square sum, so one aggregate says
+    for all pairs that they fit; where it does not, some row's with itself does not.
+    """
+    return code_overflow(coded, -1).agg(F.max("square_sum").alias("most")).withColumn("fits", F.coalesce(F.col("most") <= limit, F.lit(True)))
 
 
 def code_overflow(coded: DataFrame, limit: int = 1 << 16) -> DataFrame:

@@ -11,6 +11,7 @@ that no link reaches are tied to the entry's part.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -400,11 +401,37 @@ class Shard:
         return [(qid, i, d) for i, d in search_shard(self.ids, self.vec, self.t, self.links, self.times, np.asarray(query, np.float64), ef, low, high, wider, entry=self.entry)]
 
 
-_FOUND = "qid long, id long, d2 double"
+_FOUND = "qid long, id long, d2 double, us double"
+
+
+def _answers(shard: Shard, asked: Iterator[tuple], wider: int = 1) -> pd.DataFrame:
+    """What a shard finds for queries (qid, qvec, ef, low, high); a query's time is in its first row."""
+    out: list[tuple] = []
+    for q in asked:
+        began = time.perf_counter()
+        found = shard.answer(*q, wider)
+        took = 1e6 * (time.perf_counter() - began)
+        out += [(*row, took if i == 0 else 0.0) for i, row in enumerate(found)]
+    return pd.DataFrame(out, columns=["qid", "id", "d2", "us"])
+
+
+def best(answers: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, id, d2) of the answers of all shards."""
+    return top(answers.groupBy("qid", "id").agg(F.min("d2").alias("d2")), k).select("qid", "rank", "id", "d2")
+
+
+def query_times(answers: DataFrame) -> DataFrame:
+    """(qid, us): the microseconds that shards took for a query, in all; of stored answers, else they are found anew."""
+    return answers.groupBy("qid").agg(F.sum("us").alias("us"))
 
 
 def graph_search(indexed: DataFrame, edges: DataFrame, asked: DataFrame, k: int, wider: int = 1) -> DataFrame:
-    """The k best per query over all shards asked: (qid, rank, id, d2).
+    """The k best per query over all shards asked: (qid, rank, id, d2)."""
+    return best(graph_answers(indexed, edges, asked, wider), k)
+
+
+def graph_answers(indexed: DataFrame, edges: DataFrame, asked: DataFrame, wider: int = 1) -> DataFrame:
+    """(qid, id, d2, us): what each shard finds.
 
     asked has (index_id, qid, qvec, ef, low, high): what each shard is asked, low
     and high null for no range. Shard, links and queries meet by index_id, the
@@ -412,12 +439,9 @@ def graph_search(indexed: DataFrame, edges: DataFrame, asked: DataFrame, k: int,
     """
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            shard = Shard(left)
-            for q in right.itertuples():
-                out += shard.answer(q.asker, q.qvec, q.ef, q.low, q.high, wider)
-        return pd.DataFrame(out, columns=["qid", "id", "d2"])
+        if not len(left) or not len(right):
+            return _answers(None, iter(()))
+        return _answers(Shard(left), ((q.asker, q.qvec, q.ef, q.low, q.high) for q in right.itertuples()), wider)
 
     # other names than the nodes', which the queries may come from
     to = asked.select(F.col("index_id").alias("shard"), F.col("qid").alias("asker"), "qvec", "ef", "low", "high")
@@ -427,17 +451,12 @@ def graph_search(indexed: DataFrame, edges: DataFrame, asked: DataFrame, k: int,
     left = shards.join(copies, shards["index_id"] == copies["copied"])
     sized = parts.select(F.col("shard").alias("sized"), "parts")
     right = to.join(sized, F.col("shard") == F.col("sized")).withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("parts")).cast("int"))
-    met = left.groupBy("copied", "part").cogroup(right.groupBy("shard", "turn")).applyInPandas(one, _FOUND)
-    best = met.groupBy("qid", "id").agg(F.min("d2").alias("d2"))
-    return top(best, k).select("qid", "rank", "id", "d2")
+    return left.groupBy("copied", "part").cogroup(right.groupBy("shard", "turn")).applyInPandas(one, _FOUND)
 
 
-def _asked(sent, k: int):
+def _asked(sent):
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        shard, out = Shard(frame), []
-        for q in sent.value.to_pylist():
-            out += shard.answer(q["qid"], q["qvec"], q["ef"], None, None, 1)[:k]
-        return pd.DataFrame(out, columns=["qid", "id", "d2"])
+        return _answers(Shard(frame), ((q["qid"], q["qvec"], q["ef"], None, None) for q in sent.value.to_pylist()))
 
     return one
 
@@ -449,7 +468,7 @@ def search_everywhere(indexed: DataFrame, edges: DataFrame, queries: DataFrame,
     for b in range(n):
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else asked
         sent = indexed.sparkSession.sparkContext.broadcast(part.toArrow())
-        found = top(linked(indexed, edges).groupBy("index_id").applyInPandas(_asked(sent, k), _FOUND).groupBy("qid", "id").agg(F.min("d2").alias("d2")), k).select("qid", "rank", "id", "d2")
+        found = best(linked(indexed, edges).groupBy("index_id").applyInPandas(_asked(sent), _FOUND), k)
         if n > 1:
             found = stored(found, "block")
             sent.destroy()

@@ -97,14 +97,30 @@ def read_ids(spark: SparkSession, path: str, k: int, header: bool) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "qid long, rank int, id long")
 
 
+def encode_floats(df: DataFrame, names: tuple[str, ...]) -> Iterator[bytes]:
+    """Records of float32 without a header, in the order of qid: types and selectivities, or other statistics of queries."""
+    for row in df.orderBy("qid").select(*names).toLocalIterator():
+        yield np.array(tuple(row), "<f4").tobytes()
+
+
 def read_floats(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     """A file of records of float32 without a header (query statistics, types, selectivities), with their position as qid."""
+    return _read_numbers(spark, path, names, "<f4")
+
+
+def read_ints(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """The same of int32: hits of each query, categories."""
+    return _read_numbers(spark, path, names, "<i4")
+
 
+def _read_numbers(spark: SparkSession, path: str, names: tuple[str, ...], kind: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                flat = np.frombuffer(content, "<f4")
-                flat = flat[: len(flat) // len(names) * len(names)].reshape(-1, len(names)).astype(np.float64)
+                flat = np.frombuffer(content[: len(content) // 4 * 4], kind)
+                flat = flat[: len(flat) // len(names) * len(names)].reshape(-1, len(names))
+                flat = flat.astype(np.float64 if kind == "<f4" else np.int64)
                 yield pd.DataFrame({"qid": np.arange(len(flat))} | {n: flat[:, i] for i, n in enumerate(names)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(["qid long", *(f"{n} double" for n in names)]))
+    as_sql = "double" if kind == "<f4" else "long"
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(["qid long", *(f"{n} {as_sql}" for n in names)]))

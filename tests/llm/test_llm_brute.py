@@ -229,6 +229,30 @@ def test_cutoffs_reject_few_good_documents(spark):
     assert quality.calibrate(df, labels.where("doc_id < 300")).collect() == []  # too few for a certificate
 
 
+def test_certified_cutoffs_against_sql(spark):
+    """Two languages with labels enough for certificates of several rules, some good documents among what they reject."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwz", k=rng.randint(2, 9)))
+    spoil = {"symbols": lambda w: [x + "##$%" if i % 3 == 0 else x for i, x in enumerate(w)], "capitals": lambda w: [x.upper() if i % 2 else x for i, x in enumerate(w)], "marks": lambda w: [x + "!!" if i % 4 == 0 else x for i, x in enumerate(w)], "dup_lines": lambda w: [*w[:40], *["\n" + " ".join(w[:4]) + "\n"] * 9, *w[40:]], "none": lambda w: w}
+    rows, labels = [], []
+    for lang, kinds in (("en", ["symbols", "dup_lines"]), ("de", ["capitals", "marks"]), (None, ["symbols"])):
+        for i in range(1100 if lang else 200):
+            kind = rng.choice(kinds) if i % 6 == 0 else "none"
+            doc = len(rows)
+            rows.append((doc, " ".join(spoil[kind]([word() for _ in range(60)])), lang))
+            labels.append((doc, int(kind == "none"), 0))
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chosen = {(r.lang, r.rule) for r in quality.calibrate(quality.features(docs, ["doc_id", "lang"]), told).collect()}
+    assert chosen >= {("en", "symbols"), ("en", "dup_lines"), ("de", "capitals"), ("de", "marks")}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", told.toPandas())
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({quality.OP3_SQL})").fetchall())
+    assert sorted(tuple(r) for r in quality.op3(docs, told).select(*names).collect()) == want
+    assert sum(1 for r in want if r[-1]) > 250
+
+
 def test_repeated_windows_are_told_by_their_words(spark):
     """Many different words, whose few bits of hash collide, repeat nothing; repeats among them are found."""
     n = 300_000
@@ -366,6 +390,15 @@ def test_counts_of_every_prefix():
         assert counts == [len(x) for x in ids_of([text[:i] for i in range(len(text) + 1)])], repr(text)
 
 
+def test_one_long_unbroken_piece(spark):
+    rng = random.Random(2)
+    rows = [(1, "x" * 40_000), (2, "".join(rng.choices("abc", k=20_000))), (3, " " * 30_000 + "a"), (4, "ab" * 9_999 + "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: x for (i, _), x in zip(rows, ids_of([t for _, t in rows]), strict=True)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.op5(docs).collect()} == {i: len(x) for i, x in want.items()}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.digests(docs).collect()} == {i: sha(",".join(map(str, x))) for i, x in want.items()}
+
+
 def test_token_queries(spark, texts):
     want = dict(zip(texts, ids_of(list(texts.values())), strict=True))
     got = queries.QUERIES["op5_token_counts"](spark, ROOT).collect()
@@ -400,7 +433,7 @@ def test_base_spans(spark, texts):
     rng = random.Random(9)
     parts = ["a@b.c", "_d@e.f", "@", ".", "1.2.3.4", "255.0.0.01", "256.1.1.1", "0.0.0.0", "4111 1111 1111 1111", "4111-1111-1111-1111-0", "12", "+1 (243) 555-5526", "+", "+49 ", " ", "-", "é", "😀", "x", "\n"]
     made = {10**6 + i: "".join(rng.choices(parts, k=rng.randint(1, 12))) for i in range(400)}
-    made[2 * 10**6] = " ".join(f"u{i}@example.org" for i in range(1500))
+    made[2 * 10**6] = " ".join(f"u{i}@example.org" for i in range(5000))
     every = texts | made
     docs = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(8)
     for r in pii.op8(docs).collect():
@@ -418,6 +451,30 @@ def test_planted_tokens_are_added(spark):
     assert got == want and want
 
 
+def test_added_spans_follow_the_votes(spark):
+    """What the classifier adds beside the base spans, against the same sums in plain Python."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    found = common.written(pii.propose(docs).select("doc_id", "_found"), "pii")
+    weights = pii.fit(found)
+    said = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.decide(found, weights).collect()}
+    want, added = {}, 0
+    for r in found.collect():
+        own = set()
+        for x in r._found:
+            score = weights.get(x["kind"], 0.0) + sum(weights.get(f"{x['kind']}:{n}:{x[n]}", 0.0) for n in pii.LABELERS + pii.FEATURES)
+            if x["base"] or score > 0:
+                own.add((x["kind"], x["start"], x["end"]))
+                added += not x["base"]
+        want[r.doc_id] = own
+    assert said == want and added
+
+
+def test_redaction_of_many_spans(spark):
+    text = " ".join(f"u{i}@example.org and" for i in range(4000))
+    out = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.text == " ".join("<EMAIL> and" for _ in range(4000))
+
+
 def test_reliabilities():
     rng = random.Random(1)
     counts = Counter()

@@ -379,6 +379,35 @@ def test_recall_of_a_graph_and_products_of_codes(spark):
     assert [Q.quantizer(x) for x in range(4)] == ["fp32", "sq8", "sq8", "sq8sym"]
 
 
+def test_clustered_tables(spark):
+    rows, nodes, _ = made(spark, 200)
+    big = max(range(3), key=lambda c: (sum(r[1] == c for r in rows), -c))
+    orders = {"category": lambda r: (r[1], r[2], r[0]), "time": lambda r: (r[2], r[0]), "largest": lambda r: (r[1] != big, r[2], r[0])}
+    for how, key in orders.items():
+        parts = predicates.clustered(nodes, how, 4)
+        assert parts.columns == nodes.columns and [r.id for r in parts.collect()] == [r[0] for r in sorted(rows, key=key)]
+    with pytest.raises(ValueError):
+        predicates.clustered(nodes, "id", 4)
+
+
+def test_gathering_in_a_filter():
+    rng = np.random.default_rng(9)
+    links = [rng.choice(50, 3, replace=False).tolist() for _ in range(50)]
+    inside = rng.random(50) < 0.3
+    hops = {0: 0}
+    ring = [0]
+    while ring:
+        ring = [j for j in dict.fromkeys(j for i in ring for j in links[i]) if j not in hops and not hops.update({j: hops[i] + 1 for i in ring if j in links[i]})]
+    every = graph.gather(links, 0, inside, 100)
+    assert set(every) == {i for i in hops if i and inside[i]} and [hops[i] for i in every] == sorted(hops[i] for i in every)
+    assert graph.gather(links, 0, inside, 4) == every[:4] and all(hops[i] <= 2 for i in graph.gather(links, 0, inside, 100, 2))
+
+
+def test_equal_vectors_have_equal_hashes(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0],), ([2.0, 1.0],)], "vec array<float>")
+    assert df.select(V.hash_vector(df.vec)).distinct().count() == 2
+
+
 def test_stream_of_queries(spark, tmp_path):
     from vicinity.streaming.search import answer_stream
 

@@ -379,6 +379,19 @@ def search_shard(ids: np.ndarray, vec: np.ndarray, t: np.ndarray, links: dict[in
     return sorted(((int(ids[i]), -d) for d, _, i in found), key=lambda x: (x[1], x[0]))
 
 
+def gather(links: list[list[int]], start: int, inside: np.ndarray, most: int = 32, hops: int | None = None) -> list[int]:
+    """Up to `most` of the nodes in the filter that are nearest to a node in links, those with fewer links between first; `hops` may bound how many."""
+    out, seen, ring = [], {start}, [start]
+    while ring and hops != 0:
+        ring = [j for j in dict.fromkeys(j for i in ring for j in links[i]) if j not in seen]
+        seen.update(ring)
+        out += [j for j in ring if inside[j]]
+        if len(out) >= most:
+            break
+        hops = None if hops is None else hops - 1
+    return out[:most]
+
+
 class Shard:
     """One shard's nodes and links as arrays."""
 

@@ -115,6 +115,45 @@ def sorted_base(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "c", "t", F.row_number().over(W.partitionBy("c").orderBy("t", "id")).alias("place"))
 
 
+def _largest(nodes: DataFrame) -> Column:
+    """Whether a node is of the largest category (of equals the smallest c): one number that is known before the sort."""
+    row = category_extremes(nodes).first()
+    return F.coalesce(F.col("c") == F.lit(row["largest"]).cast("int"), F.lit(False))
+
+
+def sorted_by_time(nodes: DataFrame) -> DataFrame:
+    """The nodes in (t, id) order, with their slice and their place in it: slices follow each other, so no task sorts all."""
+    from pyspark.sql.window import Window as W
+
+    sliced = nodes.select("id", "t", slice_of(F.col("t")).alias("slice"))
+    return sliced.withColumn("place", F.row_number().over(W.partitionBy("slice").orderBy("t", "id")))
+
+
+def sorted_largest_first(nodes: DataFrame) -> DataFrame:
+    """The largest category before all others, each of both in (t, id) order by slices."""
+    from pyspark.sql.window import Window as W
+
+    sliced = nodes.select("id", "t", _largest(nodes).alias("largest"), slice_of(F.col("t")).alias("slice"))
+    return sliced.withColumn("place", F.row_number().over(W.partitionBy("largest", "slice").orderBy("t", "id")))
+
+
+def clustered(nodes: DataFrame, how: str, parts: int) -> DataFrame:
+    """All columns, dealt into `parts` ranges and sorted in them, for a table that is to be written: by `category` and time, `time`, or `largest` category first and then time."""
+    orders = {"category": ["c", "t", "id"], "time": ["t", "id"], "largest": ["_rest", "t", "id"]}
+    if how not in orders:
+        raise ValueError(f"unknown order {how!r}; known: {', '.join(orders)}")
+    keyed = nodes.withColumn("_rest", ~_largest(nodes)) if how == "largest" else nodes
+    return keyed.repartitionByRange(parts, *orders[how]).sortWithinPartitions(*orders[how]).drop("_rest")
+
+
+def sorted_queries(queries: DataFrame) -> DataFrame:
+    """The queries by type, category and range, with their place among those of their type: like ones stand together."""
+    from pyspark.sql.window import Window as W
+
+    order = W.partitionBy("qtype").orderBy("v", "l", "r", "qid")
+    return queries.select("qid", "qtype", "v", "l", "r", F.row_number().over(order).alias("place"))
+
+
 def without_deleted(nodes: DataFrame, tombstones: DataFrame) -> DataFrame:
     return nodes.join(tombstones.select("id"), "id", "left_anti")
 

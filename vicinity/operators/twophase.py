@@ -25,6 +25,11 @@ def coded_search(nodes: DataFrame, queries: DataFrame, quantizer: str = "sq8sym"
     return found if quantizer == "fp32" else found.withColumn("d2", F.col("d2").cast("long"))
 
 
+def scaled(found: DataFrame, alpha: float) -> DataFrame:
+    """Distances between sq8sym codes in the vectors' scale, but for the codes' own: times alpha squared."""
+    return found.withColumn("d2", F.col("d2").cast("double") * F.lit(alpha) * F.lit(alpha))
+
+
 def refine(candidates: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """Exact distances of candidates (qid, id), each counted once, and the k best."""
     pairs = candidates.select("qid", "id").distinct().join(nodes.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")

@@ -83,6 +83,11 @@ def _evaluated(base: DataFrame, asked: DataFrame) -> DataFrame:
     return selectivity(base, asked).select("qid", "qtype", F.round("selectivity", 9).alias("selectivity")).join(hits, "qid")
 
 
+def _scaled(base: DataFrame, asked: DataFrame) -> DataFrame:
+    known = Q.trained(base, "sq8sym")
+    return twophase.scaled(twophase.coded_search(base, asked, "sq8sym", CODED_K, known), known[0])
+
+
 def _extended(metric: Callable) -> Query:
     """Float queries against per-dimension codes."""
 
@@ -160,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "sq4_encode": _codes("sq4"),
     "code_square_sums": _base(lambda n: evaluate.code_overflow(Q.encoded(n, "sq8sym"), 0)),
     "sq8sym_knn": _both(lambda n, q: twophase.coded_search(n, q, "sq8sym", CODED_K)),
+    "sq8sym_knn_scaled": _both(lambda n, q: _rounded(_scaled(n, q), "d2")),
     "sq8sym_two_phase": _both(lambda n, q: _rounded(twophase.two_phase(n, q, "sq8sym", K, CODED_K), "d2")),
     "sq8_two_phase": _both(lambda n, q: _rounded(twophase.two_phase(n, q, "sq8", K, CODED_K), "d2")),
     "sq4_two_phase": _both(lambda n, q: _rounded(twophase.two_phase(n, q, "sq4", K, CODED_K), "d2")),
@@ -172,6 +178,9 @@ QUERIES: dict[str, Query] = {
     "recall_frequency": _both(lambda n, q: evaluate.hits_frequency(_evaluated(n, q), 0.05)),
     "recall_ratio_by_selectivity": _both(lambda n, q: evaluate.good_share(_evaluated(n, q), 7, 0.05)),
     "sort_base_by_category_time": _base(predicates.sorted_base),
+    "sort_base_by_time": _base(predicates.sorted_by_time),
+    "sort_base_largest_first": _base(predicates.sorted_largest_first),
+    "sort_queries": lambda s, r: predicates.sorted_queries(data(s, r)[1]),
     "centroid": _base(evaluate.centroid),
     "tombstones": _base(lambda n: predicates.without_deleted(n, n.where("id % 7 = 0")).select("id", "c")),
     "allow_list": _base(lambda n: predicates.allowed(n, n.where("id % 7 = 0")).select("id", "c")),
@@ -269,6 +278,7 @@ CAST(CASE WHEN scanned THEN NULL WHEN qtype = 0 THEN {AT.ef_none} WHEN qtype = 1
     **{f"{q}_encode": f"{_coded(q)} SELECT id, {_CODE_TEXT} AS code FROM cn" for q in _ENCODE},
     "code_square_sums": f"{_coded('sq8sym')} SELECT id, CAST(list_sum([x * x FOR x IN code]) AS BIGINT) AS square_sum FROM cn WHERE list_sum([x * x FOR x IN code]) > 0",
     "sq8sym_knn": f"{_coded_top('sq8sym', CODED_K)} SELECT qid, rank, id, d2 FROM coded",
+    "sq8sym_knn_scaled": f"{_coded_top('sq8sym', CODED_K)} SELECT qid, rank, id, round(CAST(d2 AS DOUBLE) * alpha * alpha, 6) AS d2 FROM coded, par",
     **{f"{q}_two_phase": _two_phase(q) for q in _ENCODE},
     "recall_per_query": f"{_EVAL} SELECT qid, qtype, selectivity, hits, expected FROM evaluated",
     "recall_total": f"{_EVAL} SELECT round(sum(hits) / sum(expected), 6) AS recall FROM evaluated",
@@ -279,6 +289,9 @@ CAST(CASE WHEN scanned THEN NULL WHEN qtype = 0 THEN {AT.ef_none} WHEN qtype = 1
     "recall_frequency": f"{_EVAL} SELECT qtype, {_SIDE} AS side, hits, count(*) AS n FROM evaluated GROUP BY 1, 2, 3",
     "recall_ratio_by_selectivity": f"{_EVAL} SELECT {_BIN} AS bin, count(*) AS n, round(avg(CASE WHEN hits >= 7 THEN 1.0::DOUBLE ELSE 0 END), 9) AS share FROM evaluated WHERE qtype = 2 AND selectivity >= 0.05 GROUP BY 1",
     "sort_base_by_category_time": f"{FIXTURE} SELECT id, c, t, CAST(row_number() OVER (PARTITION BY c ORDER BY t, id) AS INTEGER) AS place FROM nodes",
+    "sort_base_by_time": f"{FIXTURE} SELECT id, t, {_SLICE} AS slice, CAST(row_number() OVER (PARTITION BY {_SLICE} ORDER BY t, id) AS INTEGER) AS place FROM nodes",
+    "sort_base_largest_first": f"{FIXTURE}, top AS (SELECT c AS top FROM nodes GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), x AS (SELECT id, t, c = top AS largest, {_SLICE} AS slice FROM nodes, top) SELECT *, CAST(row_number() OVER (PARTITION BY largest, slice ORDER BY t, id) AS INTEGER) AS place FROM x",
+    "sort_queries": f"{FIXTURE} SELECT qid, qtype, v, l, r, CAST(row_number() OVER (PARTITION BY qtype ORDER BY v, l, r, qid) AS INTEGER) AS place FROM queries",
     "centroid": f"{FIXTURE}{_RANGES} SELECT CAST(pos AS INTEGER) AS pos, round(avg(CAST(x AS DOUBLE)), 9) AS mean FROM x GROUP BY 1",
     "tombstones": f"{FIXTURE} SELECT id, c FROM nodes WHERE id % 7 <> 0",
     "allow_list": f"{FIXTURE} SELECT id, c FROM nodes WHERE id % 7 = 0",

@@ -37,7 +37,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
 
 from vicinity.llm.common import bit_table, has_bit, in_slices, passing, written
 from vicinity.llm.hashing import batch_words, mix, runs
@@ -180,10 +179,19 @@ def reference_windows(regions: DataFrame, window: int) -> DataFrame:
     places = windows_of(regions.select("region", "words"), window).select("h", "g", "region", "off")
     # counts and extremes of numbers: hash aggregation, merged before the shuffle
     first = places.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("s"), F.min_by("off", "region").alias("off")).where("n > 1")
-    island = F.col("off") - F.row_number().over(W.partitionBy("s").orderBy("off"))
-    piece = W.partitionBy("s", "_island", "_piece")
-    cut = first.withColumn("_island", island).withColumn("_piece", F.expr(f"off div {PIECE}"))
-    return cut.select("h", "g", "s", F.min("off").over(piece).alias("p"), F.max("off").over(piece).alias("q"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a passage may be cut where a batch ends, too
+            s, off = batch.column("s").to_numpy(), batch.column("off").to_numpy()
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (off[1:] != off[:-1] + 1) | (off[1:] % PIECE == 0)
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(s)))
+            p, q = np.repeat(off[first], size), np.repeat(off[first + size - 1], size)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), batch.column("s"), pa.array(p), pa.array(q)], names=["h", "g", "s", "p", "q"])
+
+    ordered = first.select("h", "g", "s", "off").repartition("s").sortWithinPartitions("s", "off")
+    return ordered.mapInArrow(pieces, "h long, g int, s long, p int, q int")
 
 
 def cut_out(regions: DataFrame, asked: DataFrame, window: int) -> DataFrame:
@@ -293,8 +301,8 @@ def ask(windows: DataFrame, refs: DataFrame, shards: DataFrame, regions: DataFra
     return written(streams.select("s", "p", "region", "a", "words", "passage").mapInArrow(match, "region long, x int, y int"), "found")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
-    """(i, t, spans): of each text the stretches of windows [x, y) to remove, sorted but perhaps overlapping; and the sent bit table."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(i, t, spans): of each text the stretches of windows [x, y) to remove, sorted but perhaps overlapping."""
     with passing(docs.sparkSession) as lasting:
         sent = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window))
         regions = written(candidate_regions(docs, sent, window), "regions")
@@ -308,7 +316,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, ob
         second = ask(windows_of(left, window), refs, shards, regions, window)
         found = regions.select("region", "i", "t", "lo").join(first.unionByName(second), "region")
         per_text = found.groupBy("i", "t").agg(F.array_sort(F.collect_set(F.struct((F.col("lo") + F.col("x")).alias("x"), (F.col("lo") + F.col("y")).alias("y")))).alias("spans"))
-        return lasting(per_text, "spans"), sent
+        return lasting(per_text, "spans")
 
 
 def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -321,25 +329,25 @@ def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool
     are judged apart; a very long text asks piece by piece; an
     empty table gives no rows; further columns are ignored unless they are in `keep`.
     """
-    spans, sent = repeated_spans(docs, window)
+    spans = repeated_spans(docs, window)
+    # only texts that the spans' bits select travel whole
+    at = lambda i, t: F.xxhash64(i, t).alias("_at")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select(at("i", "t")).distinct()))
     i, t = _key()
-    asked = docs.select(*keep, i.alias("_i"), t.alias("_t"), F.col("text").cast("string").alias("_text"))
-    plain = asked.drop("_text").schema
+    asked = docs.select(*keep, i.alias("_i"), t.alias("_t"), F.col("text").cast("string").alias("_text")).withColumn("_at", at("_i", "_t"))
+    plain = asked.drop("_text", "_at").schema
     judged = StructType(plain.fields[:]).add("_n", "long").add("_kept", "string").add("_open", "boolean")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for part in in_slices(batches, "_text", _BATCH):
             texts = part.column("_text").to_pylist()
-            seen = Scanner(texts, window)
-            is_open = np.zeros(len(texts), bool)
-            if len(seen.start):
-                is_open[seen.doc[seen.candidates(table)]] = True
-            counts = np.diff(seen.at)
-            plain_text = lambda t: b" ".join((t or "").encode("utf-8", "replace").split())
-            done = (lambda t: hashlib.sha256(plain_text(t)).hexdigest()) if digest else (lambda t: plain_text(t).decode("utf-8", "replace"))
-            kept = [t if o else done(t) for t, o in zip(texts, is_open, strict=True)]  # only texts with candidates travel whole
-            own = [part.column(c) for c in part.schema.names if c != "_text"]
+            is_open = has_bit(table, part.column("_at").to_numpy().view(np.uint64))
+            words = [() if o else (t or "").encode("utf-8", "replace").split() for t, o in zip(texts, is_open, strict=True)]
+            done = (lambda w: hashlib.sha256(b" ".join(w)).hexdigest()) if digest else (lambda w: b" ".join(w).decode("utf-8", "replace"))
+            counts = [len(w) for w in words]
+            kept = [t if o else done(w) for t, o, w in zip(texts, is_open, words, strict=True)]
+            own = [part.column(c) for c in part.schema.names if c not in ("_text", "_at")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(is_open)], names=judged.names)
 
     return _finish(asked.mapInArrow(scan, judged), spans, plain, digest, window)
@@ -351,11 +359,12 @@ def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: boo
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, "_kept", _BATCH):
-            removed, kept = [], []
-            for text, is_open, found in zip(part.column("_kept").to_pylist(), part.column("_open").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            removed, kept, counts = [], [], []
+            for n, text, is_open, found in zip(*(part.column(c).to_pylist() for c in ("_n", "_kept", "_open", "spans")), strict=True):
                 gone = 0
                 if is_open:
                     own, at, left = text.encode("utf-8", "replace").split(), 0, []
+                    n = len(own)
                     for span in found or ():
                         start, end = max(at, span["x"]), span["y"] + window - 1
                         if end > at:
@@ -366,7 +375,8 @@ def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: boo
                     text = hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace")
                 removed.append(gone)
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), part.column("_n"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
     joined = scanned.join(spans.hint("merge"), (scanned["_i"] == spans["i"]) & (scanned["_t"] == spans["t"]), "left")
     return joined.select(*names, "_n", "_kept", "_open", "spans").mapInArrow(finish, schema)

@@ -355,6 +355,20 @@ def test_families_in_one_large_bucket_all_meet(spark, monkeypatch, tile):
     assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(30) for j in (1, 2)}
 
 
+def test_large_buckets_are_split_without_loss(spark, monkeypatch):
+    """Many families with much text in common share one bucket; split by further samples, alike texts still meet."""
+    monkeypatch.setattr(near_dedup, "SPLIT", 20)
+    frame = " ".join(f"frame{i}" for i in range(25))
+    rows = [(10 * g + j, frame + " " + " ".join(f"g{g}w{i}" for i in range(60)) + f" tail{j}" * 3) for g in range(40) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sampler = near_dedup.Sampler(near_dedup.idf(np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    assert sampler.similarity(sampler.vector(rows[0][1]), sampler.vector(rows[1][1])) >= 0.8 > 0.4 > sampler.similarity(sampler.vector(rows[0][1]), sampler.vector(rows[3][1])) > 0.1
+    parts = near_dedup.split(docs.selectExpr("7L AS bucket", "doc_id AS node"), texts_of(docs)(docs.selectExpr("doc_id AS node")), np.zeros(near_dedup.BUCKETS + 1, np.int64))
+    assert parts.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 12
+    found = near_dedup.components(near_dedup.links(docs.selectExpr("doc_id AS node", "array(1L, 2L) AS bands"), texts_of(docs), np.zeros(near_dedup.BUCKETS + 1, np.int64)))
+    assert {(r.node, r.root) for r in found.collect()} == {(10 * g + j, 10 * g) for g in range(40) for j in (1, 2)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(101, 100)], "a long, b long")
     assert {(r.node, r.root) for r in near_dedup.components(edges).collect()} == {(i, 0) for i in range(1, 31)} | {(101, 100)}

@@ -14,7 +14,10 @@ is the node that shares the most bands with others: of many copies the original.
 In buckets of more than EXHAUSTED nodes, those that it does not match meet at more
 heads, in HOT_ROUNDS rounds in all. Heads only spare work: what they have linked
 is one class, and then every two nodes of a bucket that are not yet of one class
-are compared, in tiles of bounded size. Verified links form classes by their
+are compared, in tiles of bounded size. A bucket with more than SPLIT texts that
+are unlike its largest class, as boilerplate makes it, is first split by
+FINE_BANDS * FINE_ROWS further samples, at which alike texts meet all the same and
+unlike ones seldom, so that the work does not grow with its square. Verified links form classes by their
 connected components, found by star contraction.
 """
 
@@ -37,6 +40,8 @@ BANDS, ROWS = 12, 3
 BUCKETS = 1 << 18
 #: Buckets of up to so many texts have one head before all their pairs are compared; larger ones have so many rounds of heads: 1, then 4 more.
 EXHAUSTED, HOT_ROUNDS = 16, 2
+#: Buckets of which more texts than this are outside the largest class are split by further samples: two texts of similarity 0.8 then meet with probability 1 - 4e-7, those of 0.3 with 0.005.
+SPLIT, FINE_BANDS, FINE_ROWS = 8192, 80, 8
 #: The most texts and bytes of text of each side of a tile, about.
 TILE_ROWS, TILE_BYTES = 1024, 4 << 20
 #: Entries of the table of random triples that the samples share.
@@ -106,32 +111,32 @@ class Sampler:
         self.r = rng.gamma(2.0, 1.0, _TABLE)
         self.log_c = np.log(rng.gamma(2.0, 1.0, _TABLE))
         self.beta = rng.random(_TABLE)
-        self.odd = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + _ONE
+        self.odd = rng.integers(0, 1 << 63, BANDS * ROWS + FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + _ONE
 
     def weights(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts * self.idf[bucket(values)]
 
-    def bands(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The band keys of each text (a row of BANDS numbers) and whether it has words at all."""
+    def bands(self, texts: list[str | None], bands: int = BANDS, rows: int = ROWS, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The band keys of each text, from the samples from `first` on, and whether it has words at all."""
         values, counts, sizes = shingles(texts)
         has = sizes > 0
-        out = np.zeros((len(texts), BANDS), np.uint64)
+        out = np.zeros((len(texts), bands), np.uint64)
         if not len(values):
             return out, has
         log_w = np.log(self.weights(values, counts))
-        first = np.concatenate([[0], np.cumsum(sizes[has])])[:-1]
+        begin = np.concatenate([[0], np.cumsum(sizes[has])])[:-1]
         size = sizes[has]
-        for band in range(BANDS):
-            key = np.full(len(first), band + 1, np.uint64)
-            for row in range(ROWS):
-                place = ((values * self.odd[band * ROWS + row]) >> np.uint64(48)).astype(np.int32)
+        for band in range(bands):
+            key = np.full(len(begin), band + 1, np.uint64)
+            for row in range(rows):
+                place = ((values * self.odd[first + band * rows + row]) >> np.uint64(48)).astype(np.int32)
                 r, beta = self.r[place], self.beta[place]
                 t = np.floor(log_w / r + beta)
                 log_a = self.log_c[place] - r * (t - beta + 1)
-                least = np.minimum.reduceat(log_a, first)
+                least = np.minimum.reduceat(log_a, begin)
                 # the samples of equal log_a: the one of the smallest hash
                 at = np.flatnonzero(log_a == np.repeat(least, size))
-                owner = np.searchsorted(first, at, "right") - 1
+                owner = np.searchsorted(begin, at, "right") - 1
                 new = np.concatenate([[True], owner[1:] != owner[:-1]])
                 at = at[new]  # values are sorted within a text
                 sample = mix(values[at] + t[at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -271,7 +276,24 @@ def compare(sampler: Sampler, texts: list[str], rest: np.ndarray, part: np.ndarr
     return out
 
 
-def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies: np.ndarray) -> DataFrame:
+def split(large: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """(bucket, node, bands): the nodes of large buckets (bucket, node) dealt anew, each into FINE_BANDS smaller ones of its bucket."""
+    sent = large.sparkSession.sparkContext.broadcast(idf(frequencies))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(sent.value)
+        for part in in_slices(batches, "text", 1 << 20):
+            bands, _ = sampler.bands(part.column("text").to_pylist(), FINE_BANDS, FINE_ROWS, BANDS * ROWS)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, FINE_BANDS * len(bands) + 1, FINE_BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), listed], names=["node", "fine"])
+
+    fine = texts.join(large.select("node").distinct().hint("merge"), "node", "left_semi").mapInArrow(run, "node long, fine array<long>")
+    dealt = large.join(fine, "node").select("node", "bucket", F.explode("fine").alias("_f")).select("node", F.xxhash64("bucket", "_f").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return written(dealt.join(shared, "bucket").select("bucket", "node", F.array("bucket").alias("bands")), "split")
+
+
+def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies: np.ndarray, splits: int = 1) -> DataFrame:
     """Links (a, b) between the classes that `found` makes, from all pairs of nodes of a bucket; members is (bucket, node, bands).
 
     The nodes of a bucket's largest class need not meet each other. They and the
@@ -285,6 +307,10 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
     by_root = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
     stats = by_root.groupBy("bucket").agg(F.max(F.struct("m", "root", "s")).alias("main"), F.sum("m").alias("n"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     parts = lambda n, size: F.ceil(F.greatest(n / TILE_ROWS, size / TILE_BYTES)).cast("int")
+    large = stats.where(F.col("n") - F.col("main.m") > SPLIT).select("bucket") if splits else None
+    if large is not None and large.isEmpty():
+        large = None
+    stats = stats if large is None else stats.where(F.col("n") - F.col("main.m") <= SPLIT)
     sides = stats.select("bucket", F.col("main.root").alias("main"), parts(F.col("main.m"), F.col("main.s")).alias("mains"), parts(F.col("n") - F.col("main.m"), F.col("all") - F.col("main.s")).alias("rests"))
     dealt = of.join(sides, "bucket").withColumn("rest", F.col("root") != F.col("main"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
@@ -320,7 +346,11 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
             yield done(held)
 
     grouped = full.repartition("tile").sortWithinPartitions("tile", "node")
-    return written(grouped.mapInArrow(run, "a long, b long"), "exhausted")
+    out = written(grouped.mapInArrow(run, "a long, b long"), "exhausted")
+    if large is None:
+        return out
+    rest = split(of.join(large, "bucket").select("bucket", "node"), texts, frequencies)
+    return out.unionByName(exhaust(rest, texts, found, frequencies, splits - 1))
 
 
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], frequencies: np.ndarray) -> DataFrame:

@@ -348,6 +348,10 @@ def test_numbers_without_a_header(spark, tmp_path):
     rows = spark.createDataFrame([(2, 3.0, 0.5), (0, 1.0, 0.25), (1, 0.0, 1.0)], "qid long, qtype double, s double")
     (tmp_path / "f.bin").write_bytes(b"".join(legacy.encode_floats(rows, ("qtype", "s"))))
     assert sorted(map(tuple, legacy.read_floats(spark, f"file://{tmp_path}/f.bin", ("qtype", "s")).collect())) == [(0, 1.0, 0.25), (1, 0.0, 1.0), (2, 3.0, 0.5)]
+    (tmp_path / "parts").mkdir()
+    for i, ids in enumerate(([5, 6, 7, 0xFFFFFFFF], [8, 9])):
+        (tmp_path / "parts" / f"{i}.bin").write_bytes(struct.pack("<I", len(ids) // 2) + np.array(ids, "<u4").tobytes())
+    assert sorted(map(tuple, legacy.read_ids(spark, f"file://{tmp_path}/parts", 2, True).collect())) == [(0, 1, 5), (0, 2, 6), (1, 1, 7), (2, 1, 8), (2, 2, 9)]
     (tmp_path / "i.bin").write_bytes(np.array([7, -1, 9], "<i4").tobytes() + b"\x01")
     assert [tuple(r) for r in legacy.read_ints(spark, f"file://{tmp_path}/i.bin", ("hits",)).collect()] == [(0, 7), (1, -1), (2, 9)]
 

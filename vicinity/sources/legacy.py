@@ -32,6 +32,15 @@ QUERY = Layout(("qtype", "v", "l", "r"), "qvec", "qid")
 _WHOLE = {"c", "qtype", "v"}
 
 
+def _first_positions(files: DataFrame, header: int, record: int) -> dict[str, int]:
+    """Of each file the number of records in the files before it, by name: one row per file comes to the driver."""
+    first, total = {}, 0
+    for name, length in sorted((r[0], r[1]) for r in files.select("path", "length").collect()):
+        first[name] = total
+        total += max(0, length - header) // record
+    return first
+
+
 def read(spark: SparkSession, path: str, layout: Layout, dim: int) -> DataFrame:
     """Records of one file, or of several in the order of their names; ids are positions in that order.
 
@@ -39,12 +48,7 @@ def read(spark: SparkSession, path: str, layout: Layout, dim: int) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path)
     width = len(layout.heads) + dim
-    # positions need the number of records before each file: one row per file
-    sizes = sorted((r[0], r[1]) for r in files.select("path", "length").collect())
-    first, total = {}, 0
-    for name, length in sizes:
-        first[name] = total
-        total += max(0, length - 4) // (4 * width)
+    first = _first_positions(files, 4, 4 * width)
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,18 +87,20 @@ def encode_ids(result: DataFrame, k: int, header: bool) -> Iterator[bytes]:
 
 
 def read_ids(spark: SparkSession, path: str, k: int, header: bool) -> DataFrame:
-    """(qid, rank, id) from one file of encode_ids(); qid is the position, the filler is left out."""
+    """(qid, rank, id) from one file of encode_ids(), or several in the order of their names; qid is the position, the filler is left out."""
+    files = spark.read.format("binaryFile").load(path)
+    first = _first_positions(files, 4 * header, 4 * k)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                ids = np.frombuffer(content, "<u4", offset=4 if header else 0)
-                ids = ids[: len(ids) // k * k].astype(np.int64)
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                flat = np.frombuffer(content[4 * header : len(content) // 4 * 4], "<u4")
+                ids = flat[: len(flat) // k * k].astype(np.int64)
                 at = np.arange(len(ids))
                 real = ids != 0xFFFFFFFF
-                yield pd.DataFrame({"qid": (at // k)[real], "rank": (at % k + 1)[real], "id": ids[real]})
+                yield pd.DataFrame({"qid": first[name] + (at // k)[real], "rank": (at % k + 1)[real], "id": ids[real]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "qid long, rank int, id long")
+    return files.select("path", "content").mapInPandas(rows, "qid long, rank int, id long")
 
 
 def encode_floats(df: DataFrame, names: tuple[str, ...]) -> Iterator[bytes]:
@@ -114,13 +120,16 @@ def read_ints(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFra
 
 
 def _read_numbers(spark: SparkSession, path: str, names: tuple[str, ...], kind: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    first = _first_positions(files, 0, 4 * len(names))
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
                 flat = np.frombuffer(content[: len(content) // 4 * 4], kind)
                 flat = flat[: len(flat) // len(names) * len(names)].reshape(-1, len(names))
                 flat = flat.astype(np.float64 if kind == "<f4" else np.int64)
-                yield pd.DataFrame({"qid": np.arange(len(flat))} | {n: flat[:, i] for i, n in enumerate(names)})
+                yield pd.DataFrame({"qid": first[name] + np.arange(len(flat))} | {n: flat[:, i] for i, n in enumerate(names)})
 
     as_sql = "double" if kind == "<f4" else "long"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(["qid long", *(f"{n} {as_sql}" for n in names)]))
+    return files.select("path", "content").mapInPandas(rows, ", ".join(["qid long", *(f"{n} {as_sql}" for n in names)]))

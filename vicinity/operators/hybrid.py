@@ -22,6 +22,7 @@ from vicinity.operators.predicates import interval_split, slice_of
 from vicinity.operators.twophase import REFINE, coded_search, refine
 from vicinity.plans.planner import Thresholds, strategies
 from vicinity.schema import SLICES
+from vicinity.sources.shared import stored
 
 #: Candidates that the graph strategies pass on per query.
 POOL = 150
@@ -82,7 +83,7 @@ class HybridIndex:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, rank, id, d2), by (d2, id), of every query that matches anything."""
         plan = strategies(self.nodes, queries, self.at).select("qid", "strategy", "ef", "selectivity")
-        asked = queries.join(plan, "qid")
+        asked = stored(queries.join(plan, "qid"), "asked")  # every strategy reads it
         found = [self._scan(asked.where("strategy = 'scan'"), max(k, REFINE)), self._by_category(asked), *self._by_slice(asked)]
         return refine(reduce(DataFrame.unionByName, found), self.nodes, queries, k)
 
@@ -102,7 +103,7 @@ class HybridIndex:
         # one split with each threshold; which of them holds depends on the query's own selectivity
         narrow = interval_split(self.nodes, ranged.where(F.col("selectivity") < self.at.narrow), self.at.split_narrow)
         wide = interval_split(self.nodes, ranged.where(F.col("selectivity") >= self.at.narrow), self.at.split)
-        split = narrow.unionByName(wide).join(ranged, "qid")
+        split = stored(narrow.unionByName(wide).join(ranged, "qid"), "split")
         part, s = F.col("class") == "MEDIUM", F.col("selectivity")
         full_ef = F.when(s < self.at.full_low, self.at.ef_full[0]).when(s < self.at.full_high, self.at.ef_full[1]).otherwise(self.at.ef_full[2])
         part_ef = F.when(s <= self.at.full_low, self.at.ef_part[0]).when(s <= self.at.full_high, self.at.ef_part[1]).otherwise(self.at.ef_part[2])

@@ -3,10 +3,11 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from vicinity.llm import bpe, chat, decontaminate, langid, near_dedup, pii, quality, substring_dedup, token_counts, warc
+from vicinity.llm import bpe, chat, common, decontaminate, langid, near_dedup, pii, quality, substring_dedup, token_counts, warc
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
 PROSE = " ".join(f"alpha{i} beta{i * 7 % 101}" for i in range(60))
@@ -109,6 +110,16 @@ def test_stages_keep_columns(spark, docs, labels, benchmark, tmp_path):
     assert left["personal_data"] == left["bpe_tokens"] == ALL
 
 
+def test_arrow_batches_are_small(spark):
+    """Rows of 20 KB come to Python in batches of a few megabytes, not of ten thousand rows."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    rows = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 20000) AS text")
+    assert max(r.n for r in common.small_batches(rows).mapInArrow(sizes, "n long").collect()) <= common.BATCH_BYTES + 40_000
+
+
 def test_redaction(spark):
     rows = [(1, "to é a@b.cd or +1 (243) 555-5526, 10.0.0.1", 0), (2, None, 0), (3, "plain", 0)]
     out = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from vicinity.llm.common import in_slices
+from vicinity.llm.common import in_slices, small_batches
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFra
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "_text"), ids], names=schema.names)
 
-    return asked.mapInArrow(run, schema)
+    return small_batches(asked).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> Data
                 texts = [vocab.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) for ids in part.column("_ids")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "_ids"), pa.array(texts, pa.string())], names=schema.names)
 
-    return asked.mapInArrow(run, schema)
+    return small_batches(asked).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -122,6 +122,21 @@ def ceil_div(n: int, by: int) -> int:
     return -(-n // by)
 
 
+_BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, after a setting of their session: Arrow batches of at most about BATCH_BYTES or one row, where Spark would send 64 MB at once.
+
+    Every table that goes through Python goes through this first, so that what an
+    executor holds does not follow the rows' number and length.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_CONF, None) or 1 << 62) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many bytes of text, or of one row, so that Python holds little at once."""
     for batch in batches:

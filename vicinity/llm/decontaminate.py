@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import ceil_div, in_slices, written
+from vicinity.llm.common import ceil_div, in_slices, small_batches, written
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -239,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     for name, kind in (x.split(" ") for x in _LEAK.split(", ")):
         schema = schema.add(name, kind)
     for block in blocks(benchmark):
-        found = asked.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(Benchmark(block)), schema.names), schema)
+        found = small_batches(asked).mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(Benchmark(block)), schema.names), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -273,7 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out, turn = docs, 0
     for block in blocks(benchmark):
         out = written(out, "cleaned") if turn else out
-        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(Benchmark(block))), docs.schema)
+        out = small_batches(out).mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(Benchmark(block))), docs.schema)
         turn += 1
     return out
 

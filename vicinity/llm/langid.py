@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import in_slices
+from vicinity.llm.common import in_slices, small_batches
 
 UNKNOWN = "und"
 #: Bytes of sample text in a language's dictionary, and of one of its documents: the dictionaries are a bounded sample of the labelled rows.
@@ -107,7 +107,7 @@ def identify(docs: DataFrame, keep: list[str], dicts: dict[str, bytes]) -> DataF
                 kept = [part.column(c) for c in part.schema.names if c != "_text"]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array([s < NARROW for s in scores], pa.bool_())], names=schema.names)
 
-    return asked.mapInArrow(run, schema)
+    return small_batches(asked).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vicinity.llm.common import in_slices, passing, written
+from vicinity.llm.common import in_slices, passing, small_batches, written
 from vicinity.llm.hashing import batch_words, mix, runs
 
 SHINGLE = 5
@@ -90,7 +90,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             some = used[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = rows.toArrow()
     out = np.zeros(BUCKETS + 1, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
@@ -171,7 +171,7 @@ def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(keys, pa.binary()), listed], names=["doc_id", "hash", "key", "bands"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>")
+    return small_batches(_own(docs)).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>")
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -185,21 +185,19 @@ def verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(sent.value)
-        known: dict[int, tuple] = {}
+        head, known = None, None
         for part in in_slices(batches, "text_a", 1 << 20):
-            result = []
-            for b, x, y in zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
-                if b not in known:  # heads come in runs
-                    if len(known) > 64:
-                        known.clear()
-                    known[b] = sampler.vector(y)
-                result.append(sampler.similarity(sampler.vector(x), known[b]) >= SIMILARITY)
+            result, right = [], part.column("text_b")
+            for j, (b, x) in enumerate(zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), strict=True)):
+                if b != head:  # heads come in runs
+                    head, known = b, sampler.vector(right[j].as_py())
+                result.append(sampler.similarity(sampler.vector(x), known) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(result, pa.bool_())], names=["a", "b", "similar"])
 
     # texts meet by shuffles at every size: the pairs grow with the corpus
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similar boolean")
+    return small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long, similar boolean")
 
 
 def compare(sampler: Sampler, texts: list[str], rest: np.ndarray, part: np.ndarray, roots: np.ndarray, bands: np.ndarray, bucket_: int) -> list[tuple[int, int]]:
@@ -287,7 +285,7 @@ def split(large: DataFrame, texts: DataFrame, frequencies: np.ndarray) -> DataFr
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, FINE_BANDS * len(bands) + 1, FINE_BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("node"), listed], names=["node", "fine"])
 
-    fine = texts.join(large.select("node").distinct().hint("merge"), "node", "left_semi").mapInArrow(run, "node long, fine array<long>")
+    fine = small_batches(texts.join(large.select("node").distinct().hint("merge"), "node", "left_semi")).mapInArrow(run, "node long, fine array<long>")
     dealt = large.join(fine, "node").select("node", "bucket", F.explode("fine").alias("_f")).select("node", F.xxhash64("bucket", "_f").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return written(dealt.join(shared, "bucket").select("bucket", "node", F.array("bucket").alias("bands")), "split")
@@ -346,7 +344,7 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
             yield done(held)
 
     grouped = full.repartition("tile").sortWithinPartitions("tile", "node")
-    out = written(grouped.mapInArrow(run, "a long, b long"), "exhausted")
+    out = written(small_batches(grouped).mapInArrow(run, "a long, b long"), "exhausted")
     if large is None:
         return out
     rest = split(of.join(large, "bucket").select("bucket", "node"), texts, frequencies)

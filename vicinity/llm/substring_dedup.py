@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vicinity.llm.common import bit_table, has_bit, in_slices, passing, written
+from vicinity.llm.common import bit_table, has_bit, in_slices, passing, small_batches, written
 from vicinity.llm.hashing import batch_words, mix, runs
 
 WINDOW = 35
@@ -103,7 +103,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
             seen = Scanner(part.column("text").to_pylist(), window)
             yield pa.RecordBatch.from_arrays([pa.array(seen.anchor[seen.first_of_run()].view(np.int64))], names=["anchor"])
 
-    twice = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    twice = written(small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     return bit_table(twice)
 
 
@@ -136,7 +136,7 @@ def candidate_regions(docs: DataFrame, sent, window: int) -> DataFrame:
             lo = (start[first] - seen.at[doc[first]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("i").take(rows), part.column("t").take(rows), pa.array(lo), pa.array(stretches, pa.string())], names=["i", "t", "lo", "words"])
 
-    return docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(regions, _REGION).withColumn("region", F.monotonically_increasing_id())
+    return small_batches(docs.select(*_key(), F.col("text").cast("string").alias("text"))).mapInArrow(regions, _REGION).withColumn("region", F.monotonically_increasing_id())
 
 
 def windows_of(regions: DataFrame, window: int, every: int = 1) -> DataFrame:
@@ -171,7 +171,7 @@ def windows_of(regions: DataFrame, window: int, every: int = 1) -> DataFrame:
             columns = [h[place].view(np.int64), (g[place] >> np.uint64(32)).astype(np.uint32).view(np.int32), part.column("region").to_numpy()[owner]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in (off, a, b))], names=["h", "g", "region", "off", "a", "b"])
 
-    return regions.mapInArrow(run, "h long, g int, region long, off int, a int, b int")
+    return small_batches(regions).mapInArrow(run, "h long, g int, region long, off int, a int, b int")
 
 
 def reference_windows(regions: DataFrame, window: int) -> DataFrame:
@@ -215,7 +215,7 @@ def cut_out(regions: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(fields["s"][some]), pa.array(fields["p"][some]), pa.array(region), pa.array(fields["a"][some]), pa.array(words, pa.string())], names=["s", "p", "region", "a", "words"])
 
     whole = lists.join(regions.select("region", "words").hint("merge"), "region")
-    return whole.mapInArrow(cut, "s long, p int, region long, a int, words string")
+    return small_batches(whole).mapInArrow(cut, "s long, p int, region long, a int, words string")
 
 
 class SuffixAutomaton:
@@ -298,7 +298,7 @@ def ask(windows: DataFrame, refs: DataFrame, shards: DataFrame, regions: DataFra
                     ys.append(a + end - window + 1)
             yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32())], names=["region", "x", "y"])
 
-    return written(streams.select("s", "p", "region", "a", "words", "passage").mapInArrow(match, "region long, x int, y int"), "found")
+    return written(small_batches(streams.select("s", "p", "region", "a", "words", "passage")).mapInArrow(match, "region long, x int, y int"), "found")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -350,7 +350,7 @@ def remove(docs: DataFrame, keep: list[str], window: int = WINDOW, digest: bool
             own = [part.column(c) for c in part.schema.names if c not in ("_text", "_at")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(is_open)], names=judged.names)
 
-    return _finish(asked.mapInArrow(scan, judged), spans, plain, digest, window)
+    return _finish(small_batches(asked).mapInArrow(scan, judged), spans, plain, digest, window)
 
 
 def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: bool, window: int) -> DataFrame:
@@ -379,7 +379,7 @@ def _finish(scanned: DataFrame, spans: DataFrame, plain: StructType, digest: boo
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
     joined = scanned.join(spans.hint("merge"), (scanned["_i"] == spans["i"]) & (scanned["_t"] == spans["t"]), "left")
-    return joined.select(*names, "_n", "_kept", "_open", "spans").mapInArrow(finish, schema)
+    return small_batches(joined.select(*names, "_n", "_kept", "_open", "spans")).mapInArrow(finish, schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:

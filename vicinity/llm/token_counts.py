@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.bpe import MEMO_PIECES, Vocabulary, default_path, vocabulary
-from vicinity.llm.common import in_slices
+from vicinity.llm.common import in_slices, small_batches
 
 LIMIT = 512
 #: Token pairs in a worker's memo; it starts anew when full.
@@ -204,7 +204,7 @@ def store(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFram
             packed = pa.array([pack.compress(d.tobytes()) for d in counts.deltas_batch(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "_text"), sizes, packed], names=schema.names)
 
-    return asked.mapInArrow(run, schema)
+    return small_batches(asked).mapInArrow(run, schema)
 
 
 def counts_of(prefix: bytes) -> np.ndarray:
@@ -225,7 +225,7 @@ def answer(stored: DataFrame, keep: list[str], budget: int = LIMIT) -> DataFrame
             fits = pa.array([len(c) - 1 if c[-1] <= budget else int(np.flatnonzero(c <= budget)[-1]) for c in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "prefix"), total, fits], names=schema.names)
 
-    return asked.mapInArrow(run, schema)
+    return small_batches(asked).mapInArrow(run, schema)
 
 
 def op5(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import bit_table, has_bit, scratch, written
+from vicinity.llm.common import bit_table, has_bit, scratch, small_batches, written
 
 #: The most records and about the most bytes of an archive, before compression.
 RECORDS_PER_FILE, ARCHIVE_BYTES = 2000, 64 << 20
@@ -232,7 +232,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(read, _READ)
+    return small_batches(files).mapInArrow(read, _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

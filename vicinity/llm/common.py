@@ -126,13 +126,13 @@ _BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows, after a setting of their session: Arrow batches of at most about BATCH_BYTES or one row, where Spark would send 64 MB at once.
+    """The same rows, after a setting of their session, unless it has one of its own: Arrow batches of at most about BATCH_BYTES or one row, where Spark would send 64 MB at once.
 
     Every table that goes through Python goes through this first, so that what an
     executor holds does not follow the rows' number and length.
     """
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_CONF, None) or 1 << 62) > BATCH_BYTES:
+    if conf.get(_BATCH_CONF, None) is None:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
     return df
 

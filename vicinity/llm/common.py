@@ -57,6 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: About the rows of a file of a table of numbers.
+FILE_ROWS = 500_000
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` short rows, in as few partitions as their number asks for: small tables are few files, large ones many."""
+    return df.coalesce(ceil_div(rows, FILE_ROWS) or 1)
+
+
 def release(spark: SparkSession, owner: str) -> int:
     """Delete the tables of an owner; returns how many. Call it when every result that reads them has been stored."""
     gone = _written.pop(owner, [])

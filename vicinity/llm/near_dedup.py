@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vicinity.llm.common import in_slices, passing, small_batches, written
+from vicinity.llm.common import in_files, in_slices, passing, small_batches, written
 from vicinity.llm.hashing import batch_words, mix, runs
 
 SHINGLE = 5
@@ -301,7 +301,7 @@ def exhaust(members: DataFrame, texts: DataFrame, found: DataFrame, frequencies:
     """
     sent = members.sparkSession.sparkContext.broadcast(idf(frequencies))
     sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
-    of = written(sized.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    of = written(in_files(sized.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), members.count()), "members")
     by_root = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
     stats = by_root.groupBy("bucket").agg(F.max(F.struct("m", "root", "s")).alias("main"), F.sum("m").alias("n"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     parts = lambda n, size: F.ceil(F.greatest(n / TILE_ROWS, size / TILE_BYTES)).cast("int")
@@ -381,7 +381,7 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], frequenc
         done = linked.unionByName(heads.select("bucket", F.col("head").alias("node"))).distinct()
         rest = left.where(F.col("n") > EXHAUSTED).join(done, ["bucket", "node"], "left_anti")
         more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-        left = written(rest.join(more, "bucket"), "buckets")
+        left = written(in_files(rest.join(more, "bucket"), every.count()), "buckets")
         if left.isEmpty():
             break
     found = found.distinct()
@@ -394,15 +394,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: each round is a few joins on the edge table,
     which is written each time; nothing is collected but its checksum.
     """
-    seen = None
+    seen, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = written(both.join(least, "a").where("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        edges = written(in_files(both.join(least, "a").where("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), 2 * n), "large")
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         down = edges.join(least, "a")
         small = down.select("a", F.col("m").alias("b")).unionByName(down.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(small, "small")
+        edges = written(in_files(small, 2 * n), "small")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -428,7 +428,7 @@ def classified(docs: DataFrame) -> DataFrame:
             return _own(docs).join(wanted, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
 
         roots = components(links(nodes.select("node", "bands"), texts_of, frequencies))
-        rooted = lasting(nodes.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+        rooted = lasting(in_files(nodes.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), nodes.count()), "rooted")
 
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("_class"))
     by_key = rooted.select("key", "root").join(least, "root").select(F.col("key").alias("_key"), "root", "_class")

@@ -10,6 +10,7 @@ gives. Pieces met before come from a bounded memo.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
@@ -192,9 +193,26 @@ def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> Data
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them.
 
-    A null text is empty, repeated rows are answered one by one, an empty table
-    gives no rows, further columns are ignored.
+    A null text is empty, a very long one or a very long unbroken piece is encoded
+    whole, repeated rows are answered one by one, an empty table gives no rows,
+    further columns are ignored.
     """
-    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    encoded = encode(docs, ["doc_id"], path).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"))
-    return decode(encoded, ["doc_id", "n_tokens", "ids_sha256"], path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    path = path or default_path()
+    asked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    schema = asked.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # encoded and decoded in one worker: the ids need not travel
+        vocab = vocabulary(path)
+        numeral = list(map(str, range(len(vocab.bytes_of))))
+        sha = lambda text: hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+        for part in in_slices(batches, "_text"):
+            counts, of_ids, of_texts = [], [], []
+            for row in vocab.encode_batch(part.column("_text").to_pylist()):
+                ids = row.tolist()
+                counts.append(len(ids))
+                of_ids.append(sha(",".join([numeral[i] for i in ids])))
+                of_texts.append(sha(vocab.decode(ids)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], names=schema.names)
+
+    return small_batches(asked).mapInArrow(run, schema)

@@ -168,6 +168,72 @@ def test_range_search_in_a_shard_returns_only_the_range():
     assert graph.search_shard(np.arange(300), vec, t, links, times, query, 40, 2.0, 3.0) == []
 
 
+def test_many_queries_of_a_shard_at_once():
+    """Each finds what it finds alone, of its own beam and range."""
+    rng = np.random.default_rng(11)
+    n = 600
+    vec, t, ids = rng.normal(size=(n, 6)), rng.random(n), np.arange(n) * 3 + 1
+    rows = np.concatenate([graph._flat(graph.build_links(vec[at], m, 40), at, l) for l, at, m in ((0, np.arange(n), 8), (1, np.arange(0, n, 9), 4), (2, np.arange(0, n, 81), 4))])
+    mixed = rng.permutation(len(rows))
+    src, pos, dst, level = rows[mixed].T
+    shard = graph.Shard(ids, vec, t, ids[src], pos, ids[dst], t[dst], level)
+    asked, ef = rng.normal(size=(50, 6)), rng.integers(1, 200, 50)
+    low = np.where(np.arange(50) % 3 == 0, np.nan, rng.random(50) * 0.6)
+    high = low + 0.4
+    low[4], high[4] = 3.0, 4.0
+    found = shard.search(asked, ef, low, high, 10, 2)
+    assert set(found[0].tolist()) == set(range(50)) - {4} and np.count_nonzero(found[3]) == 49
+    hits = every = 0
+    for q in range(50):
+        got = found[1][found[0] == q].tolist()
+        alone = shard.search(asked[q : q + 1], ef[q : q + 1], low[q : q + 1], high[q : q + 1], 10, 2)
+        assert got == alone[1].tolist() and len(got) <= min(10, ef[q])
+        d = ((vec - asked[q]) ** 2).sum(1)
+        assert np.allclose(found[2][found[0] == q], d[[(i - 1) // 3 for i in got]]) and got == sorted(got, key=lambda i: d[(i - 1) // 3])
+        inside = np.arange(n) if np.isnan(low[q]) else np.flatnonzero((t >= low[q]) & (t <= high[q]))
+        assert set(got) <= set(ids[inside].tolist())
+        if ef[q] >= 40:
+            best = ids[inside[np.argsort(d[inside])[:10]]].tolist()
+            hits, every = hits + len(set(got) & set(best)), every + len(best)
+    assert hits >= 0.95 * every
+
+
+def test_shards_pass_on_the_k_nearest(spark):
+    rows, nodes, _ = made(spark, 200)
+    indexed = stored(graph.by_slice(nodes), "indexed")
+    edges = stored(graph.build(indexed, 4, 20), "edges")
+    asked = spark.createDataFrame([(q, rows[q][3]) for q in range(20)], "qid long, qvec array<float>")
+    to = asked.crossJoin(indexed.select("index_id").distinct()).selectExpr("index_id", "qid", "qvec", "30 AS ef", "CAST(NULL AS double) AS low", "CAST(NULL AS double) AS high")
+    few, every = (stored(graph.graph_answers(indexed, edges, to, k=k), "answers") for k in (3, None))
+    shards = indexed.select("index_id").distinct().count()
+    assert few.groupBy("qid").count().where(f"count > {3 * shards}").count() == 0 and few.count() < every.count()
+    assert collected(graph.best(few, 3)) == collected(graph.best(every, 3))
+
+
+@pytest.mark.parametrize("qtype", range(4))
+def test_registered_graph_searches_build_their_own_graph_only(spark, qtype, monkeypatch):
+    from vicinity import queries
+
+    monkeypatch.setattr(queries, "_built", {})
+    assert queries.QUERIES[f"graph_search_type{qtype}"](spark, "/root/testdata/sf0.001").count()
+    assert {k[2] for k in queries._built} == {"nodes", *((x, f"{x}_edges")[i] for x in (["slices"] if qtype in (0, 2) else ["categories"]) for i in (0, 1))}
+
+
+def test_links_of_many_nodes_at_once():
+    """As node by node, with equal vectors, short rows and rows of other lengths."""
+    rng = np.random.default_rng(8)
+    vec = rng.normal(size=(120, 5))
+    vec[40:50] = vec[40]
+    for most in (1, 7, 60):
+        rows = [rng.permutation(120)[: rng.integers(0, 60)].tolist() for _ in range(120)]
+        rows = [[j for j in row if j != i] for i, row in enumerate(rows)]
+        padded = np.full((120, 60), -1)
+        for i, row in enumerate(rows):
+            padded[i, : len(row)] = row
+        got = graph._diverse_rows(vec, np.arange(120), padded, most)
+        assert [x[x >= 0].tolist() for x in got] == [graph.diverse(vec, i, row, most) for i, row in enumerate(rows)]
+
+
 def test_hybrid_search(spark):
     nodes, asked = data(spark, ROOT)
     at = Thresholds(scan=0.05, scan_both=0.05, index=0.05)

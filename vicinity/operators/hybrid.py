@@ -39,10 +39,19 @@ class HybridIndex:
     @classmethod
     def build(cls, nodes: DataFrame, at: Thresholds = Thresholds(), m: int = graph.M, candidates: int = graph.CANDIDATES, shard_rows: int = graph.SHARD_ROWS, store=lambda df, _: df) -> HybridIndex:
         """`store` may write a table and read it again, so that a search does not build."""
-        categories = store(graph.by_category(nodes, at.index, shard_rows), "category_nodes")
-        slices = store(graph.by_slice(nodes, shard_rows), "slice_nodes")
+        categories, slices = (store(cls.indexed(nodes, kind, at, shard_rows), f"{name}_nodes") for kind, name in (("categories", "category"), ("slices", "slice")))
         edges = [store(graph.build(x, m, candidates), name) for x, name in ((categories, "category_edges"), (slices, "slice_edges"))]
-        return cls(dict(zip(_TABLES, (nodes, categories, slices, *edges), strict=True)), trained(nodes, "sq8sym")[0], at, m, candidates, shard_rows)
+        return cls.of(nodes, categories, slices, *edges, at, m, candidates, shard_rows)
+
+    @staticmethod
+    def indexed(nodes: DataFrame, kind: str, at: Thresholds = Thresholds(), shard_rows: int = graph.SHARD_ROWS) -> DataFrame:
+        """The nodes with their shards: of the `categories` that have a graph, or of all `slices`."""
+        return graph.by_category(nodes, at.index, shard_rows) if kind == "categories" else graph.by_slice(nodes, shard_rows)
+
+    @classmethod
+    def of(cls, nodes: DataFrame, categories: DataFrame, slices: DataFrame, category_edges: DataFrame, slice_edges: DataFrame, at: Thresholds = Thresholds(), m: int = graph.M, candidates: int = graph.CANDIDATES, shard_rows: int = graph.SHARD_ROWS) -> HybridIndex:
+        """The index of tables that are there already."""
+        return cls(dict(zip(_TABLES, (nodes, categories, slices, category_edges, slice_edges), strict=True)), trained(nodes, "sq8sym")[0], at, m, candidates, shard_rows)
 
     def save(self, path: str) -> None:
         """Write all tables below `path`, and how the index was made, so that load() gives an equal one."""

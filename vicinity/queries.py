@@ -16,7 +16,7 @@ from vicinity.schema import SLICES, as_nodes, as_queries
 from vicinity.sources.fixtures import SQL as FIXTURE
 from vicinity.sources.fixtures import nodes as read_nodes
 from vicinity.sources.fixtures import queries as read_queries
-from vicinity.sources.shared import new_path, stored
+from vicinity.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, CODED_K = 10, 20
@@ -100,35 +100,51 @@ def _extended(metric: Callable) -> Query:
     return _both(run)
 
 
+def _once(spark: SparkSession, root: str, what: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is stored once a session in the shared folder and read from there after that."""
+    key = (spark.sparkContext.applicationId, root, *what)
+    if key not in _built:
+        _built[key] = stored(make(), str(what[0]))
+    return _built[key]
+
+
+#: The tables that this process has stored.
+_built: dict[tuple, DataFrame] = {}
+
+
+def _graph(spark: SparkSession, root: str, kind: str, at: Thresholds) -> tuple[DataFrame, DataFrame]:
+    """The indexed nodes and the edges of `categories` or `slices`; only the graphs that are asked for are built."""
+    base = _once(spark, root, ("nodes",), lambda: data(spark, root)[0])
+    share = at.index if kind == "categories" else None  # slices are the same for all thresholds
+    indexed = _once(spark, root, (kind, share), lambda: HybridIndex.indexed(base, kind, at))
+    return indexed, _once(spark, root, (f"{kind}_edges", share), lambda: graph.build(indexed))
+
+
 def _index(spark: SparkSession, root: str, at: Thresholds) -> HybridIndex:
-    """The tables' index, built once a session and loaded from the shared folder after that."""
-    path = _built.get((spark.sparkContext.applicationId, root, at))
-    if path is None:
-        path = new_path(spark, "index")
-        HybridIndex.build(data(spark, root)[0], at, store=stored).save(path)
-        _built[spark.sparkContext.applicationId, root, at] = path
-    return HybridIndex.load(spark, path, at)
+    """The tables' index, built once a session."""
+    (categories, category_edges), (slices, slice_edges) = (_graph(spark, root, kind, at) for kind in ("categories", "slices"))
+    base = _once(spark, root, ("nodes",), lambda: data(spark, root)[0])
+    return HybridIndex.of(base, categories, slices, category_edges, slice_edges, at)
 
 
-#: Where this process has saved indexes.
-_built: dict[tuple, str] = {}
+def _asked(spark: SparkSession, root: str) -> DataFrame:
+    """The queries, from the stored nodes."""
+    return as_queries(read_queries(_once(spark, root, ("nodes",), lambda: data(spark, root)[0])))
 
 
 def _graph_search(qtype: int) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         """Category graphs for types 1 and 3, slice graphs for 0 and 2."""
-        own = data(spark, root)[1].where(F.col("qtype") == qtype).withColumn("ef", F.lit(EF))
-        index = _index(spark, root, EVERY)
+        nodes, edges = _graph(spark, root, "slices" if qtype in (0, 2) else "categories", EVERY)
+        own = _asked(spark, root).where(F.col("qtype") == qtype).withColumn("ef", F.lit(EF))
         if qtype == 0:
-            return _rounded(graph.search_everywhere(index.slices, index.slice_edges, own, K), "d2")
+            return _rounded(graph.search_everywhere(nodes, edges, own, K), "d2")
         ends = [F.col(x) if qtype in (2, 3) else F.lit(None).cast("double") for x in "lr"]
         if qtype == 2:
-            shards = index.slices.select(predicates.slice_of(F.col("t")).alias("slice"), "index_id").distinct()
+            shards = nodes.select(predicates.slice_of(F.col("t")).alias("slice"), "index_id").distinct()
             to = own.withColumn("slice", F.explode(predicates.slices_between(F.col("l"), F.col("r")))).join(shards, "slice")
-            nodes, edges = index.slices, index.slice_edges
         else:
-            to = own.join(index.categories.select(F.col("c").alias("v"), "index_id").distinct(), "v")
-            nodes, edges = index.categories, index.category_edges
+            to = own.join(nodes.select(F.col("c").alias("v"), "index_id").distinct(), "v")
         asked = to.select("index_id", "qid", "qvec", "ef", ends[0].alias("low"), ends[1].alias("high"))
         return _rounded(graph.graph_search(nodes, edges, asked, K, wider=2 if qtype == 2 else 1), "d2")
 
@@ -191,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "knn_graph_pruned": _base(lambda n: graph.build(graph.by_category(n, 0.0))),
     "nn_descent": _base(lambda n: _rounded(graph.nn_descent(n, 5, store=stored), "d2")),
     **{f"graph_search_type{t}": _graph_search(t) for t in range(4)},
-    "hybrid_search": lambda s, r: _rounded(_index(s, r, AT).search(data(s, r)[1], K), "d2"),
+    "hybrid_search": lambda s, r: _rounded(_index(s, r, AT).search(_asked(s, r), K), "d2"),
 }
 
 # ---------------------------------------------------------------------------

@@ -397,6 +397,19 @@ def test_encoding_and_decoding(texts):
     assert vocab.decode([64, 10**6, 65]) == vocab.decode([64, 65])
 
 
+def test_ids_of_pieces_side_by_side():
+    """Flat ids and their ends, for empty pieces, repeats and pieces that end in the same rank."""
+    import tokenizers
+
+    vocab, library = bpe.vocabulary(PATH), tokenizers.Tokenizer.from_file(PATH)
+    pieces = ["", "a", " the", "aaaaaaaaaaa", "", "\x00\x00", "\u00e9\u00e9\u00e9", " internationalisation", "the", "a"]
+    ids, ends = vocab.encode_flat([p.encode() for p in pieces])
+    got = [ids[x:y].tolist() for x, y in zip(ends, ends[1:])]  # noqa: B905
+    assert len(got) == len(pieces) and got == [library.encode(p, add_special_tokens=False).ids for p in pieces] == vocab.encode_pieces(p.encode() for p in pieces)
+    assert [x.tolist() for x in vocab.encode_flat([])[0:1]] == [[]] and vocab.encode_flat([])[1] == [0]
+
+
+
 def test_counts_of_every_prefix():
     counter = token_counts.counter(PATH)
     for text in strange(300, 5):

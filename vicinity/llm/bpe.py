@@ -10,6 +10,7 @@ gives. Pieces met before come from a bounded memo.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -30,6 +31,10 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Pieces in a worker's memo; it starts anew when full.
 MEMO_PIECES = 400_000
 
+#: A pair of ids as one number.
+_SHIFT = 32
+_LOW = (1 << _SHIFT) - 1
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -66,6 +71,9 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (m.split(" ") if isinstance(m, str) else m))
             self.merge[self.id_of[a], self.id_of[b]] = (rank, self.id_of[a + b])
+        #: the same by one number for the pair
+        self.merge_of = {a << _SHIFT | b: to for (a, b), to in self.merge.items()}
+        self.byte_ids = np.array(self.byte_id, np.int64)
         self.pieces = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.memo: dict[str, bytes] = {}
@@ -75,27 +83,45 @@ class Vocabulary:
         return self.cut(text) if self.cut and any(s in text for s in self.special) else [text]
 
     def encode_pieces(self, pieces: Iterable[bytes]) -> list[list[int]]:
-        """The ids of each piece, by the pair occurrence index over all of them."""
-        symbol: list[int] = []
-        starts = [0]
-        ids = self.byte_id
-        for p in pieces:
-            symbol += [ids[b] for b in p]
-            symbol.append(-1)  # no pair reaches across pieces
-            starts.append(len(symbol))
-        n = len(symbol)
+        """The ids of each piece."""
+        ids, ends = self.encode_flat(list(pieces))
+        flat = ids.tolist()
+        return [flat[x:y] for x, y in zip(ends, ends[1:])]  # noqa: B905
+
+    def encode_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """As _encoded, without searches for cyclic garbage: its many lists hold numbers only."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(pieces)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all pieces, one after the other, and where each piece's begin and end, by the pair occurrence index over all of them."""
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        # a -1 after each piece: no pair reaches across pieces
+        start = np.cumsum(length + 1) - length - 1
+        at_first = np.full(int(length.sum()) + len(pieces), -1, np.int64)
+        at_first[np.arange(int(length.sum())) + np.repeat(np.arange(len(pieces)), length)] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(at_first)
+        symbol = at_first.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merge = self.merge
-        where: dict[tuple[int, int], list[int]] = {}
-        for i in range(n - 1):
-            pair = (symbol[i], symbol[i + 1])
-            if pair in merge:
-                where.setdefault(pair, []).append(i)
+        merge, shift = self.merge_of, _SHIFT
+        # the pairs there are, by rank
+        key = np.where((at_first[:-1] >= 0) & (at_first[1:] >= 0), (at_first[:-1] << shift) | at_first[1:], -1) if n else np.empty(0, np.int64)
+        kinds, kind = np.unique(key, return_inverse=True)
+        place = np.argsort(kind, kind="stable")
+        first = np.searchsorted(kind[place], np.arange(len(kinds) + 1)).tolist()
+        place = place.tolist()
+        where: dict[int, list[int]] = {pair: place[x:y] for pair, x, y in zip(kinds.tolist(), first, first[1:]) if pair in merge}  # noqa: B905
         active = [(*merge[p], p) for p in where]
         heapq.heapify(active)
         while active:
             _, product, pair = heapq.heappop(active)
-            a, b = pair
+            a, b = pair >> shift, pair & _LOW
+            left, right = product << shift, product
             at = where.pop(pair)
             at.sort()
             for i in at:
@@ -106,21 +132,24 @@ class Vocabulary:
                 k = after[i] = after[j]
                 if k < n:
                     before[k] = i
-                    new = (product, symbol[k])
-                    if new in merge:
-                        if new not in where:
-                            where[new] = []
+                    if symbol[k] >= 0:
+                        new = left | symbol[k]
+                        if new in where:
+                            where[new].append(i)
+                        elif new in merge:
+                            where[new] = [i]
                             heapq.heappush(active, (*merge[new], new))
-                        where[new].append(i)
                 h = before[i]
-                if h >= 0:
-                    new = (symbol[h], product)
-                    if new in merge:
-                        if new not in where:
-                            where[new] = []
-                            heapq.heappush(active, (*merge[new], new))
+                if h >= 0 and symbol[h] >= 0:
+                    new = symbol[h] << shift | right
+                    if new in where:
                         where[new].append(h)
-        return [[s for s in symbol[x : y - 1] if s >= 0] for x, y in zip(starts, starts[1:])]  # noqa: B905
+                    elif new in merge:
+                        where[new] = [h]
+                        heapq.heappush(active, (*merge[new], new))
+        out = np.array(symbol, np.int32)
+        kept = np.concatenate([[0], np.cumsum(out >= 0)])
+        return out[out >= 0], [*kept[start].tolist(), int(kept[-1])]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, special strings as their ids."""
@@ -130,12 +159,13 @@ class Vocabulary:
             self.memo.clear()
         memo = self.memo
         new = [p for p in wanted if p not in memo]
-        for p, ids in zip(new, self.encode_pieces([p.encode("utf-8", "replace") for p in new]), strict=True):
-            memo[p] = np.array(ids, np.int32).tobytes()
+        ids, ends = self.encode_flat([p.encode("utf-8", "replace") for p in new])
+        raw_ids = ids.tobytes()
+        memo.update((p, raw_ids[4 * x : 4 * y]) for p, x, y in zip(new, ends, ends[1:], strict=False))
         special = {s: np.array([i], np.int32).tobytes() for s, i in self.special.items()}
         out = []
         for parts in cut:
-            raw = b"".join(special[part] if k % 2 else b"".join([memo[p] for p in part]) for k, part in enumerate(parts))
+            raw = b"".join([special[part] if k % 2 else b"".join(map(memo.__getitem__, part)) for k, part in enumerate(parts)])
             out.append(np.frombuffer(raw, np.int32))
         return out
 

@@ -27,21 +27,22 @@ from vicinity.sources.shared import stored, unstored
 #: The share of new edges at which descent ends.
 SETTLED = 0.001
 #: The share of new edges below which lists that lack recall are widened.
-SLOW = 0.05
+SLOW = 0.1
 #: The least recall, against brute force for SAMPLE nodes, that ends the descent.
 RECALL = 0.92
 SAMPLE = 256
-#: Nodes of a shard, about, with up to 64 dimensions; fewer with more.
-CENTERS = 4096
+#: Nodes of a shard, about, with up to 64 dimensions; fewer with more. Twice as many where all vectors have at most
+#: ALL elements, for a shard may ask for any vector.
+CENTERS, ALL = 6144, 1 << 24
 #: The start: so many times the nodes are put in another order of space, and about LEAF that follow each other meet.
 DRAWS, LEAF, BITS = 6, 512, 24
 #: The most cells of the distances that are held at once, and of pairs not yet cut to the best.
-_CELLS, _PAIRS = 1 << 20, 1 << 22
-#: Messages to shards. Kinds: lists (a ids, b and d their neighbours, f which are new, v vectors), links (a node, b who
-#: links to it, d, f), members (a place of the node, b member, f new), asked (a ids, b the asking shard), given (a ids,
+_CELLS, _PAIRS = 1 << 18, 1 << 22
+#: Messages to shards. Kinds: nodes (a ids, v vectors), lists (a ids, b and d their neighbours, f which are new, last
+#: the last distance of each), last (a ids, d those), links (a node, b who links to it, d, f), members (a place of the node, b member, f new), asked (a ids, b the asking shard), given (a ids,
 #: d the last distance of their lists, v vectors), found (a node, b neighbour, d).
-MAIL = "shard int, kind string, a binary, b binary, d binary, f binary, v binary, edges long, new long"
-_MAIL = pa.schema([("shard", pa.int32()), ("kind", pa.string()), *((x, pa.binary()) for x in "abdfv"), ("edges", pa.int64()), ("new", pa.int64())])
+MAIL = "shard int, kind string, a binary, b binary, d binary, f binary, v binary, last binary, edges long, new long"
+_MAIL = pa.schema([("shard", pa.int32()), ("kind", pa.string()), *((x, pa.binary()) for x in ("a", "b", "d", "f", "v", "last")), ("edges", pa.int64()), ("new", pa.int64())])
 _TYPES = {"a": np.int64, "b": np.int64, "d": np.float64, "f": np.bool_}
 
 
@@ -52,26 +53,33 @@ def _row(shard: int, kind: str, edges: int | None = None, new: int | None = None
 class _Mail:
     """The arrays of the messages to one shard."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], real: str):
-        self.real, self.shard = np.dtype(real), 0
+    def __init__(self, shard: int, real: str):
+        self.real, self.shard = np.dtype(real), shard
         self.rows: dict[tuple[str, str], list] = {}
-        for batch in batches:
-            kinds = batch.column("kind").to_pylist()
-            self.shard = batch.column("shard")[0].as_py() if kinds else self.shard
-            for x in "abdfv":
-                for kind, value in zip(kinds, batch.column(x), strict=True):
-                    if value.is_valid:
-                        self.rows.setdefault((kind, x), []).append(np.frombuffer(value.as_buffer(), _TYPES.get(x, self.real)))
 
     def get(self, kind: str, name: str) -> np.ndarray:
-        parts = self.rows.get((kind, name), [])
-        return np.concatenate(parts) if parts else np.empty(0, _TYPES.get(name, self.real))
+        """The array of all messages of a kind, which are then forgotten."""
+        parts = self.rows.pop((kind, name), [])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, _TYPES.get(name, self.real))
 
     def vectors(self, kind: str, n: int) -> np.ndarray:
         flat = self.get(kind, "v")
         return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def _read(batches: Iterator[pa.RecordBatch], real: str) -> dict[int, _Mail]:
+    """The messages by shard."""
+    mail: dict[int, _Mail] = {}
+    for batch in batches:
+        shards, kinds = batch.column("shard").to_pylist(), batch.column("kind").to_pylist()
+        for x in ("a", "b", "d", "f", "v"):
+            for shard, kind, value in zip(shards, kinds, batch.column(x), strict=True):
+                if value.is_valid:
+                    own = mail.setdefault(shard, _Mail(shard, real))
+                    own.rows.setdefault((kind, x), []).append(np.frombuffer(value.as_buffer(), _TYPES.get(x, own.real)))
+    return mail
+
+
 def _shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
     return np.minimum((unit(ids) * shards).astype(np.int64), shards - 1)
 
@@ -87,8 +95,8 @@ def _sent(kind: str, to: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.Record
 def _exact(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of the pairs (x[a], y[b])."""
     out = np.empty(len(a))
-    for i in range(0, len(a), 1 << 13):
-        s = slice(i, i + (1 << 13))
+    for i in range(0, len(a), 1 << 11):
+        s = slice(i, i + (1 << 11))
         gap = x[a[s]].astype(np.float64) - y[b[s]]
         out[s] = (gap * gap).sum(1)
     return out
@@ -151,12 +159,13 @@ def _start(own: DataFrame, shards: int, width: int, seed: int, element: str) ->
                     square = (x * x).sum(1)
                     d = square[:, None] + square[None, :] - 2 * x @ x.T
                     np.fill_diagonal(d, np.inf)
-                    k = min(width, len(own) - 1)
+                    most = width if of == 0 else width // 3 + 1  # the first draw fills the lists
+                    k = min(most, len(own) - 1)
                     far = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
                     i, j = np.nonzero(d <= far + 1e-12 * (square[:, None] + square.max()))
                     d = _exact(vec, vec, own[i], own[j])
                     i, j, d = i[np.isfinite(d)], j[np.isfinite(d)], d[np.isfinite(d)]
-                    near = _best(i, ids[own[j]], d, width)
+                    near = _best(i, ids[own[j]], d, most)
                     parts.append((ids[own[i[near]]], ids[own[j[near]]], d[near]))
         a, b, d = (np.concatenate(x) for x in zip(*parts, strict=True))
         yield from _sent("found", _shard_of(a, shards), a=a, b=b, d=d)
@@ -166,55 +175,57 @@ def _start(own: DataFrame, shards: int, width: int, seed: int, element: str) ->
 
 
 def _dealt(own: DataFrame, shards: int, real: str) -> DataFrame:
-    """The nodes as messages to their shards, with empty lists."""
+    """The nodes as messages to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids, vec = batch.column("id").to_numpy(), matrix(batch.column("vec")).astype(real)
-                yield from _sent("lists", _shard_of(ids, shards), a=ids, v=vec)
+                yield from _sent("nodes", _shard_of(ids, shards), a=ids, v=vec)
 
-    return own.select("id", "vec").mapInArrow(run, MAIL)
+    def one(mail: _Mail) -> Iterator[pa.RecordBatch]:
+        ids = mail.get("nodes", "a")
+        order = np.argsort(ids, kind="stable")
+        yield _row(mail.shard, "nodes", a=ids[order], v=mail.vectors("nodes", len(ids))[order])
+
+    return _by_shard(own.select("id", "vec").mapInArrow(run, MAIL), shards, one, real)
 
 
-def _by_shard(mail: DataFrame, run: Callable[[_Mail], Iterator[pa.RecordBatch]], real: str) -> DataFrame:
-    """What each shard makes of its messages."""
+def _by_shard(mail: DataFrame, shards: int, run: Callable[[_Mail], Iterator[pa.RecordBatch]], real: str) -> DataFrame:
+    """What each shard makes of its messages: one task for each."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(_Mail(batches, real))
+        for own in _read(batches, real).values():
+            yield from run(own)
 
-    one.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    tasks = 8 * max(8, mail.sparkSession.sparkContext.defaultParallelism)
-    return mail.repartition(tasks, "shard").groupBy("shard").applyInArrow(one, MAIL)
+    return mail.repartitionById(shards, "shard").mapInArrow(one, MAIL)
 
 
 def _without(lists: DataFrame, *names: str) -> DataFrame:
     return lists.withColumns({x: F.lit(None).cast("binary") for x in names})
 
 
-def _kept(lists: DataFrame, found: DataFrame, width: int, real: str) -> DataFrame:
+def _kept(base: DataFrame, lists: DataFrame | None, found: DataFrame, shards: int, width: int, real: str) -> DataFrame:
     """Lists of the `width` nearest of what they held and what was found; new is what they did not hold."""
 
     def run(mail: _Mail) -> Iterator[pa.RecordBatch]:
-        ids = mail.get("lists", "a")
-        vec, order = mail.vectors("lists", len(ids)), np.argsort(ids, kind="stable")
-        was = len(mail.get("lists", "b")) // max(1, len(ids))
-        old_b, old_d = (mail.get("lists", x).reshape(len(ids), was)[order] for x in "bd")
-        ids, vec = ids[order], vec[order]
+        ids = mail.get("nodes", "a")
+        old_b, old_d = (x.reshape(len(ids), len(x) // max(1, len(ids))) for x in (mail.get("lists", "b"), mail.get("lists", "d")))
         row, place = np.nonzero(np.isfinite(old_d))
         a = np.concatenate([row, np.searchsorted(ids, mail.get("found", "a"))])
         b, d = np.concatenate([old_b[row, place], mail.get("found", "b")]), np.concatenate([old_d[row, place], mail.get("found", "d")])
         new = np.arange(len(a)) >= len(row)
-        order = np.lexsort((new, b, a))
+        order = np.lexsort((b, d, a))  # equal pairs have equal distances, so they follow each other, old ones first
         order = order[_first(a[order], b[order])]
-        order = order[_best(a[order], b[order], d[order], width)]
+        order = order[_ranks(a[order]) < width]
         a, b, d, new = a[order], b[order], d[order], new[order]
         out_b, out_d, out_f = np.full((len(ids), width), -1, np.int64), np.full((len(ids), width), np.inf), np.zeros((len(ids), width), bool)
         place = _ranks(a)
         out_b[a, place], out_d[a, place], out_f[a, place] = b, d, new
-        yield _row(mail.shard, "lists", len(a), int(new.sum()), a=ids, b=out_b, d=out_d, f=out_f, v=vec)
+        yield _row(mail.shard, "lists", len(a), int(new.sum()), a=ids, b=out_b, d=out_d, f=out_f, last=out_d[:, -1])
 
-    return _by_shard(lists.unionByName(found), run, real)
+    known = _without(base, "v") if lists is None else _without(base, "v").unionByName(_without(lists, "a", "f", "last"))
+    return _by_shard(known.unionByName(found), shards, run, real)
 
 
 def _links(lists: DataFrame, shards: int, real: str) -> DataFrame:
@@ -222,14 +233,13 @@ def _links(lists: DataFrame, shards: int, real: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                mail = _Mail(iter([batch.slice(i, 1)]), real)
+            for mail in _read(iter([batch]), real).values():
                 ids, d = mail.get("lists", "a"), mail.get("lists", "d")
                 there = np.flatnonzero(np.isfinite(d))
                 b = mail.get("lists", "b")[there]
                 yield from _sent("links", _shard_of(b, shards), a=b, b=ids[there // (len(d) // max(1, len(ids)))], d=d[there], f=mail.get("lists", "f")[there])
 
-    return _without(lists, "v").mapInArrow(run, MAIL)
+    return _without(lists, "last").mapInArrow(run, MAIL)
 
 
 def _met(lists: DataFrame, links: DataFrame, shards: int, width: int, anew: bool, real: str) -> DataFrame:
@@ -238,11 +248,13 @@ def _met(lists: DataFrame, links: DataFrame, shards: int, width: int, anew: bool
     def run(mail: _Mail) -> Iterator[pa.RecordBatch]:
         ids, d = mail.get("lists", "a"), mail.get("lists", "d")
         there = np.flatnonzero(np.isfinite(d))
-        c, back = np.searchsorted(ids, mail.get("links", "a")), mail.get("links", "b")
-        some = _best(c, back, mail.get("links", "d"), width)
-        c = np.concatenate([there // max(1, len(d) // max(1, len(ids))), c[some]])
-        b = np.concatenate([mail.get("lists", "b")[there], back[some]])
-        f = np.concatenate([mail.get("lists", "f")[there], mail.get("links", "f")[some]]) | anew
+        own, b, f = there // max(1, len(d) // max(1, len(ids))), mail.get("lists", "b")[there], mail.get("lists", "f")[there] | anew
+        c, back, far, new = np.searchsorted(ids, mail.get("links", "a")), mail.get("links", "b"), mail.get("links", "d"), mail.get("links", "f") | anew
+        live = np.zeros(len(ids), bool)
+        live[own[f]] = live[c[new]] = True
+        some = np.flatnonzero(live[c])
+        some = some[_best(c[some], back[some], far[some], width)]
+        c, b, f = np.concatenate([own[live[own]], c[some]]), np.concatenate([b[live[own]], back[some]]), np.concatenate([f[live[own]], new[some]])
         order = np.lexsort((f, b, c))
         order = order[_first(c[order], b[order])]
         fresh = np.bincount(c[order], weights=f[order], minlength=len(ids))
@@ -253,20 +265,21 @@ def _met(lists: DataFrame, links: DataFrame, shards: int, width: int, anew: bool
         for part in _sent("asked", _shard_of(known, shards), a=known):
             yield part.set_column(3, "b", pa.array([np.array([mail.shard], np.int64).tobytes()], pa.binary()))
 
-    return _by_shard(_without(lists, "v").unionByName(links), run, real)
+    return _by_shard(_without(lists, "last").unionByName(links), shards, run, real)
 
 
-def _given(lists: DataFrame, asked: DataFrame, width: int, real: str) -> DataFrame:
+def _given(base: DataFrame, lists: DataFrame, asked: DataFrame, shards: int, real: str) -> DataFrame:
     """The vectors that shards asked for, with the distances that a neighbour has to beat."""
 
     def run(mail: _Mail) -> Iterator[pa.RecordBatch]:
-        ids, d = mail.get("lists", "a"), mail.get("lists", "d")
-        vec, last = mail.vectors("lists", len(ids)), d.reshape(len(ids), -1)[:, width - 1]
+        ids, last = mail.get("nodes", "a"), mail.get("last", "d")
+        vec = mail.vectors("nodes", len(ids))
         for which, by in zip(mail.rows.get(("asked", "a"), []), mail.rows.get(("asked", "b"), []), strict=True):
             at = np.searchsorted(ids, which)
             yield _row(by[0], "given", a=which, d=last[at], v=vec[at])
 
-    return _by_shard(_without(lists, "b", "f").unionByName(asked), run, real)
+    last = _without(lists, "a", "b", "f").withColumns({"kind": F.lit("last"), "d": F.col("last"), "last": F.lit(None).cast("binary")})
+    return _by_shard(base.unionByName(last).unionByName(asked), shards, run, real)
 
 
 def _joined(members: DataFrame, given: DataFrame, shards: int, width: int, real: str) -> DataFrame:
@@ -275,13 +288,11 @@ def _joined(members: DataFrame, given: DataFrame, shards: int, width: int, real:
     def run(mail: _Mail) -> Iterator[pa.RecordBatch]:
         ids = mail.get("given", "a")
         order = np.argsort(ids, kind="stable")
-        vec, last, ids = mail.vectors("given", len(ids))[order], mail.get("given", "d")[order], ids[order]
-        c, b, f = mail.get("members", "a"), np.searchsorted(ids, mail.get("members", "b")), mail.get("members", "f")
-        found = local_join(c, b, f, vec, last, ids, width)
-        a, b, d = found
+        b = order[np.searchsorted(ids[order], mail.get("members", "b"))]
+        a, b, d = local_join(mail.get("members", "a"), b, mail.get("members", "f"), mail.vectors("given", len(ids)), mail.get("given", "d"), ids, width)
         yield from _sent("found", _shard_of(ids[a], shards), a=ids[a], b=ids[b], d=d)
 
-    return _by_shard(members.unionByName(given), run, real)
+    return _by_shard(members.unionByName(given), shards, run, real)
 
 
 def local_join(c: np.ndarray, b: np.ndarray, f: np.ndarray, vec: np.ndarray, last: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,9 +301,9 @@ def local_join(c: np.ndarray, b: np.ndarray, f: np.ndarray, vec: np.ndarray, las
     c, b, f = c[order], b[order], f[order]
     _, first, degree = np.unique(c, return_index=True, return_counts=True)
     fresh = np.add.reduceat(f, first, dtype=np.int64) if len(first) else first
-    wide, last = vec.astype(np.float64), last.copy()
-    wide -= wide.mean(0) if len(wide) else 0
-    square = (wide * wide).sum(1)
+    dims, last = vec.shape[1], last.copy()
+    kernel = np.float64 if vec.dtype == np.float64 or (len(vec) and np.abs(vec).max() > 1e15) else np.float32
+    nothing = kernel(np.finfo(kernel).max / 16)  # a distance that is none
     held, n = np.empty(0, np.int64), max(1, len(ids))
     parts: list[np.ndarray] = []
     order, at = np.lexsort((fresh, degree)), 0
@@ -313,24 +324,25 @@ def local_join(c: np.ndarray, b: np.ndarray, f: np.ndarray, vec: np.ndarray, las
         g, h = int(degree[some].max()), int(fresh[some].max())
         if g < 2:
             continue
-        place = first[some, None] + np.arange(g)
-        there = np.arange(g) < degree[some, None]
-        who = b[np.where(there, place, 0)]
-        x = wide[who]
-        s = np.where(there, square[who], np.inf)
-        with np.errstate(all="ignore"):
-            d = x[:, :h] @ x.transpose(0, 2, 1)
-            d *= -2
-            d += s[:, :h, None]
-            d += s[:, None, :]
-            d -= 1e-12 * (square[who].max() * 2)
-        d[:, np.arange(h), np.arange(h)] = np.nan
-        d[~(np.arange(h) < fresh[some, None])] = np.nan
-        d[np.isinf(s)[:, None, :].repeat(h, 1)] = np.nan
-        join, i, j = np.nonzero(d <= last[who][:, :h, None])
-        parts.append(who[join, i] * n + who[join, j])
-        join, i, j = np.nonzero(d <= last[who][:, None, :])
-        parts.append(who[join, j] * n + who[join, i])
+        there, old = np.arange(g) < degree[some, None], np.arange(g) >= fresh[some, None]
+        who = b[first[some, None] + np.where(there, np.arange(g), 0)]
+        x = vec[who].astype(kernel, copy=False)
+        x -= x.mean(1, keepdims=True)  # what is near keeps its digits
+        square = (x * x).sum(2)
+        margin = 4 * (dims + 2) * np.finfo(kernel).eps * square.max(1)[:, None]
+        left, right = (np.ones((len(some), m, dims + 2), kernel) for m in (h, g))
+        np.multiply(x[:, :h], -2, out=left[:, :, :dims])
+        left[:, :, dims + 1] = np.where(old[:, :h], nothing, square[:, :h])
+        right[:, :, :dims], right[:, :, dims] = x, np.where(there, square, nothing)
+        d = left @ right.transpose(0, 2, 1)  # the squared distances of new members from all
+        d[:, np.arange(h), np.arange(h)] = nothing
+        most = (np.minimum(last[who], nothing / 4) + margin).astype(kernel)
+        for back in (False, True):  # new members among themselves meet both ways the first time
+            near = d <= (np.where(old, most, -1)[:, None, :] if back else most[:, :h, None])
+            at_cell = np.flatnonzero(near)
+            join, cell = np.divmod(at_cell, h * g)
+            i, j = who[join, cell // g], who[join, cell % g]
+            parts.append(j * n + i if back else i * n + j)
         if sum(map(len, parts)) - len(held) > _PAIRS:
             x, y, d = cut(parts)
             full = np.flatnonzero(_ranks(x) == width - 1)
@@ -345,8 +357,7 @@ def _edges(lists: DataFrame, k: int, real: str, only: np.ndarray | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                mail = _Mail(iter([batch.slice(i, 1)]), real)
+            for mail in _read(iter([batch]), real).values():
                 ids = mail.get("lists", "a")
                 b, d = (mail.get("lists", x).reshape(len(ids), -1)[:, :k] for x in "bd")
                 there = np.isfinite(d)
@@ -355,7 +366,7 @@ def _edges(lists: DataFrame, k: int, real: str, only: np.ndarray | None = None)
                 row, place = np.nonzero(there)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(place.astype(np.int32) + 1), pa.array(b[row, place]), pa.array(d[row, place])], names=["src", "pos", "dst", "d2"])
 
-    return _without(lists, "f", "v").mapInArrow(run, "src long, pos int, dst long, d2 double")
+    return _without(lists, "f", "last").mapInArrow(run, "src long, pos int, dst long, d2 double")
 
 
 def _sampled(own: DataFrame, k: int, seed: int) -> set[tuple[int, int]]:
@@ -389,14 +400,17 @@ def nn_descent(nodes: DataFrame, k: int, rounds: int | None = None, width: int =
     own = known.where("id = rep").select("id", "vec")
     count = known.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("id") == F.col("rep")).alias("own"), F.max(F.size("vec")).alias("dims")).first()
     n, keep = count.own, max(k, width)
-    shards = max(1, -(-n // max(64, min(CENTERS, 64 * CENTERS // max(1, count.dims or 1)))))
-    lists = store(_kept(_dealt(own, shards, real), _start(own, shards, keep, seed, element), keep, real), "nn_start")
+    dims, tasks = max(1, count.dims or 1), nodes.sparkSession.sparkContext.defaultParallelism
+    shards = -(-n // (max(64, min(CENTERS, 64 * CENTERS // dims)) * (2 if n * dims <= ALL else 1)))
+    shards = -(-shards // tasks) * tasks if shards > 1 else 1  # as many as run at once, or so many times that
+    base = store(_dealt(own, shards, real), "nn_shards")
+    lists = store(_kept(base, None, _start(own, shards, keep, seed, element), shards, keep, real), "nn_start")
     anew, turn, truth, enough = True, 0, None, rounds is not None
     while n > 1 and turn != rounds:
         met = store(_met(lists, _links(lists, shards, real), shards, keep, anew, real), "nn_met")
-        given = _given(lists, met.where("kind = 'asked'"), keep, real)
+        given = _given(base, lists, met.where("kind = 'asked'"), shards, real)
         found = _joined(met.where("kind = 'members'"), given, shards, keep, real)
-        before, lists = lists, store(_kept(lists, found, keep, real), f"nn{turn}")
+        before, lists = lists, store(_kept(base, lists, found, shards, keep, real), f"nn{turn}")
         gone(met), gone(before)
         anew, turn = False, turn + 1
         edges, new = lists.agg(F.sum("edges"), F.sum("new")).first()
@@ -407,12 +421,13 @@ def nn_descent(nodes: DataFrame, k: int, rounds: int | None = None, width: int =
             enough = right >= RECALL * len(truth) or keep >= n - 1
             if not enough:
                 keep = min(2 * keep, n - 1)
-                before, lists = lists, store(_kept(lists, _start(own, shards, keep, seed + turn, element), keep, real), f"nn{turn}_wide")
+                before, lists = lists, store(_kept(base, lists, _start(own, shards, keep, seed + turn, element), shards, keep, real), f"nn{turn}_wide")
                 gone(before)
                 anew = True
                 continue
         if new <= SETTLED * edges:  # lists only get better, so this ends
             break
+    gone(base)
     near = _edges(lists, k, real)
     return near if n == count["all"] else _copied(near, known, k)
 

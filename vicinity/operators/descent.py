@@ -35,7 +35,7 @@ SAMPLE = 256
 #: ALL elements, for a shard may ask for any vector.
 CENTERS, ALL = 6144, 1 << 24
 #: The start: so many times the nodes are put in another order of space, and about LEAF that follow each other meet.
-DRAWS, LEAF, BITS = 6, 512, 24
+DRAWS, LEAF, BITS = 6, 1536, 24
 #: The most cells of the distances that are held at once, and of pairs not yet cut to the best.
 _CELLS, _PAIRS = 1 << 18, 1 << 22
 #: Messages to shards. Kinds: nodes (a ids, v vectors), lists (a ids, b and d their neighbours, f which are new, last
@@ -205,26 +205,28 @@ def _without(lists: DataFrame, *names: str) -> DataFrame:
     return lists.withColumns({x: F.lit(None).cast("binary") for x in names})
 
 
-def _kept(base: DataFrame, lists: DataFrame | None, found: DataFrame, shards: int, width: int, real: str) -> DataFrame:
-    """Lists of the `width` nearest of what they held and what was found; new is what they did not hold."""
+def _kept(base: DataFrame, lists: DataFrame | None, found: DataFrame, shards: int, width: int, real: str, met: bool = True) -> DataFrame:
+    """Lists of the `width` nearest of what they held and what was found; new is what they did not hold, or what they held if it has not been `met`."""
 
     def run(mail: _Mail) -> Iterator[pa.RecordBatch]:
         ids = mail.get("nodes", "a")
         old_b, old_d = (x.reshape(len(ids), len(x) // max(1, len(ids))) for x in (mail.get("lists", "b"), mail.get("lists", "d")))
+        old_f = np.zeros(old_b.shape, bool) if met else mail.get("lists", "f").reshape(old_b.shape)
         row, place = np.nonzero(np.isfinite(old_d))
         a = np.concatenate([row, np.searchsorted(ids, mail.get("found", "a"))])
         b, d = np.concatenate([old_b[row, place], mail.get("found", "b")]), np.concatenate([old_d[row, place], mail.get("found", "d")])
         new = np.arange(len(a)) >= len(row)
+        f = np.concatenate([old_f[row, place], new[len(row) :]])
         order = np.lexsort((b, d, a))  # equal pairs have equal distances, so they follow each other, old ones first
         order = order[_first(a[order], b[order])]
         order = order[_ranks(a[order]) < width]
-        a, b, d, new = a[order], b[order], d[order], new[order]
+        a, b, d, f, new = a[order], b[order], d[order], f[order], new[order]
         out_b, out_d, out_f = np.full((len(ids), width), -1, np.int64), np.full((len(ids), width), np.inf), np.zeros((len(ids), width), bool)
         place = _ranks(a)
-        out_b[a, place], out_d[a, place], out_f[a, place] = b, d, new
+        out_b[a, place], out_d[a, place], out_f[a, place] = b, d, f
         yield _row(mail.shard, "lists", len(a), int(new.sum()), a=ids, b=out_b, d=out_d, f=out_f, last=out_d[:, -1])
 
-    known = _without(base, "v") if lists is None else _without(base, "v").unionByName(_without(lists, "a", "f", "last"))
+    known = _without(base, "v") if lists is None else _without(base, "v").unionByName(_without(lists, "a", "last", *(["f"] if met else [])))
     return _by_shard(known.unionByName(found), shards, run, real)
 
 
@@ -242,14 +244,18 @@ def _links(lists: DataFrame, shards: int, real: str) -> DataFrame:
     return _without(lists, "last").mapInArrow(run, MAIL)
 
 
-def _met(lists: DataFrame, links: DataFrame, shards: int, width: int, anew: bool, real: str) -> DataFrame:
-    """The members of each node's join, and requests for their vectors: its list and as many at most of those that link to it, so that a node many point to does not meet them all. Nodes without new members are left out."""
+def _met(lists: DataFrame, links: DataFrame, shards: int, width: int, was: int, real: str) -> DataFrame:
+    """The members of each node's join, and requests for their vectors: its list and as many at most of those that link to it, so that a node many point to does not meet them all. Nodes without new members are left out. `was` is the width of the round before."""
 
     def run(mail: _Mail) -> Iterator[pa.RecordBatch]:
         ids, d = mail.get("lists", "a"), mail.get("lists", "d")
         there = np.flatnonzero(np.isfinite(d))
-        own, b, f = there // max(1, len(d) // max(1, len(ids))), mail.get("lists", "b")[there], mail.get("lists", "f")[there] | anew
-        c, back, far, new = np.searchsorted(ids, mail.get("links", "a")), mail.get("links", "b"), mail.get("links", "d"), mail.get("links", "f") | anew
+        own, b, f = there // max(1, len(d) // max(1, len(ids))), mail.get("lists", "b")[there], mail.get("lists", "f")[there]
+        c, back, far, new = np.searchsorted(ids, mail.get("links", "a")), mail.get("links", "b"), mail.get("links", "d"), mail.get("links", "f")
+        if was < width:  # some that link to a node have a place now that was none before
+            some = _best(c, back, far, width)
+            c, back, far = c[some], back[some], far[some]
+            new = new[some] | (_ranks(c) >= was)
         live = np.zeros(len(ids), bool)
         live[own[f]] = live[c[new]] = True
         some = np.flatnonzero(live[c])
@@ -405,14 +411,14 @@ def nn_descent(nodes: DataFrame, k: int, rounds: int | None = None, width: int =
     shards = -(-shards // tasks) * tasks if shards > 1 else 1  # as many as run at once, or so many times that
     base = store(_dealt(own, shards, real), "nn_shards")
     lists = store(_kept(base, None, _start(own, shards, keep, seed, element), shards, keep, real), "nn_start")
-    anew, turn, truth, enough = True, 0, None, rounds is not None
+    was, turn, truth, enough = 0, 0, None, rounds is not None
     while n > 1 and turn != rounds:
-        met = store(_met(lists, _links(lists, shards, real), shards, keep, anew, real), "nn_met")
+        met = store(_met(lists, _links(lists, shards, real), shards, keep, was, real), "nn_met")
         given = _given(base, lists, met.where("kind = 'asked'"), shards, real)
         found = _joined(met.where("kind = 'members'"), given, shards, keep, real)
         before, lists = lists, store(_kept(base, lists, found, shards, keep, real), f"nn{turn}")
         gone(met), gone(before)
-        anew, turn = False, turn + 1
+        was, turn = keep, turn + 1
         edges, new = lists.agg(F.sum("edges"), F.sum("new")).first()
         if not enough and new <= SLOW * edges:
             truth = _sampled(own, k, seed) if truth is None else truth
@@ -421,9 +427,8 @@ def nn_descent(nodes: DataFrame, k: int, rounds: int | None = None, width: int =
             enough = right >= RECALL * len(truth) or keep >= n - 1
             if not enough:
                 keep = min(2 * keep, n - 1)
-                before, lists = lists, store(_kept(base, lists, _start(own, shards, keep, seed + turn, element), shards, keep, real), f"nn{turn}_wide")
+                before, lists = lists, store(_kept(base, lists, _start(own, shards, keep, seed + turn, element), shards, keep, real, met=False), f"nn{turn}_wide")
                 gone(before)
-                anew = True
                 continue
         if new <= SETTLED * edges:  # lists only get better, so this ends
             break
